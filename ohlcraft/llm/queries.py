@@ -4,16 +4,24 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import simhash
+from . import records, separator_scan, simhash
 
 
 def _t(spark, sf_dir, name):
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op4_separator_scan(spark, sf_dir):
+    return separator_scan.token_counts(_t(spark, sf_dir, "documents"))
+
+
+def op5_token_records(spark, sf_dir):
+    return records.token_records(_t(spark, sf_dir, "documents"))
+
+
 def op10_simhash(spark, sf_dir):
     return simhash.simhash_dedup(_t(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op10_simhash": op10_simhash}
+QUERIES = {f.__name__: f for f in (op4_separator_scan, op5_token_records, op10_simhash)}
 ORACLES: dict[str, str] = {}
