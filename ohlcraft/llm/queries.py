@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import records, separator_scan, simhash
+from . import mixing, records, separator_scan, simhash
 
 
 def _t(spark, sf_dir, name):
@@ -19,9 +19,13 @@ def op5_token_records(spark, sf_dir):
     return records.token_records(_t(spark, sf_dir, "documents"))
 
 
+def op9_mixing(spark, sf_dir):
+    return mixing.mix_documents(_t(spark, sf_dir, "documents"))
+
+
 def op10_simhash(spark, sf_dir):
     return simhash.simhash_dedup(_t(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op4_separator_scan, op5_token_records, op10_simhash)}
-ORACLES: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op4_separator_scan, op5_token_records, op9_mixing, op10_simhash)}
+ORACLES: dict[str, str] = {"op9_mixing": mixing.ORACLE}
