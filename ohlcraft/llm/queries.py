@@ -4,13 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import mixing, records, separator_scan, simhash
+from . import mixing, records, separator_scan, simhash, toxicity
 
 
 def _t(spark, sf_dir, name):
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_toxicity(spark, sf_dir):
+    return toxicity.toxicity(_t(spark, sf_dir, "documents"), _t(spark, sf_dir, "labels"))
+
+
 def op4_separator_scan(spark, sf_dir):
     return separator_scan.token_counts(_t(spark, sf_dir, "documents"))
 
@@ -27,5 +31,5 @@ def op10_simhash(spark, sf_dir):
     return simhash.simhash_dedup(_t(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op4_separator_scan, op5_token_records, op9_mixing, op10_simhash)}
+QUERIES = {f.__name__: f for f in (op2_toxicity, op4_separator_scan, op5_token_records, op9_mixing, op10_simhash)}
 ORACLES: dict[str, str] = {"op9_mixing": mixing.ORACLE}
