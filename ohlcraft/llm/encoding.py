@@ -7,7 +7,7 @@ from functools import lru_cache
 import numpy as np
 
 #: Words kept in each of the two generations of a worker's cache.
-CACHE_WORDS = 300_000
+CACHE_WORDS = 600_000
 _LONG_WORD = 64
 
 
@@ -50,8 +50,6 @@ class Encoder:
             core = word.rstrip(b".,")
             if core and len(core) < len(word) and core[-1:].isalpha() and core.isascii():
                 found = self.words[core] + self.words[word[len(core) :]]
-            elif word.isascii() and (low := word.lower()) != word and b"<|" not in word:
-                found = self.words[low]
             else:
                 found = self._encode(word)
         if len(self.words) >= CACHE_WORDS:
@@ -65,6 +63,8 @@ class Encoder:
 
         The text is cut at ASCII white space alone: what else counts as space is the tokenizer's affair.
         """
+        if not (b"\xcc" in text or b"\xcd" in text or b"<|" in text):
+            text = text.lower()  # A-Z; no combining mark that would compose otherwise, no special token
         return b"".join(map(self.words.__getitem__, text.split()))
 
 
