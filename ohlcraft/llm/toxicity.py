@@ -28,10 +28,11 @@ from .common import text_of
 #: Labelled rows used for training at most, taken by a seeded hash of their id.
 MAX_TRAIN = 10_000
 #: Features kept at most, by chi-square against any category.
-MAX_FEATURES = 20_000
+MAX_FEATURES = 2_000
 MIN_DOCS = 4
 FOLDS = 3
-THRESHOLD = 0.5
+#: Set on labelled rows held out of training: no clean one reached a tenth, 1 toxic one in 600 stayed under this.
+THRESHOLD = 0.2
 _WORD = re.compile(r"[^\W\d_]+")
 _CACHE = 400_000
 
@@ -80,29 +81,40 @@ class Model:
 
 
 class _Sparse:
-    """Rows of present columns, with a few dense columns behind."""
+    """Rows of present columns, with a few dense columns behind.
+
+    Columns are scaled to one second moment, so that rare telling words are learnt as fast as
+    common ones and the penalty asks less of them.
+    """
 
     def __init__(self, rows: list[np.ndarray], n: int, dense: np.ndarray):
         self.n, self.dense = n, dense
         self.idx = np.concatenate(rows) if rows else np.empty(0, np.int64)
         self.row = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
         self.rows = len(rows)
+        self.scale = np.ones(n + dense.shape[1] + 1)
+        self.scale[:n] = np.sqrt(max(1, len(rows)) / np.maximum(np.bincount(self.idx, minlength=n), 1))
 
     def dot(self, w: np.ndarray) -> np.ndarray:
+        w = w * self.scale
         return np.bincount(self.row, w[self.idx], self.rows) + self.dense @ w[self.n : -1] + w[-1]
 
+    def raw(self, w: np.ndarray) -> np.ndarray:
+        """Scores of weights that are for columns as they come."""
+        return self.dot(w / self.scale)
+
     def tdot(self, r: np.ndarray) -> np.ndarray:
-        return np.concatenate([np.bincount(self.idx, r[self.row], self.n), self.dense.T @ r, [r.sum()]])
+        return np.concatenate([np.bincount(self.idx, r[self.row], self.n), self.dense.T @ r, [r.sum()]]) * self.scale
 
 
-def _fit(x: _Sparse, y: np.ndarray, penalty: float = 2e-4, rounds: int = 300) -> np.ndarray:
+def _fit(x: _Sparse, y: np.ndarray, penalty: float = 1e-3, rounds: int = 150) -> np.ndarray:
     """L1 logistic regression by accelerated proximal gradient; the intercept, last, isn't penalised."""
     w = np.zeros(x.n + x.dense.shape[1] + 1)
     rate = y.mean() if len(y) else 0.0
     w[-1] = np.log((rate + 1e-3) / (1 - rate + 1e-3))
     if not 0 < rate < 1:
         w[-1] = 8.0 if rate == 1 else -8.0
-        return w
+        return w * x.scale
     norm = np.ones_like(w)  # largest eigenvalue of X'X / n, by power iteration
     for _ in range(12):
         v = x.tdot(x.dot(norm))
@@ -119,7 +131,7 @@ def _fit(x: _Sparse, y: np.ndarray, penalty: float = 2e-4, rounds: int = 300) ->
             w = new
             break
         w, t = new, t2
-    return w
+    return w * x.scale
 
 
 def train_chain(rows: list[np.ndarray], labels: np.ndarray, folds: np.ndarray) -> list[Model]:
@@ -156,7 +168,7 @@ def train_chain(rows: list[np.ndarray], labels: np.ndarray, folds: np.ndarray) -
             p = np.zeros(len(rows))
             for k in np.unique(folds):
                 out = folds == k
-                p[out] = 1 / (1 + np.exp(-np.clip(pick(out).dot(_fit(pick(~out), y[~out])), -500, 500)))
+                p[out] = 1 / (1 + np.exp(-np.clip(pick(out).raw(_fit(pick(~out), y[~out])), -500, 500)))
             before = np.column_stack([before, p])
     return models
 
