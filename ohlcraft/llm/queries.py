@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import mixing, records, separator_scan, simhash, toxicity
+from . import decontam, mixing, pii, records, separator_scan, simhash, toxicity
 
 
 def _t(spark, sf_dir, name):
@@ -15,6 +15,10 @@ def op2_toxicity(spark, sf_dir):
     return toxicity.toxicity(_t(spark, sf_dir, "documents"), _t(spark, sf_dir, "labels"))
 
 
+def op3_pii(spark, sf_dir):
+    return pii.digest(pii.find_private(_t(spark, sf_dir, "documents")))
+
+
 def op4_separator_scan(spark, sf_dir):
     return separator_scan.token_counts(_t(spark, sf_dir, "documents"))
 
@@ -23,6 +27,10 @@ def op5_token_records(spark, sf_dir):
     return records.token_records(_t(spark, sf_dir, "documents"))
 
 
+def op8_decontamination(spark, sf_dir):
+    return decontam.decontaminate(_t(spark, sf_dir, "documents"), _t(spark, sf_dir, "benchmark"))
+
+
 def op9_mixing(spark, sf_dir):
     return mixing.mix_documents(_t(spark, sf_dir, "documents"))
 
@@ -31,5 +39,5 @@ def op10_simhash(spark, sf_dir):
     return simhash.simhash_dedup(_t(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_toxicity, op4_separator_scan, op5_token_records, op9_mixing, op10_simhash)}
+QUERIES = {f.__name__: f for f in (op2_toxicity, op3_pii, op4_separator_scan, op5_token_records, op8_decontamination, op9_mixing, op10_simhash)}
 ORACLES: dict[str, str] = {"op9_mixing": mixing.ORACLE}
