@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import decontam, mixing, pii, records, separator_scan, simhash, toxicity
+from . import decontam, flat_graph, mixing, pii, records, separator_scan, simhash, toxicity
 
 
 def _t(spark, sf_dir, name):
@@ -27,6 +27,10 @@ def op5_token_records(spark, sf_dir):
     return records.token_records(_t(spark, sf_dir, "documents"))
 
 
+def op6_flat_graph(spark, sf_dir):
+    return flat_graph.near_duplicate_vectors(_t(spark, sf_dir, "embeddings"))
+
+
 def op8_decontamination(spark, sf_dir):
     return decontam.decontaminate(_t(spark, sf_dir, "documents"), _t(spark, sf_dir, "benchmark"))
 
@@ -39,5 +43,5 @@ def op10_simhash(spark, sf_dir):
     return simhash.simhash_dedup(_t(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_toxicity, op3_pii, op4_separator_scan, op5_token_records, op8_decontamination, op9_mixing, op10_simhash)}
+QUERIES = {f.__name__: f for f in (op2_toxicity, op3_pii, op4_separator_scan, op5_token_records, op6_flat_graph, op8_decontamination, op9_mixing, op10_simhash)}
 ORACLES: dict[str, str] = {"op9_mixing": mixing.ORACLE}
