@@ -4,13 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import decontam, flat_graph, mixing, pii, records, separator_scan, simhash, toxicity
+from . import decontam, flat_graph, html_template, mixing, pii, records, separator_scan, simhash, toxicity
 
 
 def _t(spark, sf_dir, name):
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_html_text(spark, sf_dir):
+    return html_template.extract_text(_t(spark, sf_dir, "pages"))
+
+
 def op2_toxicity(spark, sf_dir):
     return toxicity.toxicity(_t(spark, sf_dir, "documents"), _t(spark, sf_dir, "labels"))
 
@@ -43,5 +47,5 @@ def op10_simhash(spark, sf_dir):
     return simhash.simhash_dedup(_t(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_toxicity, op3_pii, op4_separator_scan, op5_token_records, op6_flat_graph, op8_decontamination, op9_mixing, op10_simhash)}
+QUERIES = {f.__name__: f for f in (op1_html_text, op2_toxicity, op3_pii, op4_separator_scan, op5_token_records, op6_flat_graph, op8_decontamination, op9_mixing, op10_simhash)}
 ORACLES: dict[str, str] = {"op9_mixing": mixing.ORACLE}
