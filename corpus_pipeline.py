@@ -4,16 +4,45 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ohlcraft.llm import simhash
-from ohlcraft.llm.common import materialize
+from ohlcraft.llm import decontam, mixing, records, simhash, toxicity
+from ohlcraft.llm.common import materialize, ship
 
 
-def _simhash(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents that the toxicity chain, trained on the labelled ones, doesn't reject."""
+    ship(spark)
+    return toxicity.keep_clean(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates."""
+    ship(spark)
     return simhash.keep_one_of_each(docs)
 
 
+def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents without a passage of the benchmark."""
+    ship(spark)
+    return decontam.keep_uncontaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents of the mix, once for each epoch that takes them."""
+    return mixing.mixed_rows(docs)
+
+
+def write_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The token records of the documents, as read back from their files."""
+    ship(spark)
+    return records.token_records(docs)
+
+
 STAGES = [
-    ("simhash", _simhash),
+    ("toxicity", drop_toxic),
+    ("simhash", drop_copies),
+    ("decontamination", drop_leaks),
+    ("mixing", mix_sources),
+    ("token_records", write_tokens),
 ]
 
 

@@ -99,3 +99,19 @@ def read_range(uri: str, offset: int, length: int) -> bytes:
     with store.open_input_file(path) as f:
         f.seek(offset)
         return f.read(length)
+
+
+def ship(spark: SparkSession) -> None:
+    """Give this package to the executors, once per application, in case their path doesn't have it."""
+    sc = spark.sparkContext
+    if getattr(sc, "_ohlcraft_shipped", False):
+        return
+    import shutil
+    from pathlib import Path
+
+    package = Path(__file__).resolve().parent.parent
+    made = tempfile.mkdtemp(prefix="ohlcraft-zip-")  # the driver's own copy, served to the executors
+    stage = Path(made, "src")
+    shutil.copytree(package, stage / package.name, ignore=shutil.ignore_patterns("__pycache__"))
+    sc.addPyFile(shutil.make_archive(f"{made}/{package.name}", "zip", stage))
+    sc._ohlcraft_shipped = True

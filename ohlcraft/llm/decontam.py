@@ -225,18 +225,22 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     return out.withColumnsRenamed({"id": id_col, "item_id": item_col})
 
 
+def _holds(items: Items):
+    """A vectorised column function: whether a text holds one of the items."""
+
+    @F.pandas_udf("boolean")
+    def holds(texts: pd.Series) -> pd.Series:
+        hit, values = np.zeros(len(texts), bool), texts.tolist()
+        for lo in range(0, len(values), 1000):
+            for t, *_ in leaks(items, values[lo : lo + 1000]):
+                hit[lo + t] = True
+        return pd.Series(hit)
+
+    return holds
+
+
 def keep_uncontaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that hold no benchmark item, with their columns."""
     for items in prepare(docs, benchmark, text_col):
-
-        @F.pandas_udf("boolean")
-        def holds(texts: pd.Series, items=items) -> pd.Series:
-            hit = np.zeros(len(texts), bool)
-            values = texts.tolist()
-            for lo in range(0, len(values), 1000):
-                for t, *_ in leaks(items, values[lo : lo + 1000]):
-                    hit[lo + t] = True
-            return pd.Series(hit)
-
-        docs = docs.where(~holds(text_of(text_col)))
+        docs = docs.where(~_holds(items)(text_of(text_col)))
     return docs

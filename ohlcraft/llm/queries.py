@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
-from . import decontam, flat_graph, html_template, mixing, pii, records, separator_scan, simhash, toxicity
+from . import decontam, flat_graph, html_template, licenses, mixing, pii, records, separator_scan, simhash, toxicity
+from .common import ship
 
 
 def _t(spark, sf_dir, name):
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -35,6 +35,10 @@ def op6_flat_graph(spark, sf_dir):
     return flat_graph.near_duplicate_vectors(_t(spark, sf_dir, "embeddings"))
 
 
+def op7_licenses(spark, sf_dir):
+    return licenses.scan_documents(_t(spark, sf_dir, "documents"))
+
+
 def op8_decontamination(spark, sf_dir):
     return decontam.decontaminate(_t(spark, sf_dir, "documents"), _t(spark, sf_dir, "benchmark"))
 
@@ -47,5 +51,5 @@ def op10_simhash(spark, sf_dir):
     return simhash.simhash_dedup(_t(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_html_text, op2_toxicity, op3_pii, op4_separator_scan, op5_token_records, op6_flat_graph, op8_decontamination, op9_mixing, op10_simhash)}
+QUERIES = {f.__name__: f for f in (op1_html_text, op2_toxicity, op3_pii, op4_separator_scan, op5_token_records, op6_flat_graph, op7_licenses, op8_decontamination, op9_mixing, op10_simhash)}
 ORACLES: dict[str, str] = {"op9_mixing": mixing.ORACLE}
