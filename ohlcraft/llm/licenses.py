@@ -141,9 +141,9 @@ def scan_licenses(files: DataFrame, path_col: str = "path", text_col: str = "tex
 def scan_documents(docs: DataFrame) -> DataFrame:
     """The scan over ``documents``, as files source/lang/<id>.
 
-    They have no file names; those whose first line says 'licen[cs]e...' stand for licence files.
+    They have no file names; those that speak of a licence anywhere stand for licence files.
     """
     path = F.concat_ws("/", F.coalesce("source", F.lit("none")), F.coalesce("lang", F.lit("none")), F.col("doc_id").cast("string"))
     files = docs.select(F.when(F.col("doc_id").isNotNull(), path).alias("path"), "text")
-    out = scan_licenses(files, is_license_file=F.substring_index(F.col("text"), "\n", 1).rlike("(?i)licen[cs]e"))
+    out = scan_licenses(files, is_license_file=F.col("text").rlike("(?i)licen[cs]e"))
     return out.withColumn("doc_id", F.substring_index("path", "/", -1).cast("long"))
