@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import materialize, text_of
+from .common import fresh, materialize, text_of
 
 LEVELS = ("domain", "lang", "source")
 #: White-space-separated words.
@@ -143,14 +143,18 @@ def mixed_rows(docs: DataFrame) -> DataFrame:
 
     Rows are matched by id; among repeated ids each chosen row stands for one of them, by tokens.
     """
-    marked = docs.withColumns({"__id": F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), "__tokens": F.regexp_count(text_of("text"), F.lit(WORDS)).cast("long")})
-    times = mix_documents(docs).groupBy(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")).alias("__id"), F.col("tokens").alias("__tokens"), "epoch").count()
-    times, _ = materialize(times, "mix-times")
-    if times.where("count > 1").limit(1).count():  # repeated ids: as many rows of each as were chosen
-        nth = F.row_number().over(Window.partitionBy("__id", "__tokens").orderBy(F.xxhash64("text")))
-        out = marked.withColumn("__n", nth).join(times, ["__id", "__tokens"]).where("__n <= count")
-        return out.select(*[F.col(f"`{c}`") for c in docs.columns])
-    return marked.join(times, ["__id", "__tokens"]).select(*[F.col(f"`{c}`") for c in docs.columns])
+    key, size, times, nth = (fresh(docs, n) for n in ("__id", "__tokens", "__times", "__nth"))
+    name = F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))
+    marked = docs.withColumns({key: name, size: F.regexp_count(text_of("text"), F.lit(WORDS)).cast("long")})
+    chosen = mix_documents(docs).groupBy(name.alias(key), F.col("tokens").alias(size), "epoch").agg(F.count(F.lit(1)).alias(times)).drop("epoch")
+    chosen, _ = materialize(chosen, "mix-times")
+    out = marked
+    if chosen.where(F.col(times) > 1).limit(1).count():  # repeated ids: as many rows of each as were chosen
+        number = F.row_number().over(Window.partitionBy(key, size).orderBy(F.xxhash64("text")))
+        out = marked.withColumn(nth, number).join(chosen, [key, size]).where(F.col(nth) <= F.col(times))
+    else:
+        out = marked.join(chosen, [key, size])
+    return out.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 _SHARE = """

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, text_of
+from .common import fresh, materialize, text_of
 from .components import connected_components, spanning_forest
 
 T = 4
@@ -208,12 +208,13 @@ def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
     Of repeated rows with the kept id, one stays. Rows with a null id stay.
     """
+    key = fresh(docs, "__id")
     verdict = simhash_dedup(docs.select(id_col, text_col), id_col, text_col)
-    verdict, _ = materialize(verdict.where(F.col("component_id") == F.col(id_col)).groupBy(F.col(id_col).cast("long").alias("__id")).count(), "simhash-kept")
-    once = verdict.where("count = 1").select("__id")
-    keyed = docs.withColumn("__id", F.col(id_col).cast("long"))
-    stay = keyed.join(once, "__id", "left_semi").unionByName(keyed.where("__id is null"))
-    if verdict.where("count > 1").limit(1).count():
-        more = keyed.join(verdict.where("count > 1").select("__id"), "__id", "left_semi")
-        stay = stay.unionByName(more.dropDuplicates(["__id"]))
-    return stay.drop("__id")
+    verdict, _ = materialize(verdict.where(F.col("component_id") == F.col(id_col)).groupBy(F.col(id_col).cast("long").alias(key)).agg(F.count(F.lit(1)).alias("n")), "simhash-kept")
+    once = verdict.where("n = 1").select(key)
+    keyed = docs.withColumn(key, F.col(id_col).cast("long"))
+    stay = keyed.join(once, key, "left_semi").unionByName(keyed.where(F.col(key).isNull()))
+    if verdict.where("n > 1").limit(1).count():
+        more = keyed.join(verdict.where("n > 1").select(key), key, "left_semi")
+        stay = stay.unionByName(more.dropDuplicates([key]))
+    return stay.select(*[F.col(f"`{c}`") for c in docs.columns])
