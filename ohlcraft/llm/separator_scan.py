@@ -19,7 +19,6 @@ from pyspark.sql.window import Window
 
 from . import common
 from .encoding import default_tokenizer, encoder
-from .records import in_order
 
 #: <|endoftext|> of the default vocabulary; no text yields it, as its string is encoded as plain text.
 SEPARATOR = 49407
@@ -54,12 +53,13 @@ def _flat_writer(folder: str, tokenizer: str, separator: int):
 
 
 def write_flat(docs: DataFrame, folder: str, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None, separator: int = SEPARATOR) -> DataFrame:
-    """Write the ids of every text and a separator as flat files, in ascending id order.
+    """Write the ids of every text and a separator as flat files, one for each partition of ``docs`` in its order.
 
     Returns which document is where, without offsets: (path, n_bytes, seq, id), seq counting from 0
     in each file. Null texts count as empty and leave the separator alone.
     """
-    return in_order(docs, id_col, text_col).mapInArrow(_flat_writer(folder, tokenizer or default_tokenizer(), separator), "path string, n_bytes long, seq long, id long")
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), common.text_of(text_col).alias("text"))
+    return rows.mapInArrow(_flat_writer(folder, tokenizer or default_tokenizer(), separator), "path string, n_bytes long, seq long, id long")
 
 
 def _scan(width: int, separator: int):
@@ -122,7 +122,7 @@ def token_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """Write ``docs`` as flat token files, scan them, and return (id_col, start, n_tokens).
 
     One row a document row, counted from the files alone: n_tokens with the separator, start the
-    tokens of all documents before it by id. Null ids are kept and come first; null texts count as
+    tokens before the document in the files, one after another. Null ids are kept; null texts count as
     empty; other columns aren't looked at; an empty table gives an empty result.
     """
     spark = docs.sparkSession
@@ -131,7 +131,7 @@ def token_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     files, _ = common.materialize(where.groupBy("path").agg(F.first("n_bytes").alias("n_bytes")), "flat-files")
     width = encoder(tokenizer, True).dtype.itemsize
     scanned = scan_flat(spark, files, width, separator, block_bytes)
-    # one row a file: paths sort as the ids in them
+    # one row a file
     base = files.select("path", (F.sum("n_bytes").over(Window.orderBy("path")) - F.col("n_bytes")).alias("b"))
     base = base.select("path", F.floor(F.col("b") / width).alias("tokens"))
     out = scanned.join(where.select("path", "seq", "id"), ["path", "seq"]).join(base, "path")
