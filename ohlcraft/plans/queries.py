@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import indicator_queries
+from . import indicator_queries, signal_queries
 
-QUERIES = {**indicator_queries.QUERIES}
-ORACLES = {**indicator_queries.ORACLES}
+QUERIES = {**indicator_queries.QUERIES, **signal_queries.QUERIES}
+ORACLES = {**indicator_queries.ORACLES, **signal_queries.ORACLES}
