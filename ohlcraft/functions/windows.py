@@ -6,13 +6,22 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window, WindowSpec
 
-W = Window.partitionBy("symbol").orderBy("ts")
-ALL = Window.partitionBy("symbol")
-UPTO = W.rowsBetween(Window.unboundedPreceding, 0)
+def W() -> WindowSpec:
+    return Window.partitionBy("symbol").orderBy("ts")
+
+
+def ALL() -> WindowSpec:
+    return Window.partitionBy("symbol")
+
+
+def UPTO() -> WindowSpec:
+    return W().rowsBetween(Window.unboundedPreceding, 0)
+
+
 
 
 def last_n(n: int, upto: int = 0) -> WindowSpec:
-    return W.rowsBetween(upto - n + 1, upto)
+    return W().rowsBetween(upto - n + 1, upto)
 
 
 def col(x: Column | str) -> Column:
@@ -20,11 +29,11 @@ def col(x: Column | str) -> Column:
 
 
 def prev(x: Column | str, n: int = 1) -> Column:
-    return F.lag(col(x), n).over(W)
+    return F.lag(col(x), n).over(W())
 
 
 def following(x: Column | str, n: int = 1) -> Column:
-    return F.lead(col(x), n).over(W)
+    return F.lead(col(x), n).over(W())
 
 
 def rolling(agg, x: Column | str, n: int, least: int | None = None) -> Column:
@@ -62,16 +71,16 @@ def change(x: Column | str, n: int = 1) -> Column:
 
 
 def ffill(x: Column | str) -> Column:
-    return F.last(col(x), ignorenulls=True).over(UPTO)
+    return F.last(col(x), ignorenulls=True).over(UPTO())
 
 
 def bfill(x: Column | str) -> Column:
-    return F.first(col(x), ignorenulls=True).over(W.rowsBetween(0, Window.unboundedFollowing))
+    return F.first(col(x), ignorenulls=True).over(W().rowsBetween(0, Window.unboundedFollowing))
 
 
 def persist_sign(x: Column | str) -> Column:
     """The last value that isn't zero, zero before there is one."""
-    return F.coalesce(F.last(F.nullif(col(x), F.lit(0)), ignorenulls=True).over(UPTO), F.lit(0))
+    return F.coalesce(F.last(F.nullif(col(x), F.lit(0)), ignorenulls=True).over(UPTO()), F.lit(0))
 
 
 def truth(x: Column) -> Column:
@@ -91,12 +100,12 @@ def run_length(df: DataFrame, state: Column, name: str) -> DataFrame:
     """Adds the number of rows for which ``state`` has held, this one included (gaps and islands)."""
     s, g = f"{name}__s", f"{name}__g"
     out = df.withColumn(s, state)
-    out = out.withColumn(g, F.sum(F.when(F.col(s).eqNullSafe(prev(s)), 0).otherwise(1)).over(UPTO))
+    out = out.withColumn(g, F.sum(F.when(F.col(s).eqNullSafe(prev(s)), 0).otherwise(1)).over(UPTO()))
     return out.withColumn(name, F.row_number().over(Window.partitionBy("symbol", g).orderBy("ts"))).drop(s, g)
 
 
 def row_index(df: DataFrame, name: str = "i") -> DataFrame:
-    return df.withColumn(name, F.row_number().over(W) - 1)
+    return df.withColumn(name, F.row_number().over(W()) - 1)
 
 
 def fold(df: DataFrame, inputs: list[str], init: str, step: str, outputs: dict[str, str], keep: list[str] | None = None) -> DataFrame:

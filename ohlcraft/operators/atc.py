@@ -69,7 +69,7 @@ def ma_signal(close: Column, ma: Column) -> Column:
 
 def prepare(df: DataFrame, cfg: Config) -> DataFrame:
     """Candles with row index, relative change and its growth-weighted form."""
-    out = df.select("symbol", "ts", "close").withColumn("i", F.row_number().over(W) - 1)
+    out = df.select("symbol", "ts", "close").withColumn("i", F.row_number().over(W()) - 1)
     return out.withColumn("r", F.try_divide(F.col("close"), prev("close")) - 1).withColumn("rg", F.col("r") * growth(F.col("i"), cfg.lam / 1000, cfg.cutout))
 
 

@@ -56,7 +56,7 @@ def patterns(df: DataFrame, names: list[str] | None = None) -> DataFrame:
     """Adds a 0/1 column for each pattern; a candle with too little history has 0."""
     out = df.withColumns({"o": F.col("open"), "h": F.col("high"), "l": F.col("low"), "c": F.col("close")})
     out = out.withColumns({k: F.expr(v) for k, v in _SHAPE.items()}).withColumn("br", F.expr("b / r"))
-    lags = {f"{x}{n}": F.lag(x, n).over(W) for x in _LAGGED for n in (1, 2, 3, 4)}
+    lags = {f"{x}{n}": F.lag(x, n).over(W()) for x in _LAGGED for n in (1, 2, 3, 4)}
     out = out.withColumns(lags)
     chosen = {n: F.when(F.expr(PATTERNS[n]), 1).otherwise(0) for n in names or PATTERNS}
     return out.select(*df.columns, *[c.alias(n) for n, c in chosen.items()])

@@ -56,7 +56,7 @@ def trend_direction(df: DataFrame, ma: str = "dwma") -> DataFrame:
 
 def on_balance_volume(df: DataFrame) -> DataFrame:
     signed = F.when(prev("close").isNull(), F.col("volume")).otherwise(F.signum(F.col("close") - prev("close")) * F.col("volume"))
-    return df.withColumn("ov", signed).withColumn("obv", F.sum("ov").over(UPTO)).drop("ov")
+    return df.withColumn("ov", signed).withColumn("obv", F.sum("ov").over(UPTO())).drop("ov")
 
 
 def moving_average_ratio(df: DataFrame, n: int = 14) -> DataFrame:
@@ -162,7 +162,7 @@ def adx(df: DataFrame, n: int = 14) -> DataFrame:
     a, p, m = (_wilder(k, f"x.{c}", n) for k, c in (("a", "tr"), ("p", "pdm"), ("m", "mdm")))
     out = fold(directional(df), ["tr", "pdm", "mdm"], f"struct({_NULL} AS a, {_NULL} AS p, {_NULL} AS m)", f"struct({a} AS a, {p} AS p, {m} AS m)", {"dx": "100D * abs(try_divide(100D * s.p, s.a) - try_divide(100D * s.m, s.a)) / nullif(try_divide(100D * s.p, s.a) + try_divide(100D * s.m, s.a), 0D)"})
     out = fold(out, ["dx"], f"struct({_NULL} AS m)", f"struct({_wilder('m', 'x.dx', n)} AS m)", {"adx": "s.m"})
-    n_rows = F.count(F.lit(1)).over(ALL)
+    n_rows = F.count(F.lit(1)).over(ALL())
     return out.withColumn("adx", F.when(n_rows >= 2 * n, F.coalesce(bfill("adx"), F.lit(0.0)))).drop("tr", "pdm", "mdm", "dx")
 
 
@@ -236,7 +236,7 @@ def fractional_difference(df: DataFrame, d: float = 0.4, window: int = 10) -> Da
 
 def atr_band(df: DataFrame, mult: float = 2.0, lengths: tuple[int, ...] = (2000, 200, 14, 10, 5)) -> DataFrame:
     """Range band: mult times the ATR of the longest length the series can fill; a hundredth of the close if none."""
-    out = true_range(df).withColumn("n_rows", F.count(F.lit(1)).over(ALL))
+    out = true_range(df).withColumn("n_rows", F.count(F.lit(1)).over(ALL()))
     n = F.coalesce(*[F.when(F.col("n_rows") >= k, F.lit(k)) for k in lengths], F.lit(0))
     out = out.withColumn("band_n", n.cast("double"))
     step = "struct(CASE WHEN x.band_n = 0 OR x.tr IS NULL THEN s.m WHEN s.m IS NULL THEN x.tr ELSE s.m + (x.tr - s.m) / x.band_n END AS m, x.i AS i, x.band_n AS n)"
@@ -250,7 +250,7 @@ def window_kit(df: DataFrame) -> DataFrame:
     out = df.withColumns(
         {
             "lag_1": prev("close"),
-            "lead_2": F.lead("close", 2).over(W),
+            "lead_2": F.lead("close", 2).over(W()),
             "diff_1": F.col("close") - prev("close"),
             "pct_3": change("close", 3),
             "roll_mean": rolling(F.avg, "close", 10),
@@ -260,8 +260,8 @@ def window_kit(df: DataFrame) -> DataFrame:
             "roll_max": rolling(F.max, "close", 10),
             "roll_q25_lower": rolling_lower_quantile("close", 10, 0.25),
             "roll_median": rolling_quantile("close", 10, 0.5),
-            "expanding_max": F.max("close").over(UPTO),
-            "cumsum": F.sum("close").over(UPTO),
+            "expanding_max": F.max("close").over(UPTO()),
+            "cumsum": F.sum("close").over(UPTO()),
             "skew": rolling_skew("close", 10),
         }
     )
@@ -275,7 +275,7 @@ def run_lengths(df: DataFrame) -> DataFrame:
 
 def gaps(df: DataFrame, every: int = 3) -> DataFrame:
     """Closes with holes, filled forwards, backwards, and by the straight line between neighbours."""
-    out = df.withColumn("i", F.row_number().over(W) - 1).withColumn("x", F.when(F.col("i") % every != 1, F.col("close")))
+    out = df.withColumn("i", F.row_number().over(W()) - 1).withColumn("x", F.when(F.col("i") % every != 1, F.col("close")))
     known = F.when(F.col("x").isNotNull(), F.col("i"))
     out = out.withColumns({"ff": ffill("x"), "bf": bfill("x"), "i0": ffill(known), "i1": bfill(known)})
     line = F.coalesce(F.col("ff") + (F.col("bf") - F.col("ff")) * F.try_divide(F.col("i") - F.col("i0"), F.col("i1") - F.col("i0")), F.col("ff"), F.col("bf"))

@@ -10,7 +10,10 @@ from ..functions.scalars import clip, gradient
 from ..functions.windows import UPTO, W, last_n, persist_sign, prev, rolling, run_length, truth
 from . import indicators as ind
 
-O = F.col("osc")
+def O() -> Column:
+    return F.col("osc")
+
+
 OWN = ("symbol", "ts", "open", "high", "low", "close", "volume", "dwma", "range_atr", "osc")
 
 
@@ -28,13 +31,13 @@ def _done(df: DataFrame, n: int, signal: Column, strength: Column) -> DataFrame:
 def basic(df: DataFrame, threshold: float = 0.0) -> DataFrame:
     """Side of the threshold, agreed by the trend, carried on; a bar that crosses zero has none."""
     c, m, b = F.col("close"), F.col("dwma"), F.col("range_atr")
-    raw = F.when(truth((O > threshold) & ((c > m) | (c > m + b))), 1).when(truth((O < -threshold) & ((c < m) | (c < m - b))), -1).otherwise(0)
+    raw = F.when(truth((O() > threshold) & ((c > m) | (c > m + b))), 1).when(truth((O() < -threshold) & ((c < m) | (c < m - b))), -1).otherwise(0)
     out = df.withColumn("raw", raw).withColumn("kept", persist_sign("raw"))
-    crossing = truth(((prev("osc") <= 0) & (O > 0)) | ((prev("osc") >= 0) & (O < 0)))
-    known = O.isNotNull() & m.isNotNull() & b.isNotNull()
+    crossing = truth(((prev("osc") <= 0) & (O() > 0)) | ((prev("osc") >= 0) & (O() < 0)))
+    known = O().isNotNull() & m.isNotNull() & b.isNotNull()
     signal = F.when(known & ~crossing, F.col("kept")).otherwise(0)
     out = out.withColumn("sig", signal)
-    force = clip(F.abs(O) / 100, 0.0, 1.0)
+    force = clip(F.abs(O()) / 100, 0.0, 1.0)
     force = F.when(truth((c > m + b) | (c < m - b)), clip(force * 1.5, 0.0, 1.0)).otherwise(force)
     return _done(out, 1, F.col("sig"), F.when(F.col("sig") != 0, force).otherwise(0.0)).drop("raw", "kept", "sig")
 
@@ -46,8 +49,8 @@ def _held(df: DataFrame, cond: Column, name: str) -> DataFrame:
 
 
 def sustained(df: DataFrame, bars: int = 3, threshold: float = 0.0) -> DataFrame:
-    out = _held(_held(df, O > threshold, "up"), O < -threshold, "down")
-    base = clip(F.abs(O) / 100, 0.0, 1.0) * 0.7
+    out = _held(_held(df, O() > threshold, "up"), O() < -threshold, "down")
+    base = clip(F.abs(O()) / 100, 0.0, 1.0) * 0.7
     sig = F.when(F.col("up") >= bars, 1).when(F.col("down") >= bars, -1).otherwise(0)
     held = F.greatest(F.col("up"), F.col("down"))
     return _done(out, 2, sig, F.when(sig != 0, F.greatest(clip(held / (2.0 * bars), 0.0, 1.0), base)).otherwise(0.0)).drop("up", "down")
@@ -55,20 +58,20 @@ def sustained(df: DataFrame, bars: int = 3, threshold: float = 0.0) -> DataFrame
 
 def _confirmed(df: DataFrame, upper: Column, lower: Column, bars: int) -> DataFrame:
     """cu, cd: a crossing ``bars`` ago that has held since. Before there are so many bars it counts as crossed."""
-    out = _held(_held(df, O > upper, "up"), O < lower, "down")
-    out = out.withColumns({"xu": truth((prev("osc") <= upper) & (O > upper)), "xd": truth((prev("osc") >= lower) & (O < lower))})
+    out = _held(_held(df, O() > upper, "up"), O() < lower, "down")
+    out = out.withColumns({"xu": truth((prev("osc") <= upper) & (O() > upper)), "xd": truth((prev("osc") >= lower) & (O() < lower))})
     return out.withColumns({"cu": (F.col("up") >= bars) & F.coalesce(prev("xu", bars), F.lit(True)), "cd": (F.col("down") >= bars) & F.coalesce(prev("xd", bars), F.lit(True))})
 
 
 def _carried(df: DataFrame, fresh: str, inside: Column, side: int, name: str) -> DataFrame:
     """``side`` from a fresh signal on while the bar stays inside the zone."""
-    out = df.withColumn("z", F.sum(F.when(truth(inside), 0).otherwise(1)).over(UPTO))
+    out = df.withColumn("z", F.sum(F.when(truth(inside), 0).otherwise(1)).over(UPTO()))
     seen = F.max(F.when(F.col(fresh) == side, 1).otherwise(0)).over(Window.partitionBy("symbol", "z").orderBy("ts").rowsBetween(Window.unboundedPreceding, 0))
     return out.withColumn(name, truth(inside) & (seen == 1)).drop("z")
 
 
 def _zone_signal(df: DataFrame, upper: Column, lower: Column) -> DataFrame:
-    out = _carried(_carried(df, "fresh", O > upper, 1, "lng"), "fresh", O < lower, -1, "sht")
+    out = _carried(_carried(df, "fresh", O() > upper, 1, "lng"), "fresh", O() < lower, -1, "sht")
     return out.withColumn("sig", F.when(F.col("lng"), 1).when(F.col("sht"), -1).otherwise(0))
 
 
@@ -79,25 +82,25 @@ def crossover(df: DataFrame, bars: int = 2, threshold: float = 0.0) -> DataFrame
     hi, lo = F.lit(threshold), F.lit(-threshold)
     out = _confirmed(df, hi, lo, bars)
     out = _zone_signal(out.withColumn("fresh", F.when(F.col("cu"), 1).when(F.col("cd"), -1).otherwise(0)), hi, lo)
-    return _done(out, 3, F.col("sig"), F.when(F.col("sig") != 0, clip(F.abs(O) / 100, 0.0, 1.0)).otherwise(0.0)).drop(*_SCRATCH)
+    return _done(out, 3, F.col("sig"), F.when(F.col("sig") != 0, clip(F.abs(O()) / 100, 0.0, 1.0)).otherwise(0.0)).drop(*_SCRATCH)
 
 
 def momentum(df: DataFrame, period: int = 3, threshold: float = 5.0) -> DataFrame:
-    m = O - prev("osc", period)
+    m = O() - prev("osc", period)
     out = df.withColumn("mo", m)
     sig = F.when(F.col("mo") > threshold, 1).when(F.col("mo") < -threshold, -1).otherwise(0)
-    force = F.greatest(clip(F.abs("mo") / (3 * threshold), 0.0, 1.0), clip(F.abs(O) / 100, 0.0, 1.0) * 0.5)
+    force = F.greatest(clip(F.abs("mo") / (3 * threshold), 0.0, 1.0), clip(F.abs(O()) / 100, 0.0, 1.0) * 0.5)
     return _done(out, 4, sig, F.when(sig != 0, force).otherwise(0.0)).drop("mo")
 
 
 def breakout(df: DataFrame, upper: float = 100.0, lower: float = -100.0, bars: int = 2, exhaustion: float = 150.0) -> DataFrame:
     hi, lo = F.lit(upper), F.lit(lower)
-    out = _confirmed(df, hi, lo, bars).withColumn("tired", truth(F.abs(O) >= exhaustion))
+    out = _confirmed(df, hi, lo, bars).withColumn("tired", truth(F.abs(O()) >= exhaustion))
     out = out.withColumn("fresh", F.when(F.col("cu") & ~F.col("tired"), 1).when(F.col("cd") & ~F.col("tired"), -1).otherwise(0))
     out = _zone_signal(out, hi, lo)
-    over, under = clip((O - upper) / 50, 0.0, 1.0), clip((lower - O) / 50, 0.0, 1.0)
+    over, under = clip((O() - upper) / 50, 0.0, 1.0), clip((lower - O()) / 50, 0.0, 1.0)
     force = F.when(F.col("sig") == 1, F.greatest(over, F.when(F.col("cu"), 0.3).otherwise(0.2))).when(F.col("sig") == -1, F.greatest(under, F.when(F.col("cd"), 0.3).otherwise(0.2))).otherwise(0.0)
-    sig = F.when(F.col("tired") | O.isNull(), 0).otherwise(F.col("sig"))
+    sig = F.when(F.col("tired") | O().isNull(), 0).otherwise(F.col("sig"))
     return _done(out, 6, sig, F.when(F.col("tired"), 0.0).otherwise(force)).drop(*_SCRATCH)
 
 
@@ -107,17 +110,17 @@ def divergence(df: DataFrame, swing: int = 5, least: float = 10.0) -> DataFrame:
     An extreme isn't passed by the ``swing`` bars before it; each is held against the extreme before
     it in its own series.
     """
-    earlier, before = W.rowsBetween(-swing, -1), W.rowsBetween(Window.unboundedPreceding, -1)
+    earlier, before = W().rowsBetween(-swing, -1), W().rowsBetween(Window.unboundedPreceding, -1)
     out = df
     for x, agg, top, last in (("high", F.max, "hp", "hq"), ("osc", F.max, "op", "oq"), ("low", F.min, "lp", "lq"), ("osc", F.min, "ot", "or")):
         edge = agg(x).over(earlier)
         out = out.withColumn(top, truth(F.col(x) >= edge if agg is F.max else F.col(x) <= edge))
         out = out.withColumn(last, F.last(F.when(F.col(top), F.col(x)), ignorenulls=True).over(before))
-    bear = truth(F.col("hp") & F.col("op") & (F.col("high") > F.col("hq")) & (O < F.col("oq")) & (F.abs(O - F.col("oq")) >= least))
-    bull = truth(F.col("lp") & F.col("ot") & (F.col("low") < F.col("lq")) & (O > F.col("or")) & (F.abs(O - F.col("or")) >= least))
+    bear = truth(F.col("hp") & F.col("op") & (F.col("high") > F.col("hq")) & (O() < F.col("oq")) & (F.abs(O() - F.col("oq")) >= least))
+    bull = truth(F.col("lp") & F.col("ot") & (F.col("low") < F.col("lq")) & (O() > F.col("or")) & (F.abs(O() - F.col("or")) >= least))
     rise = F.coalesce(F.try_divide(F.col("high") - F.col("hq"), F.col("hq")) * 100, F.lit(0.0))
     fall = F.coalesce(F.try_divide(F.col("lq") - F.col("low"), F.col("lq")) * 100, F.lit(0.0))
-    force = F.when(F.col("bear"), clip((rise + F.abs(O - F.col("oq")) / 100) / 2, 0.0, 1.0)).when(F.col("bull"), clip((fall + F.abs(O - F.col("or")) / 100) / 2, 0.0, 1.0))
+    force = F.when(F.col("bear"), clip((rise + F.abs(O() - F.col("oq")) / 100) / 2, 0.0, 1.0)).when(F.col("bull"), clip((fall + F.abs(O() - F.col("or")) / 100) / 2, 0.0, 1.0))
     out = out.withColumns({"bear": bear & ~bull, "bull": bull & ~bear}).withColumn("df", force)
     sig = F.when(F.coalesce(prev("bull", swing), F.lit(False)), 1).when(F.coalesce(prev("bear", swing), F.lit(False)), -1).otherwise(0)
     return _done(out, 7, sig, F.when(sig != 0, prev("df", swing)).otherwise(0.0)).drop("hp", "hq", "op", "oq", "lp", "lq", "ot", "or", "bear", "bull", "df")
@@ -125,23 +128,23 @@ def divergence(df: DataFrame, swing: int = 5, least: float = 10.0) -> DataFrame:
 
 def trend_following(df: DataFrame, period: int = 10, threshold: float = 20.0) -> DataFrame:
     least = int(period * 0.7)
-    slope = F.when((F.count("osc").over(last_n(period)) >= least) & O.isNotNull(), (O - prev("osc", period - 1)) / period)
-    over = F.sum(F.when(truth(O > threshold), 1).otherwise(0)).over(last_n(period))
-    under = F.sum(F.when(truth(O < -threshold), 1).otherwise(0)).over(last_n(period))
+    slope = F.when((F.count("osc").over(last_n(period)) >= least) & O().isNotNull(), (O() - prev("osc", period - 1)) / period)
+    over = F.sum(F.when(truth(O() > threshold), 1).otherwise(0)).over(last_n(period))
+    under = F.sum(F.when(truth(O() < -threshold), 1).otherwise(0)).over(last_n(period))
     steady = truth(F.greatest(over, under) / period >= 0.7) & (F.count(F.lit(1)).over(last_n(period)) >= least)
     out = df.withColumns({"sl": slope, "st": steady})
-    sig = F.when(truth((O > threshold) & (F.col("sl") > 0) & F.col("st")), 1).when(truth((O < -threshold) & (F.col("sl") < 0) & F.col("st")), -1).otherwise(0)
-    force = (clip(F.abs(O) / 100, 0.0, 1.0) + clip(F.abs("sl") / 10, 0.0, 1.0)) / 2
+    sig = F.when(truth((O() > threshold) & (F.col("sl") > 0) & F.col("st")), 1).when(truth((O() < -threshold) & (F.col("sl") < 0) & F.col("st")), -1).otherwise(0)
+    force = (clip(F.abs(O()) / 100, 0.0, 1.0) + clip(F.abs("sl") / 10, 0.0, 1.0)) / 2
     return _done(out, 8, sig, F.when(sig != 0, force).otherwise(0.0)).drop("sl", "st")
 
 
 def mean_reversion(df: DataFrame, extreme: float = 80.0, near: float = 10.0, bars: int = 3) -> DataFrame:
     """From a stay at an extreme, which ended with the bar before, to the neighbourhood of zero."""
-    out = _held(_held(df, O > extreme, "up"), O < -extreme, "down")
-    into = truth(F.abs(O) <= near)
+    out = _held(_held(df, O() > extreme, "up"), O() < -extreme, "down")
+    into = truth(F.abs(O()) <= near)
     out = out.withColumns({"fu": into & truth(prev("up") >= bars), "fd": into & truth(prev("down") >= bars), "po": prev("osc")})
     sig = F.when(F.col("fd"), 1).when(F.col("fu"), -1).otherwise(0)
-    force = F.greatest(F.lit(0.4), (clip(F.abs("po") / 100, 0.0, 1.0) + clip(1 - F.abs(O) / near, 0.0, 1.0)) / 2)
+    force = F.greatest(F.lit(0.4), (clip(F.abs("po") / 100, 0.0, 1.0) + clip(1 - F.abs(O()) / near, 0.0, 1.0)) / 2)
     return _done(out, 9, sig, F.when(sig != 0, force).otherwise(0.0)).drop("up", "down", "fd", "fu", "po")
 
 
@@ -181,7 +184,7 @@ SUITED = (("volatility", 0.6, (6, 7)), ("trend", 0.5, (3, 4, 6, 8)), ("ranging",
 
 def market_conditions(df: DataFrame, lookback: int = 20, which: tuple[int, ...] = (2, 3, 4, 6, 7, 8, 9)) -> DataFrame:
     """(symbol, volatility, trend, ranging, strategies) from each symbol's last bars; all strategies if none suits."""
-    t = df.withColumns({"rn": F.row_number().over(Window.partitionBy("symbol").orderBy(F.desc("ts"))), "move": F.abs(O - prev("osc"))}).where(F.col("rn") <= lookback)
+    t = df.withColumns({"rn": F.row_number().over(Window.partitionBy("symbol").orderBy(F.desc("ts"))), "move": F.abs(O() - prev("osc"))}).where(F.col("rn") <= lookback)
     inner = F.when(F.col("rn") < lookback, F.col("move"))
     g = t.groupBy("symbol").agg(F.stddev_samp("range_atr").alias("sd"), F.avg("range_atr").alias("m"), F.avg(inner).alias("mv"), (F.max("osc") - F.min("osc")).alias("span"))
     g = g.withColumns({"volatility": F.when(F.col("m") > 0, F.least(F.lit(1.0), F.col("sd") / (F.col("m") + 1e-10) * 2)).otherwise(0.5), "trend": F.when(F.col("span") > 0, F.least(F.lit(1.0), F.col("mv") / (F.col("span") + 1e-10) * 2)).otherwise(0.5)})

@@ -194,7 +194,7 @@ def _cross_rank(spark, sf_dir):
     d = candles.hourly(spark, sf_dir).withColumn("m", sma("close", 20))
     event = F.when(crosses_up(F.col("close"), F.col("m")), 1).when(crosses_down(F.col("close"), F.col("m")), -1).otherwise(0)
     d = d.withColumn("event", event).withColumn("signal", persist_sign("event"))
-    d = run_length(d, F.col("signal"), "bars").withColumn("back", F.row_number().over(W.orderBy(F.desc("ts"))))
+    d = run_length(d, F.col("signal"), "bars").withColumn("back", F.row_number().over(W().orderBy(F.desc("ts"))))
     d = d.where("back = 1").withColumn("distance", r6(F.try_divide(F.col("close"), F.col("m")) - 1))
     return d.select("symbol", "ts", "signal", F.col("bars").cast("long").alias("bars"), "distance").orderBy(F.abs("distance").desc(), "symbol").limit(20)
 

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from . import indicator_queries, signal_queries
+from . import indicator_queries, relational_queries, signal_queries
 
-QUERIES = {**indicator_queries.QUERIES, **signal_queries.QUERIES}
-ORACLES = {**indicator_queries.ORACLES, **signal_queries.ORACLES}
+_MODULES = (indicator_queries, signal_queries, relational_queries)
+QUERIES = {k: v for m in _MODULES for k, v in m.QUERIES.items()}
+ORACLES = {k: v for m in _MODULES for k, v in m.ORACLES.items()}
