@@ -48,7 +48,7 @@ def hurst(df: DataFrame, keys: list[str], x: str, max_lag: int = 100) -> DataFra
     w = Window.partitionBy(*keys).orderBy("ts")
     t = df.withColumn("n", F.count(x).over(Window.partitionBy(*keys)))
     diffs = F.array(*[F.struct(F.lit(k).alias("lag"), (F.col(x) - F.lag(x, k).over(w)).alias("d")) for k in range(2, max_lag)])
-    t = t.select(*keys, "n", F.inline(diffs)).where((F.col("lag") < F.least(F.lit(max_lag), F.floor(F.col("n") / 2))) & F.col("d").isNotNull())
+    t = t.withColumn("__d", diffs).select(*keys, "n", F.inline("__d")).where((F.col("lag") < F.least(F.lit(max_lag), F.floor(F.col("n") / 2))) & F.col("d").isNotNull())
     s = t.groupBy(*keys, "lag").agg(F.stddev_pop("d").alias("s")).where("s > 0")
     g = s.groupBy(*keys).agg((2 * F.regr_slope(F.log(F.sqrt("s")), F.log("lag"))).alias("h"), F.count(F.lit(1)).alias("k"))
     return g.where("k >= 2").select(*keys, F.greatest(F.lit(0.0), F.least(F.lit(2.0), F.col("h"))).alias("hurst"))
@@ -70,7 +70,7 @@ def direction_metrics(df: DataFrame, keys: list[str], z: str, threshold: float =
     w = Window.partitionBy(*keys).orderBy("ts")
     t = df.withColumn("nxt", F.lead("spread").over(w) - F.col("spread"))
     t = t.withColumns({"pred": F.when(F.col(z) > threshold, -1).when(F.col(z) < -threshold, 1), "real": F.signum("nxt").cast("int")}).where("pred IS NOT NULL AND nxt IS NOT NULL")
-    g = t.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.count_if("pred = 1 AND real = 1").alias("tp"), F.count_if("pred = 1 AND real != 1").alias("fp"), F.count_if("pred = -1 AND real = 1").alias("fn"), F.count_if("pred = real").alias("ok"))
+    g = t.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.expr("pred = 1 AND real = 1")).alias("tp"), F.count_if(F.expr("pred = 1 AND real != 1")).alias("fp"), F.count_if(F.expr("pred = -1 AND real = 1")).alias("fn"), F.count_if(F.expr("pred = real")).alias("ok"))
     p, r = F.try_divide(F.col("tp"), F.col("tp") + F.col("fp")), F.try_divide(F.col("tp"), F.col("tp") + F.col("fn"))
     g = g.where(F.col("n") >= least).withColumns({"precision": p, "recall": r, "accuracy": F.col("ok") / F.col("n")})
     return g.select(*keys, "precision", "recall", F.try_divide(2 * F.col("precision") * F.col("recall"), F.col("precision") + F.col("recall")).alias("f1"), "accuracy")
