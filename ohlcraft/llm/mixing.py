@@ -151,9 +151,9 @@ def mixed_rows(docs: DataFrame) -> DataFrame:
     out = marked
     if chosen.where(F.col(times) > 1).limit(1).count():  # repeated ids: as many rows of each as were chosen
         number = F.row_number().over(Window.partitionBy(key, size).orderBy(F.xxhash64("text")))
-        out = marked.withColumn(nth, number).join(chosen, [key, size]).where(F.col(nth) <= F.col(times))
+        out = marked.withColumn(nth, number).join(chosen.hint("merge"), [key, size]).where(F.col(nth) <= F.col(times))
     else:
-        out = marked.join(chosen, [key, size])
+        out = marked.join(chosen.hint("merge"), [key, size])  # as many ids as documents: never a broadcast
     return out.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 

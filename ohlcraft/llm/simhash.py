@@ -211,10 +211,11 @@ def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     key = fresh(docs, "__id")
     verdict = simhash_dedup(docs.select(id_col, text_col), id_col, text_col)
     verdict, _ = materialize(verdict.where(F.col("component_id") == F.col(id_col)).groupBy(F.col(id_col).cast("long").alias(key)).agg(F.count(F.lit(1)).alias("n")), "simhash-kept")
-    once = verdict.where("n = 1").select(key)
+    # as many ids as documents: sort-merge at every size, never a broadcast
+    once = verdict.where("n = 1").select(key).hint("merge")
     keyed = docs.withColumn(key, F.col(id_col).cast("long"))
     stay = keyed.join(once, key, "left_semi").unionByName(keyed.where(F.col(key).isNull()))
     if verdict.where("n > 1").limit(1).count():
-        more = keyed.join(verdict.where("n > 1").select(key), key, "left_semi")
+        more = keyed.join(verdict.where("n > 1").select(key).hint("merge"), key, "left_semi")
         stay = stay.unionByName(more.dropDuplicates([key]))
     return stay.select(*[F.col(f"`{c}`") for c in docs.columns])
