@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import analysis_queries, indicator_queries, relational_queries, signal_queries
+from . import analysis_queries, indicator_queries, relational_queries, signal_queries, streaming_queries
 
-_MODULES = (indicator_queries, signal_queries, relational_queries, analysis_queries)
+_MODULES = (indicator_queries, signal_queries, relational_queries, analysis_queries, streaming_queries)
 QUERIES = {k: v for m in _MODULES for k, v in m.QUERIES.items()}
 ORACLES = {k: v for m in _MODULES for k, v in m.ORACLES.items()}
