@@ -110,8 +110,14 @@ def read_range(uri: str, offset: int, length: int) -> bytes:
 
 
 def ship(spark: SparkSession) -> None:
-    """Give this package to the executors, once per application, in case their path doesn't have it."""
+    """Give this package to the executors, once per application, in case their path doesn't have it.
+
+    Texts go to Python in batches of a thousand, unless the session says otherwise: ten thousand long
+    texts at once would not fit beside an executor's heap.
+    """
     sc = spark.sparkContext
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
     if getattr(sc, "_ohlcraft_shipped", False):
         return
     import shutil
@@ -123,3 +129,11 @@ def ship(spark: SparkSession) -> None:
     shutil.copytree(package, stage / package.name, ignore=shutil.ignore_patterns("__pycache__"))
     sc.addPyFile(shutil.make_archive(f"{made}/{package.name}", "zip", stage))
     sc._ohlcraft_shipped = True
+
+
+def forget_words() -> None:
+    """Drop this worker's tokenizer cache: workers serve other stages after those that encode."""
+    import sys
+
+    if encoding := sys.modules.get(f"{__package__}.encoding"):
+        encoding.encoder.cache_clear()

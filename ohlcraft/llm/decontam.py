@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_of
+from .common import forget_words, text_of
 
 N = 3
 WINDOW = 4
@@ -79,6 +79,7 @@ def grams(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _count(items: Items, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    forget_words()
     counts = np.zeros(len(items.all), np.int64)
     for b in batches:
         for text in b.column(0).to_pylist():

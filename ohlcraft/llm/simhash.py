@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, materialize, text_of
+from .common import forget_words, fresh, materialize, text_of
 from .components import connected_components, spanning_forest
 
 T = 4
@@ -67,6 +67,7 @@ def fingerprint(data: bytes) -> int:
 
 
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    forget_words()
     for b in batches:
         texts = b.column(1).cast(pa.binary())
         out = np.fromiter((fingerprint(x.as_py()) for x in texts), np.uint64, len(texts))

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_of
+from .common import forget_words, text_of
 
 #: Labelled rows used for training at most, taken by a seeded hash of their id.
 MAX_TRAIN = 10_000
@@ -34,14 +34,14 @@ FOLDS = 3
 #: Set on labelled rows held out of training: no clean one reached a tenth, 1 toxic one in 600 stayed under this.
 THRESHOLD = 0.2
 _WORD = re.compile(r"[^\W\d_]+")
-_CACHE = 400_000
+_CACHE = 200_000
 
 
 def _hash(feature: str) -> int:
     return zlib.crc32(feature.encode("utf-8", "replace"))
 
 
-@lru_cache(maxsize=200_000)
+@lru_cache(maxsize=20_000)
 def _word_features(word: str) -> tuple[int, ...]:
     return (_hash(f"w {word}"), *[_hash(f"{n} {word[:n]}") for n in (3, 4, 5) if len(word) > n])
 
@@ -174,6 +174,7 @@ def train_chain(rows: list[np.ndarray], labels: np.ndarray, folds: np.ndarray) -
 
 
 def _featurize(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    forget_words()
     for b in batches:
         hashes = pa.array([sorted(features(t)) for t in b.column(1).to_pylist()], pa.list_(pa.int64()))
         yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), hashes], ["id", "y", "f"])
@@ -227,6 +228,7 @@ def predict(models: list[Model]):
 
     @F.pandas_udf("array<double>")
     def scores(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        forget_words()
         score = _scorer(models)
         for texts in parts:
             yield pd.Series([score(t) for t in texts])
