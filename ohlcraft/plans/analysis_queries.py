@@ -278,7 +278,7 @@ add(
     q(f"SELECT symbol, ts, {R('sin(2 * pi() * hour(ts) / 24)')} AS hour_sin, {R('cos(2 * pi() * hour(ts) / 24)')} AS hour_cos, {R('sin(2 * pi() * (isodow(ts) - 1) / 7)')} AS day_sin, {R('cos(2 * pi() * (isodow(ts) - 1) / 7)')} AS day_cos, CASE WHEN hour(ts) IN (0, 8, 16) THEN 1 ELSE 0 END AS is_funding_hour, CAST(hour(ts) % 8 AS INTEGER) AS hours_to_funding, row_number() OVER {o.W} - 1 AS candle_index FROM c"),
 )
 add("standardized_features", lambda d: labels.standardized(d, ["close", "volume"]).select("symbol", "ts", "close_z", "volume_z"), q("SELECT symbol, ts, " + ", ".join(f"{R(f'coalesce(({x} - avg({x}) OVER (PARTITION BY symbol)) / nullif(stddev_pop({x}) OVER (PARTITION BY symbol), 0), 0)')} AS {x}_z" for x in ("close", "volume")) + " FROM c"))
-add("chronological_split", lambda d: labels.split(d).groupBy("symbol", "part").agg(F.count(F.lit(1)).alias("n"), F.min("ts").alias("first"), F.max("ts").alias("last")), q("SELECT symbol, part, count(*)::BIGINT AS n, min(ts) AS first, max(ts) AS last FROM (SELECT *, CASE WHEN i < floor(k * 0.7) - 24 THEN 'train' WHEN i < floor(k * 0.7) THEN 'gap' WHEN i < floor(k * 0.85) - 24 THEN 'validation' WHEN i < floor(k * 0.85) THEN 'gap' ELSE 'test' END AS part FROM z) GROUP BY ALL", f"z AS (SELECT *, row_number() OVER {o.W} - 1 AS i, count(*) OVER (PARTITION BY symbol) AS k FROM c)"))
+add("chronological_split", lambda d: labels.split(d).groupBy("symbol", "part").agg(F.count(F.lit(1)).alias("n"), F.min("ts").alias("first"), F.max("ts").alias("last")), q("SELECT symbol, part, count(*)::BIGINT AS n, min(ts) AS first, max(ts) AS last FROM (SELECT *, CASE WHEN i < floor(k * 0.7::DOUBLE) - 24 THEN 'train' WHEN i < floor(k * 0.7::DOUBLE) THEN 'gap' WHEN i < floor(k * 0.85::DOUBLE) - 24 THEN 'validation' WHEN i < floor(k * 0.85::DOUBLE) THEN 'gap' ELSE 'test' END AS part FROM z) GROUP BY ALL", f"z AS (SELECT *, row_number() OVER {o.W} - 1 AS i, count(*) OVER (PARTITION BY symbol) AS k FROM c)"))
 add("walk_forward_folds", lambda d: labels.walk_forward(d).groupBy("symbol", "fold", "part").agg(F.count(F.lit(1)).alias("n")), q("SELECT symbol, CAST(k AS INTEGER) AS fold, CASE WHEN i < 200 + k * 50 THEN 'train' ELSE 'test' END AS part, count(*)::BIGINT AS n FROM z, range(4) t(k) WHERE i >= k * 50 AND i < 250 + k * 50 GROUP BY ALL", f"z AS (SELECT *, row_number() OVER {o.W} - 1 AS i FROM c)"))
 add("feature_drift", lambda d: labels.drift(d), q(f"SELECT symbol, {R('(avg(close) FILTER (rn <= 50) - avg(close) FILTER (rn > 50)) / nullif(stddev_samp(close) FILTER (rn > 50), 0)')} AS shift FROM z GROUP BY symbol", "z AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY ts DESC) AS rn FROM c)"))
 _RETS = f"fr AS (SELECT *, {_pct(1)} AS ret FROM c)"
