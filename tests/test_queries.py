@@ -1,6 +1,7 @@
 """Every query of the engine with an oracle, against DuckDB; the others against their own properties."""
 
 import os
+from numbers import Number
 
 import duckdb
 import pandas as pd
@@ -24,7 +25,7 @@ def duck():
 def plain(v):
     if pd.isna(v):
         return None
-    return float(f"{v:.9g}") + 0.0 if isinstance(v, float) else str(v)
+    return float(f"{float(v):.9g}") + 0.0 if isinstance(v, Number) else str(v)
 
 
 @pytest.mark.parametrize("name", sorted(plans.ORACLES))
