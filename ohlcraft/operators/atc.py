@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.windows import W, crosses_down, crosses_up, persist_sign, prev, sma
+from ..functions.windows import W, crosses_down, crosses_up, fold, last_n, persist_sign, prev, sma
 from . import indicators as ind
 
 KINDS = ("EMA", "HMA", "WMA", "DEMA", "LSMA", "KAMA")
@@ -94,8 +94,6 @@ def equities(df: DataFrame, names: list[str], starts: list[str], cfg: Config, pr
         f"CASE WHEN x.i < {cfg.cutout} THEN null WHEN s.{prefix}{k} IS NULL THEN {start} ELSE greatest(0.25D, s.{prefix}{k} * {1 - d!r}D * (1D + CASE WHEN x.p_{n} > 0 THEN coalesce(x.rg, 0D) WHEN x.p_{n} < 0 THEN -coalesce(x.rg, 0D) ELSE 0D END)) END AS {prefix}{k}"
         for k, (n, start) in enumerate(zip(names, starts, strict=True))
     )
-    from ..functions.windows import fold
-
     folded = fold(out, ["rg", *[f"p_{n}" for n in names]], f"struct({state})", f"struct({step})", {f"{prefix}{k}": f"s.{prefix}{k}" for k in range(len(names))})
     return folded.drop(*[f"p_{n}" for n in names])
 
@@ -112,12 +110,79 @@ def cut(signal: Column, i: Column, cfg: Config) -> Column:
     return F.when(i < cfg.cutout, 0).when(signal > cfg.long_threshold, 1).when(signal < cfg.short_threshold, -1).otherwise(0)
 
 
-def classify(df: DataFrame, cfg: Config | None = None, kinds: tuple[str, ...] = KINDS) -> DataFrame:
-    """(symbol, ts, close, <kind> ..., average): the layer-1 signals and the final one.
+def _line(n: int) -> list[float]:
+    """Weights, oldest first, of the linearly weighted mean of n values."""
+    return [2 * (k + 1) / (n * (n + 1)) for k in range(n)]
+
+
+def _convolved(a: list[float], b: list[float]) -> list[float]:
+    out = [0.0] * (len(a) + len(b) - 1)
+    for i, x in enumerate(a):
+        for j, y in enumerate(b):
+            out[i + j] += x * y
+    return out
+
+
+def _filters(ls: tuple[int, ...]) -> list[list[float]]:
+    """HMA, WMA and LSMA of all lengths as weights on the last closes: all three are linear."""
+    hull, line, square = [], [], []
+    for n in ls:
+        half = [0.0] * (n - n // 2) + _line(n // 2)
+        hull.append(_convolved([2 * u - v for u, v in zip(half, _line(n), strict=True)], _line(int(n**0.5))))
+        line.append(_line(n))
+        mid, sxx = (n - 1) / 2, n * (n * n - 1) / 12
+        square.append([1 / n + (k - mid) * mid / sxx for k in range(n)])
+    return [*hull, *line, *square]
 
-    Rows whose weights don't give a finite answer have 0.
+
+def _literal(rows: list) -> str:
+    return "array(" + ", ".join(_literal(r) if isinstance(r, list) else f"{r!r}D" if isinstance(r, float) else str(r) for r in rows) + ")"
+
+
+def classify(df: DataFrame, cfg: Config | None = None) -> DataFrame:
+    """(symbol, ts, i, close, <kind> ..., average): the layer-1 signals and the final one.
+
+    Three kinds of average are constant filters over one window of closes; folds carry the other three, the 54
+    signals and equities, and the six layer-1 equities, all arrays. A symbol costs one exchange. Rows whose weights don't give a finite answer have 0.
     """
     cfg = cfg or Config()
+    ls, d, n = lengths(cfg.length, cfg.robustness), cfg.decay / 100, len(KINDS)
+    filters = _filters(ls)
+    window = max(*map(len, filters), max(ls) + 1)
+    out = prepare(df, cfg).withColumn("cw", F.collect_list("close").over(last_n(window)))
+    dot = "aggregate(zip_with(slice(cw, -size(f), size(f)), f, (u, v) -> u * v), 0D, (t, v) -> t + v)"
+    out = out.withColumn("plain", F.expr(f"transform({_literal(filters)}, f -> CASE WHEN size(cw) >= size(f) THEN {dot} END)"))
+    path = "aggregate(zip_with(slice(cw, -m, m), slice(cw, -m - 1, m), (u, v) -> abs(u - v)), 0D, (t, v) -> t + v)"
+    out = out.withColumn("sc", F.expr(f"transform({_literal(list(ls))}, m -> CASE WHEN size(cw) > m THEN pow(coalesce(try_divide(abs(close - element_at(cw, -m - 1)), {path}), 0D) * {0.666 - 0.064!r}D + 0.064D, 2D) ELSE 0D END)"))
+    at, nine = f"element_at({_literal(list(ls))}, j + 1)", "sequence(0, 8)"
+    none = lambda k, v="cast(null AS double)": f"array_repeat({v}, {k})"
+    # four folds of little depth rather than one: the analyser's work grows fast with nested lambdas
+    ema = f"transform({nine}, j -> CASE WHEN x.i < {at} - 1 THEN null WHEN x.i = {at} - 1 THEN (s.t + x.close) / {at} ELSE s.m[j] + 2D / ({at} + 1) * (x.close - s.m[j]) END)"
+    kama = f"transform({nine}, j -> CASE WHEN x.i = 0 THEN x.close WHEN x.i < {at} THEN s.k[j] ELSE s.k[j] + x.sc[j] * (x.close - s.k[j]) END)"
+    out = fold(out, ["close", "sc"], f"struct(0D AS t, {none(9)} AS m, {none(9)} AS k)", f"struct(s.t + x.close AS t, {ema} AS m, {kama} AS k)", {"ema": "s.m", "kama": "s.k"}, ["ts", "i", "close", "rg", "plain"])
+    # the second mean starts with the plain mean of the first n values of the first
+    twice = f"transform({nine}, j -> CASE WHEN x.i < 2 * {at} - 2 THEN null WHEN x.i = 2 * {at} - 2 THEN (s.u[j] + x.ema[j]) / {at} ELSE s.d[j] + 2D / ({at} + 1) * (x.ema[j] - s.d[j]) END)"
+    summed = f"transform({nine}, j -> CASE WHEN x.i >= {at} - 1 AND x.i < 2 * {at} - 1 THEN s.u[j] + x.ema[j] ELSE s.u[j] END)"
+    out = fold(out, ["ema"], f"struct({none(9)} AS d, {none(9, '0D')} AS u)", f"struct({twice} AS d, {summed} AS u)", {"second": "s.d"}, ["ts", "i", "close", "rg", "plain", "ema", "kama"])
+    out = out.withColumn("ma", F.expr("concat(ema, slice(plain, 1, 9), slice(plain, 10, 9), zip_with(ema, second, (u, v) -> 2 * u - v), slice(plain, 19, 9), kama)"))
+    out = out.withColumns({"pm": prev("ma"), "pc": prev("close")})
+    out = out.withColumn("event", F.expr("CASE WHEN pm IS NULL THEN transform(ma, u -> 0) ELSE zip_with(ma, pm, (u, v) -> CASE WHEN close > u AND pc <= v THEN 1 WHEN close < u AND pc >= v THEN -1 ELSE 0 END) END"))
+    grown = "CASE WHEN g > 0 THEN coalesce(x.rg, 0D) WHEN g < 0 THEN -coalesce(x.rg, 0D) ELSE 0D END"
+    equity = lambda q, g: f"CASE WHEN x.i >= {cfg.cutout} THEN zip_with({q}, {g}, (q, g) -> CASE WHEN q IS NULL THEN 1D ELSE greatest(0.25D, q * {1 - d!r}D * (1D + {grown})) END) ELSE {q} END"
+    step = f"struct(zip_with(s.g, x.event, (g, v) -> CASE WHEN v = 0 THEN g ELSE v END) AS g, {equity('s.q', 's.g')} AS q)"
+    out = fold(out, ["rg", "event"], f"struct({none(9 * n, 0)} AS g, {none(9 * n)} AS q)", step, {"g": "s.g", "q": "s.q"}, ["ts", "i", "close", "rg"])
+    total = lambda e: f"aggregate(zip_with(slice(g, 9 * j + 1, 9), slice(q, 9 * j + 1, 9), (u, v) -> {e}), 0D, (t, v) -> t + v)"
+    out = out.withColumn("layers", F.expr(f"transform(sequence(0, {n - 1}), j -> rint(try_divide({total('u * v')}, {total('v')}) * 100) / 100)")).withColumn("pl", prev("layers"))
+    out = fold(out, ["rg", "pl"], f"struct({none(n)} AS w)", f"struct({equity('s.w', 'coalesce(x.pl, ' + none(n, '0D') + ')')} AS w)", {"weights": "s.w"}, ["ts", "i", "close", "layers"])
+    kinds = [F.col("layers")[k].alias(name) for k, name in enumerate(KINDS)]
+    num = sum(cut(F.col("layers")[k], F.col("i"), cfg) * F.col("weights")[k] for k in range(n))
+    den = sum(F.col("weights")[k] for k in range(n))
+    return out.select("symbol", "ts", "i", "close", *kinds, F.coalesce(F.try_divide(num, den), F.lit(0.0)).alias("average"))
+
+
+def classify_by_kind(df: DataFrame, cfg: Config | None = None, kinds: tuple[str, ...] = KINDS) -> DataFrame:
+    """The same from the single steps, for some kinds only."""
+    cfg = cfg or Config()
     base = prepare(df, cfg)
     out = None
     for kind in kinds:
@@ -135,10 +200,10 @@ def latest(df: DataFrame) -> DataFrame:
     return df.withColumn("rn", F.row_number().over(order)).where("rn = 1").drop("rn")
 
 
-def scan(df: DataFrame, limit: int = 1500, min_signal: float = 0.01, cfg: Config | None = None, kinds: tuple[str, ...] = KINDS) -> DataFrame:
+def scan(df: DataFrame, limit: int = 1500, min_signal: float = 0.01, cfg: Config | None = None) -> DataFrame:
     """(symbol, signal, direction, confidence, price) of symbols with enough history and a signal, the strongest first."""
     enough = df.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("symbol"))).where(F.col("n") >= limit).drop("n")
-    found = latest(classify(enough, cfg, kinds)).where((F.col("close") > 0) & (F.abs("average") >= min_signal))
+    found = latest(classify(enough, cfg)).where((F.col("close") > 0) & (F.abs("average") >= min_signal))
     s = F.col("average")
     side = F.when(s > 0.05, "UP").when(s < -0.05, "DOWN").otherwise("NEUTRAL")
     return found.select("symbol", s.alias("signal"), side.alias("direction"), F.abs(s).alias("confidence"), F.col("close").alias("price")).orderBy(F.desc("confidence"), "symbol")
