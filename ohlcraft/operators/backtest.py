@@ -130,3 +130,22 @@ def allocate(sizes: DataFrame, account: float = 10_000.0, most: float = 0.8, lea
     total = F.sum("share").over(Window.partitionBy(F.lit(1)))
     t = t.withColumn("share", F.when(total > most, F.col("share") / total * most).otherwise(F.col("share")))
     return t.select("symbol", "share", (F.col("share") * account).alias("size"))
+
+
+def position_size(stats: DataFrame, account: float = 10_000.0, risk: float = 0.02, least: float = 0.1, most: float = 0.3) -> DataFrame:
+    """(symbol, share, size): the Kelly share blended with a plain risk share.
+
+    The more trades there are, the more the Kelly share counts: by a sigmoid centred on thirty trades. A
+    positive share is kept between ``least`` and ``most``.
+    """
+    trust = 1 / (1 + F.exp(-(F.col("num_trades") - 30) / 10))
+    raw = trust * F.col("kelly") + (1 - trust) * F.when(F.col("kelly") > 0, F.lit(risk)).otherwise(0.0)
+    share = F.when(raw > 0, F.least(F.lit(most), F.greatest(F.lit(least), raw))).otherwise(0.0)
+    return stats.select("symbol", share.alias("share"), (share * account).alias("size"))
+
+
+def posterior(stats: DataFrame, prior: float = 2.0) -> DataFrame:
+    """(symbol, alpha, beta, mean, mode) of the Beta posterior of the win rate."""
+    wins = F.floor(F.col("win_rate") * F.col("num_trades"))
+    t = stats.select("symbol", (prior + wins).alias("alpha"), (prior + F.col("num_trades") - wins).alias("beta"))
+    return t.withColumns({"mean": F.col("alpha") / (F.col("alpha") + F.col("beta")), "mode": (F.col("alpha") - 1) / (F.col("alpha") + F.col("beta") - 2)})

@@ -291,3 +291,16 @@ BLOCKS: dict[str, Callable[[DataFrame], DataFrame]] = {
     "volume": on_balance_volume,
 }
 PROFILES = {"core": tuple(BLOCKS), "boosting": (*BLOCKS, "candlestick"), "deep_learning": tuple(BLOCKS)}
+
+
+def approximate_averages(df: DataFrame, n: int = 14) -> DataFrame:
+    """Cheap stand-ins: the plain mean for the exponential one, the chord's end for the least-squares one, a fixed rate for the adaptive one."""
+    out = df.withColumns({"ema_approx": sma("close", n), "lsma_approx": sma("close", n) + (F.col("close") - prev("close", n - 1)) / 2})
+    step = "struct(CASE WHEN x.i = 0 THEN x.close ELSE s.k + 0.1D * (x.close - s.k) END AS k)"
+    return fold(out, ["close"], f"struct({_NULL} AS k)", step, {"kama_approx": "s.k"})
+
+
+def adaptive_tolerance(df: DataFrame, n: int = 20, base: float = 0.05, factor: float = 1.0) -> DataFrame:
+    """How far an approximation may lie off: ``base``, more in volatile spells."""
+    out = df.withColumn("r", change("close"))
+    return out.withColumn("tolerance", base * (1 + factor * F.coalesce(F.stddev_samp("r").over(last_n(n)), F.lit(0.0)))).drop("r")

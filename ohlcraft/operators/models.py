@@ -207,3 +207,37 @@ register("swings", _swing_strategy(1))
 register("high_order", _swing_strategy(2))
 
 
+
+
+def select_by_f_test(df: DataFrame, columns: list[str], label: str = "target", k: int = 3) -> list[str]:
+    """The k features that an F-test ties closest to the classes."""
+    from pyspark.ml.feature import UnivariateFeatureSelector
+
+    s = UnivariateFeatureSelector(featuresCol="features", labelCol=label, outputCol="chosen", selectionMode="numTopFeatures").setFeatureType("continuous").setLabelType("categorical").setSelectionThreshold(k)
+    return [columns[i] for i in sorted(s.fit(assembled(df, columns, label)).selectedFeatures)]
+
+
+def select_by_forest(df: DataFrame, columns: list[str], label: str = "target", k: int = 3) -> list[str]:
+    """The k most important features of a small forest."""
+    model = forest(df, columns, label, trees=10, depth=4)
+    return sorted(columns, key=lambda c: -model.featureImportances[columns.index(c)])[:k]
+
+
+def mutual_information(df: DataFrame, columns: list[str], label: str = "target", bins: int = 10) -> DataFrame:
+    """(feature, mi): mutual information of each feature, in deciles, with the classes; counts in one pass."""
+    t = df.dropna(subset=[*columns, label])
+    cuts = t.agg(*[F.percentile_approx(c, [i / bins for i in range(1, bins)]).alias(c) for c in columns])  # a row
+    bin_of = lambda c: F.size(F.filter(F.col(f"k.{c}"), lambda v: v < F.col(f"t.{c}")))
+    j = t.alias("t").crossJoin(F.broadcast(cuts).alias("k"))
+    rows = j.select(F.col(f"t.{label}").alias("y"), F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), bin_of(c).alias("b")) for c in columns])).alias("x")).groupBy("x.feature", "x.b", "y").agg(F.count(F.lit(1)).alias("n"))
+    f = Window.partitionBy("feature")
+    total = F.sum("n").over(f)
+    p = rows.withColumns({"p": F.col("n") / total, "pb": F.sum("n").over(Window.partitionBy("feature", "b")) / total, "py": F.sum("n").over(Window.partitionBy("feature", "y")) / total})
+    return p.groupBy("feature").agg(F.sum(F.col("p") * F.log(F.col("p") / (F.col("pb") * F.col("py")))).alias("mi"))
+
+
+def invalid_features(df: DataFrame, columns: list[str]) -> DataFrame:
+    """(feature, nulls, constant): what can't be learnt from."""
+    g = df.agg(*[F.count_if(F.col(c).isNull()).alias(f"n_{c}") for c in columns], *[(F.min(c) == F.max(c)).alias(f"c_{c}") for c in columns])
+    t = g.select(F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(f"n_{c}").alias("nulls"), F.coalesce(F.col(f"c_{c}"), F.lit(True)).cast("int").alias("constant")) for c in columns])).alias("x"))
+    return t.select("x.*")

@@ -337,3 +337,30 @@ def _prefilter(d):
 
 
 add("staged_prefilter", _prefilter)
+
+# --- stand-ins, sizes and feature selection
+add(
+    "approximate_averages", lambda d: ind.approximate_averages(d).select("symbol", "ts", "ema_approx", "lsma_approx", "kama_approx"),
+    q(f"SELECT n.symbol, n.ts, {R('n.m')} AS ema_approx, {R('n.m + (n.close - n.l) / 2')} AS lsma_approx, {R('r.k')} AS kama_approx FROM n JOIN r ON r.symbol = n.symbol AND r.i = n.i",
+      f"a AS (SELECT *, {guarded('avg(close)', 'close', 14)} AS m, {o.lag('close', 13)} AS l FROM c)", o.recursion("a", {"k": "close"}, {"k": "r.k + 0.1 * (n.close - r.k)"}), recursive=True),
+)
+add("adaptive_tolerance", lambda d: ind.adaptive_tolerance(d).select("symbol", "ts", "tolerance"), q(f"SELECT symbol, ts, {R(f'0.05 * (1 + coalesce(stddev_samp(ret) {o.over(20)}, 0))')} AS tolerance FROM fr", _RETS))
+
+
+def _stats(d):
+    s = _signalled(d)
+    t = backtest.trades(s)
+    return backtest.metrics(t, backtest.equity(s, t))
+
+
+add("position_size", lambda d: backtest.position_size(backtest.kelly(_stats(d))))
+add(
+    "win_rate_posterior", lambda d: backtest.posterior(_stats(d)),
+    q(f"SELECT symbol, {R('a')} AS alpha, {R('b')} AS beta, {R('a / (a + b)')} AS mean, {R('(a - 1) / (a + b - 2)')} AS mode FROM z", _SIG, _BT, _TRADES,
+      "g AS (SELECT symbol, count(*) AS k, floor(count_if(pnl > 0) / count(*) * count(*)) AS w FROM tr GROUP BY symbol), z AS (SELECT symbol, 2.0::DOUBLE + w AS a, 2.0::DOUBLE + k - w AS b FROM g)", recursive=True),
+)
+_FEAT = lambda d: labels.forest_features(labels.directional(d))
+add("feature_f_test", lambda d: d.sparkSession.createDataFrame([(c,) for c in models.select_by_f_test(_FEAT(d), _COLS)], "feature string"))
+add("feature_importance", lambda d: d.sparkSession.createDataFrame([(c,) for c in models.select_by_forest(_FEAT(d), _COLS)], "feature string"))
+add("feature_mutual_information", lambda d: models.mutual_information(_FEAT(d), _COLS))
+add("feature_validity", lambda d: models.invalid_features(_FEAT(d), ["roc_5", "close", "ret_std"]), q("SELECT 'close' AS feature, 0::BIGINT AS nulls, 0 AS constant UNION ALL SELECT 'roc_5', count_if(x IS NULL)::BIGINT, 0 FROM v UNION ALL SELECT 'ret_std', count_if(s IS NULL)::BIGINT, 0 FROM v", _RETS, f"v AS (SELECT {_pct(5)} AS x, {guarded('stddev_samp(ret)', 'ret', 10)} AS s FROM fr)"))
