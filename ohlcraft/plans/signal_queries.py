@@ -34,11 +34,28 @@ def _ma_ctes(kind: str) -> list[str]:
             else:
                 parts.append(f"SELECT symbol, ts, i, close, {v} AS v, CASE WHEN count(close) {o.over(n)} = {n} THEN regr_intercept(close, i) {o.over(n)} + i * regr_slope(close, i) {o.over(n)} END AS m FROM b")
         return [*out, "ma AS (" + " UNION ALL ".join(parts) + ")"]
-    first, step = {}, {}
+    if kind == "HMA":
+        w = lambda x, n: "(" + " + ".join(f"{n - k} * lag({x}, {k}) OVER {o.W}" for k in range(n)) + f") / {n * (n + 1) // 2}"
+        out.append("hh AS (SELECT *, " + ", ".join(f"2 * {w('close', n // 2)} - {w('close', n)} AS h{v}" for v, n in enumerate(ls)) + " FROM b)")
+        return [*out, "ma AS (" + " UNION ALL ".join(f"SELECT symbol, ts, i, close, {v} AS v, {w(f'h{v}', int(n**0.5))} AS m FROM hh" for v, n in enumerate(ls)) + ")"]
+    first, step, source, shown = {}, {}, "c", "r.m{v}"
     for v, n in enumerate(ls):
+        if kind == "KAMA":
+            first |= {f"k{v}": "close"}
+            step |= {f"k{v}": f"CASE WHEN n.i < {n} THEN r.k{v} ELSE r.k{v} + n.sc{v} * (n.close - r.k{v}) END"}
+            source, shown = "k2", "r.k{v}"
+            continue
         first |= {f"m{v}": "NULL", f"t{v}": "close"}
-        step |= o.ema_step(f"m{v}", f"t{v}", "n.close", n)
-    return [o.recursion("c", first, step), "ma AS (" + " UNION ALL ".join(f"SELECT n.symbol, n.ts, n.i, n.close, {v} AS v, r.m{v} AS m FROM n JOIN r ON r.symbol = n.symbol AND r.i = n.i" for v in range(9)) + ")"]
+        step |= (one := o.ema_step(f"m{v}", f"t{v}", "n.close", n))
+        if kind == "DEMA":
+            m = f"({one[f'm{v}']})"
+            first |= {f"d{v}": "NULL", f"u{v}": "0"}
+            step |= {f"d{v}": f"CASE WHEN n.i < {2 * n - 2} THEN NULL WHEN n.i = {2 * n - 2} THEN (r.u{v} + {m}) / {n} ELSE r.d{v} + {2 / (n + 1)!r} * ({m} - r.d{v}) END", f"u{v}": f"CASE WHEN n.i BETWEEN {n - 1} AND {2 * n - 2} THEN r.u{v} + {m} ELSE r.u{v} END"}
+            shown = "2 * r.m{v} - r.d{v}"
+    before = []
+    if kind == "KAMA":
+        before = [f"k0 AS (SELECT *, abs(close - {o.lag('close')}) AS dc FROM c)", "k2 AS (SELECT *, " + ", ".join(f"(coalesce(abs(close - {o.lag('close', n)}) / nullif(sum(dc) {o.over(n)}, 0), 0) * (0.666 - 0.064) + 0.064) ** 2 AS sc{v}" for v, n in enumerate(ls)) + " FROM k0)"]
+    return [*before, o.recursion(source, first, step), "ma AS (" + " UNION ALL ".join(f"SELECT n.symbol, n.ts, n.i, n.close, {v} AS v, {shown.format(v=v)} AS m FROM n JOIN r ON r.symbol = n.symbol AND r.i = n.i" for v in range(9)) + ")"]
 
 
 def _layer_one_sql(kind: str) -> str:
@@ -63,11 +80,22 @@ def _layer(kind):
     return run
 
 
-for _kind in ("EMA", "WMA", "LSMA"):
+for _kind in atc.KINDS:
     QUERIES[f"atc_layer_one_{_kind.lower()}"] = _layer(_kind)
     ORACLES[f"atc_layer_one_{_kind.lower()}"] = _layer_one_sql(_kind)
-for _kind in ("HMA", "DEMA", "KAMA"):  # tests hold these against loops
-    QUERIES[f"atc_layer_one_{_kind.lower()}"] = _layer(_kind)
+
+
+def _classify_sql(select: str) -> str:
+    """All six layers side by side (l0 ... l5), their equities w0 ... w5, and the weighted vote av."""
+    n, d = len(atc.KINDS), CFG.decay / 100
+    layers = ", ".join(f"y{k} AS MATERIALIZED ({_layer_one_sql(kind)})" for k, kind in enumerate(atc.KINDS))
+    joined = f"lx AS (SELECT c.symbol, c.ts, c.close, " + ", ".join(f"y{k}.layer_one AS l{k}" for k in range(n)) + ", c.close / nullif(lag(c.close) OVER (PARTITION BY c.symbol ORDER BY c.ts), 0) - 1 AS rr FROM c " + " ".join(f"JOIN y{k} ON y{k}.symbol = c.symbol AND y{k}.ts = c.ts" for k in range(n)) + ")"
+    lagged = "ly AS (SELECT *, rr * exp({lam} * greatest(row_number() OVER {w} - 1, 1)) AS rg, ".format(lam=repr(CFG.lam / 1000), w=o.W) + ", ".join(f"{o.lag(f'l{k}')} AS p{k}" for k in range(n)) + " FROM lx)"
+    step = {f"w{k}": f"greatest(0.25, r.w{k} * {1 - d!r} * (1 + CASE WHEN n.p{k} > 0 THEN coalesce(n.rg, 0) WHEN n.p{k} < 0 THEN -coalesce(n.rg, 0) ELSE 0 END))" for k in range(n)}
+    cut = lambda k: f"CASE WHEN n.l{k} > 0.1 THEN 1 WHEN n.l{k} < -0.1 THEN -1 ELSE 0 END"
+    vote = "(" + " + ".join(f"{cut(k)} * r.w{k}" for k in range(n)) + ") / nullif(" + " + ".join(f"r.w{k}" for k in range(n)) + ", 0)"
+    final = f"fin AS (SELECT n.*, coalesce({vote}, 0) AS av FROM n JOIN r ON r.symbol = n.symbol AND r.i = n.i)"
+    return f"WITH RECURSIVE {o.HOURLY}, {layers}, {joined}, {lagged}, {o.recursion('ly', {f'w{k}': '1' for k in range(n)}, step)}, {final} {select}"
 
 
 def _classify(spark, sf_dir):
@@ -83,6 +111,10 @@ def _prefiltered(spark, sf_dir):
 
 
 QUERIES |= {"atc_classify": _classify, "atc_scan": _scan, "atc_prefiltered_scan": _prefiltered}
+ORACLES["atc_classify"] = _classify_sql("SELECT symbol, ts, " + ", ".join(f"{o.r6(f'l{k}')} AS {kind}" for k, kind in enumerate(atc.KINDS)) + f", {o.r6('av')} AS average FROM fin")
+ORACLES["atc_scan"] = _classify_sql(
+    f"SELECT symbol, CASE WHEN av > 0.05 THEN 'UP' WHEN av < -0.05 THEN 'DOWN' ELSE 'NEUTRAL' END AS direction, {o.r6('av')} AS signal, {o.r6('abs(av)')} AS confidence, {o.r6('close')} AS price FROM (SELECT *, count(*) OVER (PARTITION BY symbol) AS cnt, row_number() OVER (PARTITION BY symbol ORDER BY ts DESC) AS back FROM fin) WHERE cnt >= 200 AND back = 1 AND close > 0"
+)
 
 # --- range oscillator
 _OSC = [
