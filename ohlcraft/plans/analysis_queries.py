@@ -74,7 +74,12 @@ add(
     q(f"SELECT symbol, ts, CAST(CASE WHEN up THEN 1 WHEN dwn THEN -1 ELSE 0 END AS INTEGER) AS signal, {R('CASE WHEN up THEN (st + rc) / 2 WHEN dwn THEN (st + 1 - rc) / 2 ELSE 0 END')} AS strength FROM z", *_SPC, _DUR,
       f"y AS (SELECT *, {_pct(5)} AS mo, 1 - coalesce(rel, 0.5) AS st FROM u3), z AS (SELECT *, {_t('st >= 0.7 AND dur >= 2 AND cl = 1 AND rc >= 0.5 AND mo >= 0')} AS up, {_t('st >= 0.7 AND dur >= 2 AND cl = 0 AND rc <= 0.5 AND mo <= 0')} AS dwn FROM y)"),
 )
-add("spc_mean_reversion", lambda d: spc.reversion_strategy(_clustered(d)).select("symbol", "ts", "signal", "strength"))
+add(
+    "spc_mean_reversion", lambda d: spc.reversion_strategy(_clustered(d)).select("symbol", "ts", "signal", "strength"),
+    q(f"SELECT symbol, ts, CAST(CASE WHEN dwn THEN -1 WHEN up THEN 1 ELSE 0 END AS INTEGER) AS signal, {R('CASE WHEN dwn THEN hig WHEN up THEN lw ELSE 0 END')} AS strength FROM y5", *_SPC,
+      f"y1 AS (SELECT *, {_t('rc <= 0.2 OR rc >= 0.8')} AS ex, 1 - least(abs(rc - 0.5), 1.0) AS nr, count(*) {o.over(4)} = 4 AND close > min(close) {o.over(4)} AS tu, count(*) {o.over(4)} = 4 AND close < max(close) {o.over(4)} AS td FROM s), y2 AS (SELECT *, CASE WHEN ex = lag(ex) OVER {o.W} THEN 0 ELSE 1 END AS ch FROM y1), y3 AS (SELECT *, sum(ch) {_up} AS gg FROM y2)",
+      f"y4 AS (SELECT *, row_number() OVER (PARTITION BY symbol, gg ORDER BY ts) AS dur, (nr + 1 - rc / 0.2) / 2 AS lw, (nr + (rc - 0.8) / 0.2) / 2 AS hig FROM y3), y5 AS (SELECT *, {_t('ex AND dur >= 3 AND rc <= 0.2 AND tu AND lw >= 0.4')} AS up, {_t('ex AND dur >= 3 AND rc >= 0.8 AND td AND hig >= 0.4')} AS dwn FROM y4)"),
+)
 add("spc_all_features", lambda d: spc.cluster(spc.features(d), lookback=100).select("symbol", "ts", "cluster", "real_clust"))
 add("spc_multi_timeframe", lambda d: spc.multi_timeframe(_clustered(d), spc.cluster(ind.moving_average_ratio(ind.z_score(candles.resample(d, "day"), 5), 3), _TWO, 10)).where("cluster IS NOT NULL"))
 
@@ -178,7 +183,11 @@ add(
 )
 add("pair_metrics_scored", lambda d: pairs.valid(pairs.opportunity_score(pairs.quantitative_score(pairs.pair_metrics(d, pairs.candidates(pairs.performance(d))).join(pairs.candidates(pairs.performance(d)).select(*pairs.KEYS, "spread"), pairs.KEYS)))).select(*pairs.KEYS, "correlation", "half_life", "quant_score", "opportunity"))
 add("pairs_unique_selection", lambda d: relational.greedy_unique_pairs(pairs.candidates(pairs.performance(d)).withColumn("score", F.col("spread")), 4))
-add("pairs_by_target", lambda d: pairs.by_target(pairs.candidates(pairs.performance(d)).select("long_symbol", "short_symbol", F.col("spread").alias("score")), d.select("symbol").distinct()))
+add(
+    "pairs_by_target", lambda d: pairs.by_target(pairs.candidates(pairs.performance(d)).select("long_symbol", "short_symbol", F.col("spread").alias("score")), d.select("symbol").distinct()),
+    q(f"SELECT target, long_symbol, short_symbol, {R('score')} AS score FROM (SELECT c.symbol AS target, ca.*, row_number() OVER (PARTITION BY c.symbol ORDER BY ca.score DESC, long_symbol, short_symbol) AS rn FROM (SELECT DISTINCT symbol FROM c) c JOIN ca ON c.symbol IN (long_symbol, short_symbol)) WHERE rn = 1", _PERF,
+      "ca AS (SELECT a.symbol AS long_symbol, b.symbol AS short_symbol, abs(b.score - a.score) AS score FROM (SELECT * FROM sc ORDER BY score, symbol LIMIT 3) a JOIN (SELECT * FROM sc ORDER BY score DESC, symbol LIMIT 3) b ON a.symbol != b.symbol)"),
+)
 add(
     "confusion_by_threshold", lambda d: quant.confusion_at(d.select((F.col("close") / (F.col("close") + F.col("open"))).alias("s"), (F.col("high") > 100).cast("int").alias("y")), "s", "y", [0.3, 0.5, 0.7]),
     q(f"SELECT t AS threshold, count(*)::BIGINT AS n, count_if(high > 100)::BIGINT AS hits, {R('count_if(high > 100) / count(*)')} AS precision FROM c, (VALUES (0.3::DOUBLE), (0.5), (0.7)) v(t) WHERE close / (close + open) >= t GROUP BY t"),
@@ -312,7 +321,11 @@ _STATE = "d1 AS (SELECT *, sign(price - lag(price) OVER (PARTITION BY symbol, ki
 add("hmm_swing_states", lambda d: models.swing_states(d), q(f"SELECT symbol, ts, kind, {R('price')} AS price, state FROM st", _SWING, _STATE))
 _HIST = "hs AS (SELECT *, lag(state) OVER (PARTITION BY symbol ORDER BY ts, kind) AS p1, lag(state, 2) OVER (PARTITION BY symbol ORDER BY ts, kind) AS p2 FROM st), tq AS (SELECT symbol, p2 * 3 + p1 AS history, state, count(*) AS n FROM hs WHERE p2 IS NOT NULL GROUP BY ALL)"
 add("hmm_high_order_transitions", lambda d: models.transitions(models.swing_states(d), 2), q(f"SELECT symbol, CAST(history AS BIGINT) AS history, state, n::BIGINT AS n, {R('n / sum(n) OVER (PARTITION BY symbol, history)')} AS p FROM tq", _SWING, _STATE, _HIST))
-add("hmm_next_state", lambda d: models.next_state(models.swing_states(d)))
+add(
+    "hmm_next_state", lambda d: models.next_state(models.swing_states(d)),
+    q(f"SELECT symbol, CAST(arg_min(state, row(-p, state)) AS INTEGER) AS predicted, {R('max(p)')} AS p FROM (SELECT symbol, state, n / sum(n) OVER (PARTITION BY symbol) AS p FROM nz) GROUP BY symbol", _SWING, _STATE,
+      "nx AS (SELECT *, lag(state) OVER (PARTITION BY symbol ORDER BY ts, kind) AS p1 FROM st), nw AS (SELECT symbol, arg_max(state, row(ts, kind)) AS cur FROM st GROUP BY symbol), nz AS (SELECT nx.symbol, state, count(*) AS n FROM nx JOIN nw ON nw.symbol = nx.symbol AND nx.p1 = nw.cur GROUP BY nx.symbol, state)"),
+)
 add("hmm_gaussian_states", lambda d: models.hmm_states(d).select("symbol", "ts", "state", "duration"))
 add("hmm_durations", lambda d: models.duration_table(models.hmm_states(d)))
 add("hmm_duration_clusters", lambda d: models.duration_clusters(models.duration_table(models.hmm_states(d))))
