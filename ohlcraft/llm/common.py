@@ -10,6 +10,8 @@ from urllib.parse import urlparse
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.shipping import ship as ship_package
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, from ``spark.checkpoint.dir``.
@@ -115,20 +117,9 @@ def ship(spark: SparkSession) -> None:
     Texts go to Python in batches of a thousand, unless the session says otherwise: ten thousand long
     texts at once would not fit beside an executor's heap.
     """
-    sc = spark.sparkContext
     if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
-    if getattr(sc, "_ohlcraft_shipped", False):
-        return
-    import shutil
-    from pathlib import Path
-
-    package = Path(__file__).resolve().parent.parent
-    made = tempfile.mkdtemp(prefix="ohlcraft-zip-")  # the driver's own copy, served to the executors
-    stage = Path(made, "src")
-    shutil.copytree(package, stage / package.name, ignore=shutil.ignore_patterns("__pycache__"))
-    sc.addPyFile(shutil.make_archive(f"{made}/{package.name}", "zip", stage))
-    sc._ohlcraft_shipped = True
+    ship_package(spark)
 
 
 def forget_words() -> None:
