@@ -8,8 +8,9 @@ its pointwise mutual information over the entity's information content,
     log(N n(t, e) / (n(t) n(e))) / log(N / n(e))
 
 which is 1 if the term occurs only with the entity, 0 if they are independent. Terms at or over
-REMOVE are removed, those at or over GENERALISE are cut to a stem; a pair counts from MIN_DOCS
-documents on. All of it is DataFrame and SQL functions.
+REMOVE are removed, those at or over GENERALISE are cut to a stem. An entity counts from its first
+document on; a word of the corpus counts from MIN_TERM documents on, as one met once can't be told
+from chance. All of it is DataFrame and SQL functions.
 """
 
 from __future__ import annotations
@@ -34,7 +35,8 @@ _NEEDS = {"email": "instr({t}, '@') > 0", "ip": "{t} rlike '[0-9]\\\\.[0-9]'", "
 _OCTET = "0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})"
 #: Code points of context on either side of an entity.
 CONTEXT = 64
-MIN_DOCS = 3
+#: Documents of the corpus that must have a word, with an entity or not.
+MIN_TERM = 2
 REMOVE = 0.9
 GENERALISE = 0.7
 _TERM = r"\p{L}+"
@@ -109,21 +111,21 @@ def _contexts(rows: DataFrame) -> DataFrame:
     return r.select("id", "h", "entity", F.col("t.v").alias("term"), F.col("t.s").alias("s"), F.col("t.e").alias("e"))
 
 
-def disclosures(docs: DataFrame, text_col: str, near: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
-    """(entity, term, strength) of the pairs that ``min_docs`` documents share, over all of ``docs``."""
+def disclosures(docs: DataFrame, text_col: str, near: DataFrame, min_term: int = MIN_TERM) -> DataFrame:
+    """(entity, term, strength) of the pairs whose term ``min_term`` documents have, over all of ``docs``."""
     once = near.select("id", "h", "entity", "term").distinct()
-    pairs = once.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("nte")).where(F.col("nte") >= min_docs)
+    pairs = once.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("nte"))
     pairs, _ = materialize(pairs, "pii-pairs")
     entities = near.select("id", "h", "entity").distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("ne"))
     terms = pairs.select("term").distinct()
     words = F.array_distinct(F.regexp_extract_all(F.lower(text_of(text_col)), F.lit(_TERM), F.lit(0)))
-    counts = docs.select(F.explode(words).alias("term")).join(terms, "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("nt"))
+    counts = docs.select(F.explode(words).alias("term")).join(terms, "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("nt")).where(F.col("nt") >= min_term)
     total = docs.groupBy().agg(F.count(F.lit(1)).alias("total"))
     j = pairs.join(counts, "term").join(entities, "entity").crossJoin(F.broadcast(total))  # one row
     return j.select("entity", "term", F.expr("try_divide(ln(total * 1D * nte / (nt * 1D * ne)), ln(total * 1D / ne))").alias("strength"))
 
 
-def find_private(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", remove: float = REMOVE, generalise: float = GENERALISE, min_docs: int = MIN_DOCS) -> DataFrame:
+def find_private(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", remove: float = REMOVE, generalise: float = GENERALISE, min_term: int = MIN_TERM) -> DataFrame:
     """Spans of every row: (id_col, text_col, email, ip, card, phone, terms).
 
     The first four are arrays of (s, e, v); terms holds (s, e, v, act), act being 'remove' or
@@ -139,7 +141,7 @@ def find_private(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     blank = "array_join(zip_with(split(__text, {p}, -1), transform(regexp_extract_all(__text, {p}, 0), v -> repeat('0', length(v))), (a, b) -> concat(a, coalesce(b, ''))), '')"
     masked = F.expr("CASE WHEN size(__email) > 0 THEN " + blank.format(p=_sql(PATTERNS["email"])) + " ELSE __text END")
     near, _ = materialize(_contexts(some.select("id", "h", F.expr(entities).alias("__entities"), masked.alias("__masked"))), "pii-near")
-    strong = disclosures(docs, text_col, near, min_docs).where(F.col("strength") >= generalise)
+    strong = disclosures(docs, text_col, near, min_term).where(F.col("strength") >= generalise)
     strong, _ = materialize(strong, "pii-strong")
     hits = near.join(strong, ["entity", "term"]).groupBy("id", "h", "s", "e", "term").agg(F.max("strength").alias("strength"))
     act = F.when(F.col("strength") >= remove, "remove").otherwise("generalise")

@@ -235,6 +235,12 @@ def test_pii_disclosing_terms(spark):
     assert clean[99].startswith("call [EMAIL]")
 
 
+def test_pii_entity_of_one_document(spark):
+    table = [(0, "write to solo@x.org about the oriole"), (1, "the oriole sings about")] + [(2 + i, "we write to you about the weather") for i in range(100)]
+    found = {r.doc_id: [(t.v, t.act) for t in r.terms] for r in pii.find_private(spark.createDataFrame(table, "doc_id long, text string")).collect()}
+    assert found[0] == [("oriole", "generalise")] and not any(found[i] for i in found if i)
+
+
 def test_mixing(spark, docs, empty):
     for d in (docs, empty, docs.where("source = 'src0'")):
         d.createOrReplaceTempView("d")
