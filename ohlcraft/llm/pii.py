@@ -1,8 +1,8 @@
 """Personal data: pattern spans, and terms that give protected entities away.
 
 Base spans are e-mail addresses, IP addresses, card and phone numbers. Each value found is a
-protected entity. Words near an entity are terms; over the corpus, n(t, e) documents have term t near
-entity e, n(t) have the term at all, n(e) the entity, of N. The term's disclosure of the entity is
+protected entity. All words of its documents are terms; over the corpus, n(t, e) documents have both term t
+and entity e, n(t) have the term at all, n(e) the entity, of N. The term's disclosure of the entity is
 its pointwise mutual information over the entity's information content,
 
     log(N n(t, e) / (n(t) n(e))) / log(N / n(e))
@@ -33,8 +33,8 @@ PATTERNS = {
 #: What a text must have for the pattern to be tried at all.
 _NEEDS = {"email": "instr({t}, '@') > 0", "ip": "{t} rlike '[0-9]\\\\.[0-9]'", "card": "{t} rlike '[0-9][ -]?[0-9][ -]?[0-9][ -]?[0-9][ -]?[0-9]'", "phone": "{t} rlike '[+][0-9]'"}
 _OCTET = "0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})"
-#: Code points of context on either side of an entity.
-CONTEXT = 64
+#: Documents of a pair of entity class and term that are joined together.
+_LANE = 1024
 #: Documents of the corpus that must have a word, with an entity or not.
 MIN_TERM = 2
 REMOVE = 0.9
@@ -98,58 +98,85 @@ def _entity(kind: str) -> str:
     return f"concat('{kind}:', {value})"
 
 
-def _contexts(rows: DataFrame) -> DataFrame:
-    """(id, h, entity, term, s, e): every term near an entity, from rows with ``__spans`` and ``__masked``."""
-    r = rows.select("id", "h", "__masked", F.explode("__entities").alias("x"))
-    r = r.select("id", "h", "x.entity", F.col("x.s").alias("s"), F.col("x.e").alias("e"), "__masked", F.length("__masked").alias("n"))
-    r = r.withColumn("l0", F.greatest(F.col("s") - CONTEXT, F.lit(0))).withColumn("r1", F.least(F.col("e") + CONTEXT, F.col("n")))
-    r = r.withColumn("lt", F.expr("substring(__masked, l0 + 1, s - l0)")).withColumn("rt", F.expr("substring(__masked, e + 1, r1 - e)"))
-    # a word cut by the end of the context is not a term
-    left = f"transform(filter({located('lt', _TERM)}, x -> l0 = 0 OR x.s > 0), x -> struct(x.s + l0 AS s, x.e + l0 AS e, lower(x.v) AS v))"
-    right = f"transform(filter({located('rt', _TERM)}, x -> r1 = n OR x.e < r1 - e), x -> struct(x.s + e AS s, x.e + e AS e, lower(x.v) AS v))"
-    r = r.select("id", "h", "entity", F.explode(F.expr(f"concat({left}, {right})")).alias("t"))
-    return r.select("id", "h", "entity", F.col("t.v").alias("term"), F.col("t.s").alias("s"), F.col("t.e").alias("e"))
-
-
-def disclosures(docs: DataFrame, text_col: str, near: DataFrame, min_term: int = MIN_TERM) -> DataFrame:
-    """(entity, term, strength) of the pairs whose term ``min_term`` documents have, over all of ``docs``."""
-    once = near.select("id", "h", "entity", "term").distinct()
-    pairs = once.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("nte"))
-    pairs, _ = materialize(pairs, "pii-pairs")
-    entities = near.select("id", "h", "entity").distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("ne"))
-    terms = pairs.select("term").distinct()
-    words = F.array_distinct(F.regexp_extract_all(F.lower(text_of(text_col)), F.lit(_TERM), F.lit(0)))
-    counts = docs.select(F.explode(words).alias("term")).join(terms, "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("nt")).where(F.col("nt") >= min_term)
-    total = docs.groupBy().agg(F.count(F.lit(1)).alias("total"))
-    j = pairs.join(counts, "term").join(entities, "entity").crossJoin(F.broadcast(total))  # one row
-    return j.select("entity", "term", F.expr("try_divide(ln(total * 1D * nte / (nt * 1D * ne)), ln(total * 1D / ne))").alias("strength"))
+def _masked(text: str) -> str:
+    """SQL for the text with e-mail addresses blanked, so that their parts aren't taken for terms; the other kinds have no letters."""
+    p = _sql(PATTERNS["email"])
+    blank = f"array_join(zip_with(split({text}, {p}, -1), transform(regexp_extract_all({text}, {p}, 0), v -> repeat('0', length(v))), (a, b) -> concat(a, coalesce(b, ''))), '')"
+    return f"CASE WHEN instr({text}, '@') > 0 THEN {blank} ELSE {text} END"
+
+
+def _words(text: str) -> str:
+    """SQL for the distinct terms of a text."""
+    return f"array_distinct(transform(regexp_extract_all({_masked(text)}, {_sql(_TERM)}, 0), w -> lower(w)))"
+
+
+def _classes(held: DataFrame) -> tuple[DataFrame, int]:
+    """(id, h, ne, x, y) and the largest ne, from documents with their distinct ``entities``.
+
+    Entities of the same documents have the same disclosures, so that they count as one class,
+    known by the number of documents, an exclusive or and a sum of their hashes: a list of a
+    thousand addresses isn't multiplied by the words of its document.
+    """
+    each = held.select("id", "h", F.explode("entities").alias("entity"))
+    doc = F.xxhash64("h", F.coalesce(F.xxhash64("id"), F.lit(0)))
+    known = each.groupBy("entity").agg(F.count(F.lit(1)).alias("ne"), F.bit_xor(doc).alias("x"), F.sum(doc.bitwiseAND(F.lit(0xFFFFFFFF))).alias("y"))
+    known, _ = materialize(known, "pii-entities")
+    most = known.agg(F.max("ne")).first()[0] or 0
+    classes, _ = materialize(each.join(known, "entity").select("id", "h", "ne", "x", "y").distinct(), "pii-classes")
+    return classes, most
+
+
+def disclosures(docs: DataFrame, text_col: str, held: DataFrame, generalise: float = GENERALISE, min_term: int = MIN_TERM) -> tuple[DataFrame, DataFrame]:
+    """((id, h, ne, x, y, term, nt), (ne, x, y, term, nt, strength)): terms that may be strong in the documents that hold
+    entities, and the pairs of entity class and term of at least ``generalise``, co-occurrence being by whole document.
+
+    A strength of g needs n(t) <= n(e)^g N^(1-g), as n(t, e) is n(e) at most: commoner terms drop out unpaired.
+    """
+    total = docs.count()
+    classes, most = _classes(held)
+    bound = F.lit(float(total)) ** (1 - generalise) * F.col("ne").cast("double") ** generalise * (1 + 1e-9)
+    counts = docs.select(text_of(text_col).alias("__t")).select(F.explode(F.expr(_words("__t"))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("nt"))
+    rare, _ = materialize(counts.withColumn("ne", F.lit(most)).where((F.col("nt") >= min_term) & (F.col("nt") <= bound)).select("term", "nt"), "pii-counts")
+    words = held.select("id", "h", F.explode("words").alias("term")).join(rare, "term").withColumnsRenamed({"id": "wid", "h": "wh"})
+    pairs = classes.join(words, (F.col("h") == F.col("wh")) & F.col("id").eqNullSafe(F.col("wid"))).where(F.col("nt") <= bound)
+    pairs, _ = materialize(pairs.select("id", "h", "ne", "x", "y", "term", "nt"), "pii-pairs")
+    n = F.lit(float(total))
+    strength = F.try_divide(F.ln(n * F.col("nte") / (F.col("nt").cast("double") * F.col("ne"))), F.ln(n / F.col("ne")))
+    strong = pairs.groupBy("ne", "x", "y", "term", "nt").agg(F.count(F.lit(1)).alias("nte")).withColumn("strength", strength)
+    strong, _ = materialize(strong.where(F.col("strength") >= generalise).drop("nte"), "pii-strong")
+    return pairs, strong
 
 
 def find_private(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", remove: float = REMOVE, generalise: float = GENERALISE, min_term: int = MIN_TERM) -> DataFrame:
     """Spans of every row: (id_col, text_col, email, ip, card, phone, terms).
 
     The first four are arrays of (s, e, v); terms holds (s, e, v, act), act being 'remove' or
-    'generalise'. Offsets are code points, ends exclusive. Null texts count as empty; null and
-    repeated ids, and repeated rows, are returned as they come (a row counts in the corpus figures
+    'generalise': every occurrence of a strong term in each document that holds the entity, however
+    far from it. Offsets are code points, ends exclusive. Null texts count as empty; null and
+    repeated ids, and repeated rows, are returned as they come (a row counts as holding an entity
     once for each distinct pair of id and text). Other columns aren't looked at; an empty table gives an empty result.
     """
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("raw"), F.xxhash64(F.lit(1), text_of(text_col)).alias("h"))
     base = base_spans(rows, "raw")
     some = base.where(" OR ".join(f"size(__{k}) > 0" for k in KINDS))
-    entities = "concat(" + ", ".join(f"transform(__{k}, x -> struct(x.s AS s, x.e AS e, {_entity(k)} AS entity))" for k in KINDS) + ")"
-    # only e-mail addresses have letters: blanked, so that their parts aren't taken for terms
-    blank = "array_join(zip_with(split(__text, {p}, -1), transform(regexp_extract_all(__text, {p}, 0), v -> repeat('0', length(v))), (a, b) -> concat(a, coalesce(b, ''))), '')"
-    masked = F.expr("CASE WHEN size(__email) > 0 THEN " + blank.format(p=_sql(PATTERNS["email"])) + " ELSE __text END")
-    near, _ = materialize(_contexts(some.select("id", "h", F.expr(entities).alias("__entities"), masked.alias("__masked"))), "pii-near")
-    strong = disclosures(docs, text_col, near, min_term).where(F.col("strength") >= generalise)
-    strong, _ = materialize(strong, "pii-strong")
-    hits = near.join(strong, ["entity", "term"]).groupBy("id", "h", "s", "e", "term").agg(F.max("strength").alias("strength"))
+    entities = "array_distinct(concat(" + ", ".join(f"transform(__{k}, x -> {_entity(k)})" for k in KINDS) + "))"
+    held = some.select("id", "h", F.expr(entities).alias("entities"), F.expr(_words("__text")).alias("words"))
+    held, _ = materialize(held.dropDuplicates(["id", "h"]), "pii-held")
+    pairs, strong = disclosures(docs, text_col, held, generalise, min_term)
+    # a hot pair is dealt out over lanes of documents; a strong one has n(t) near n(t, e), so that lanes are few
+    lanes = F.ceil(F.col("nt") / _LANE).cast("int")
+    left = pairs.withColumn("lane", F.pmod(F.xxhash64("h", "id"), lanes).cast("int"))
+    right = strong.withColumn("lane", F.explode(F.sequence(F.lit(0), lanes - 1)))
+    hits = left.join(right, ["ne", "x", "y", "term", "nt", "lane"]).groupBy("id", "h", "term").agg(F.max("strength").alias("strength"))
     act = F.when(F.col("strength") >= remove, "remove").otherwise("generalise")
-    terms = hits.groupBy("id", "h").agg(F.sort_array(F.collect_list(F.struct("s", "e", F.col("term").alias("v"), act.alias("act")))).alias("terms"))
-    terms, _ = materialize(terms.withColumnsRenamed({"id": "tid", "h": "th"}), "pii-terms")
-    out = base.join(terms, (F.col("h") == F.col("th")) & F.col("id").eqNullSafe(F.col("tid")), "left")
-    none = F.expr("cast(array() AS array<struct<s: int, e: int, v: string, act: string>>)")
-    return out.select(F.col("id").alias(id_col), F.col("raw").alias(text_col), *[F.col(f"__{k}").alias(k) for k in KINDS], F.coalesce("terms", none).alias("terms"))
+    found = hits.groupBy("id", "h").agg(F.collect_list(F.struct(F.col("term").alias("v"), act.alias("act"))).alias("own")).withColumn("n", F.ceil(F.sqrt(F.size("own"))))
+    # buckets by hash, so that a long text with many strong terms is not searched by their product
+    found = found.select(F.col("id").alias("tid"), F.col("h").alias("th"), "n", F.expr("transform(sequence(0, n - 1), b -> filter(own, t -> pmod(xxhash64(t.v), n) = b))").alias("own"))
+    found, _ = materialize(found, "pii-terms")
+    out = base.join(found, (F.col("h") == F.col("th")) & F.col("id").eqNullSafe(F.col("tid")), "left")
+    marked = f"transform({_located('t', _TERM)}, w -> transform(array(lower(w.v)), v -> struct(w.s AS s, w.e AS e, v AS v, get(filter(get(own, cast(pmod(xxhash64(v), n) AS int)), o -> o.v = v), 0).act AS act))[0])"
+    terms = f"CASE WHEN own IS NOT NULL THEN filter(transform(array({_masked('__text')}), t -> {marked})[0], w -> w.act IS NOT NULL) ELSE cast(array() AS array<struct<s: int, e: int, v: string, act: string>>) END"
+    return out.select(F.col("id").alias(id_col), F.col("raw").alias(text_col), *[F.col(f"__{k}").alias(k) for k in KINDS], F.expr(terms).alias("terms"))
 
 
 def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -241,6 +241,16 @@ def test_pii_entity_of_one_document(spark):
     assert found[0] == [("oriole", "generalise")] and not any(found[i] for i in found if i)
 
 
+def test_pii_terms_far_from_the_entity(spark):
+    filler = "we write to you about the weather " * 40
+    table = [(i, f"Oriole {filler} oriole {filler} jo@x.org tel@y.org") for i in range(3)] + [(3 + i, filler) for i in range(100)] + [(200, f"oriole@z.org {filler}"), (0, "Oriole alone"), (None, f"Oriole {filler} jo@x.org tel@y.org")]
+    got = pii.find_private(spark.createDataFrame(table, "doc_id long, text string").repartition(3)).collect()
+    assert len(got) == len(table)
+    for r in got:
+        want = [(m.start(), m.end(), "oriole", "remove") for m in re.finditer("oriole", r.text, re.I)] if "jo@x.org" in r.text else []
+        assert [tuple(t) for t in r.terms] == want, (r.doc_id, r.terms)
+
+
 def test_mixing(spark, docs, empty):
     for d in (docs, empty, docs.where("source = 'src0'")):
         d.createOrReplaceTempView("d")
