@@ -289,8 +289,9 @@ def host_of(url_col: str):
 
 def deduce_templates(pages: DataFrame, url_col: str = "url", html_col: str = "html", support: float = SUPPORT) -> DataFrame:
     """(host, root, is_article, own): the template of every host with tokens on enough pages."""
-    # a page is known by a hash of what it holds, so that the same task run again gives the same vectors
-    p = pages.select(host_of(url_col).alias("host"), F.xxhash64(F.col(url_col), F.length(html_col)).alias("page"), F.coalesce(F.col(html_col), F.lit("")).alias("html"))
+    # a page is known by a hash of what it holds, so that copies of a page on a host have one vote
+    held = pages.select(host_of(url_col).alias("host"), F.coalesce(F.col(html_col), F.lit("")).alias("html")).withColumn("page", F.xxhash64("html"))
+    p = held.select("host", "page", "html").dropDuplicates(["host", "page"])
     tokens = p.mapInArrow(_tokens, "host string, token long, parent long, tag string, role string, boilerplate boolean, n long, chars long, links long, page long")
     seen = F.xxhash64("page", "n")
     found = tokens.groupBy("host", "token").agg(
@@ -303,13 +304,18 @@ def deduce_templates(pages: DataFrame, url_col: str = "url", html_col: str = "ht
     return enough.repartition("host").sortWithinPartitions("host", "token").mapInArrow(_templates, "host string, root long, is_article boolean, own array<long>")
 
 
+def _without(slot: list[tuple], own: frozenset | set) -> list[tuple]:
+    """A slot's blocks without the site's own; all of them if nothing else stands there, as on pages that are near copies."""
+    return [b for b in slot if _text_token(b[1], b[0]) not in own] or slot
+
+
 def page_text(html: str, root: int, is_article: bool, own: frozenset | set) -> str:
     """A page's text from its host's template; a page that doesn't fit it is read by its own elements."""
     blocks, elements = parse(html)
     fine = [b for b in blocks if not b[2]]
     if root in elements:
         if is_article or not any(b[3] for b in fine):
-            inside = [b for b in fine if root in b[4] and not (own and _text_token(b[1], b[0]) in own)]
+            inside = _without([b for b in fine if root in b[4]], own)
             others = [b for b in fine if b[3] and root not in b[4]] if is_article else []
             if inside or is_article:
                 chosen = inside if not others else [b for b in fine if b[3] or root in b[4]]
@@ -319,7 +325,7 @@ def page_text(html: str, root: int, is_article: bool, own: frozenset | set) -> s
         mains = {s for s, e in elements.items() if e[2] == "main"}
         inside = [b for b in fine if mains.intersection(b[4])] if mains else []
     if not inside and not any(e[1] == "article" for e in elements.values()):
-        inside = [b for b in fine if not (own and _text_token(b[1], b[0]) in own)]
+        inside = _without(fine, own)
     return "\n".join(b[0] for b in inside)
 
 

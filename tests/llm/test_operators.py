@@ -410,6 +410,16 @@ def test_html_templates_own_words_are_left_out(spark):
     assert {r.page_id: r.text for r in got} == {n: f"alpha {n} " + " ".join(["word"] * 30) + f"\nbeta {n} " + " ".join(["word"] * 30) for n in range(9)}
 
 
+@pytest.mark.parametrize("n", [2, 25])
+def test_html_copies_of_one_page_keep_their_text(spark, n):
+    kinds = {"article": "<article><p>one para</p><p>two para</p></article>", "main": "<main><p>one para</p><p>two para</p></main>", "div": "<div><p>one para</p><p>two para</p></div>"}
+    table = [(i, None if k == "div" else f"http://{k}.org/{i}", f"<html><body><nav>Menu</nav>{b}</body></html>") for k, b in kinds.items() for i in range(n)]
+    # not quite copies: they differ in what isn't text
+    table += [(i, f"http://near-{k}.org/{i}", f"<html><body><!-- {i} -->{b}</body></html>") for k, b in kinds.items() for i in range(n)]
+    got = html_template.extract_text(spark.createDataFrame(table, "page_id long, url string, html string")).collect()
+    assert len(got) == len(table) and {r.text for r in got} == {"one para\ntwo para"}
+
+
 def test_licenses(spark, docs, empty):
     table = [
         ("a/LICENSE", "MIT License\n\nReleased under the MIT License.", 0), ("a/b/c/x.py", "# code\nprint(1)", 1), ("a/b/COPYING.txt", "Licensed under the Apache License, Version 2.0.", 2),
