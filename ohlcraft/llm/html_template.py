@@ -43,8 +43,8 @@ _BOILERPLATE_NAMES = frozenset(
 )
 #: A class is kept if it occurs on this share of a host's pages, and on at least two.
 SUPPORT = 0.5
-#: Inside an article element, only words on nearly all of at least this many pages count as the site's own.
-_SURE_SHARE, _SURE_PAGES = 0.95, 20
+#: Inside an article element, the site's own words are at most this share of a page's; with more, the page is a near copy of others.
+_OWN_SHARE = 0.5
 _ROOT_SHARE = 0.8
 
 
@@ -221,7 +221,7 @@ def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _TOKENS, strict=True)], schema=_TOKENS)
 
 
-def deduce(pages: int, tokens: list[dict]) -> tuple[int, bool, list[int]]:
+def deduce(tokens: list[dict]) -> tuple[int, bool, list[int]]:
     """(path of the article's slot or 0, whether it is an article element, text tokens of the site itself).
 
     ``tokens`` are those on enough of the host's pages, each with its vector. Classes nest if the
@@ -248,8 +248,7 @@ def deduce(pages: int, tokens: list[dict]) -> tuple[int, bool, list[int]]:
     article = [t for t in slots if t["tag"] == "article"] or [t for t in slots if t["role"] == "main"]
     if article:
         best = max(article, key=lambda t: (t["chars"], -t["token"]))
-        sure = [t["token"] for t in own if t["pages"] >= max(_SURE_PAGES, _SURE_SHARE * pages)]
-        return best["token"], best["tag"] == "article", sure
+        return best["token"], best["tag"] == "article", [t["token"] for t in own]
     children: dict[int, list[dict]] = {}
     for t in slots:
         children.setdefault(t["parent"], []).append(t)
@@ -267,7 +266,7 @@ def _templates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     schema = pa.schema([("host", pa.string()), ("root", pa.int64()), ("is_article", pa.bool_()), ("own", pa.list_(pa.int64()))])
 
     def done(host, rows):
-        root, is_article, own = deduce(rows[0]["host_pages"], rows)
+        root, is_article, own = deduce(rows)
         return pa.RecordBatch.from_pydict({"host": [host], "root": [root], "is_article": [is_article], "own": [own]}, schema=schema)
 
     last, held = None, []
@@ -304,9 +303,10 @@ def deduce_templates(pages: DataFrame, url_col: str = "url", html_col: str = "ht
     return enough.repartition("host").sortWithinPartitions("host", "token").mapInArrow(_templates, "host string, root long, is_article boolean, own array<long>")
 
 
-def _without(slot: list[tuple], own: frozenset | set) -> list[tuple]:
-    """A slot's blocks without the site's own; all of them if nothing else stands there, as on pages that are near copies."""
-    return [b for b in slot if _text_token(b[1], b[0]) not in own] or slot
+def _without(slot: list[tuple], own: frozenset | set, share: float = 1) -> list[tuple]:
+    """A slot's blocks without the site's own; all of them if nothing else stands there, or the own ones are over ``share`` of it."""
+    left = [b for b in slot if _text_token(b[1], b[0]) not in own] if own else slot
+    return left if left and sum(len(b[0]) for b in left) >= (1 - share) * sum(len(b[0]) for b in slot) else slot
 
 
 def page_text(html: str, root: int, is_article: bool, own: frozenset | set) -> str:
@@ -315,15 +315,16 @@ def page_text(html: str, root: int, is_article: bool, own: frozenset | set) -> s
     fine = [b for b in blocks if not b[2]]
     if root in elements:
         if is_article or not any(b[3] for b in fine):
-            inside = _without([b for b in fine if root in b[4]], own)
-            others = [b for b in fine if b[3] and root not in b[4]] if is_article else []
+            # a page's other articles count too
+            inside = [b for b in fine if root in b[4] or is_article and b[3]]
             if inside or is_article:
-                chosen = inside if not others else [b for b in fine if b[3] or root in b[4]]
-                return "\n".join(b[0] for b in chosen)
+                main = is_article or elements[root][2] == "main"
+                return "\n".join(b[0] for b in _without(inside, own, _OWN_SHARE if main else 1))
     inside = [b for b in fine if b[3]]
     if not inside:
         mains = {s for s, e in elements.items() if e[2] == "main"}
         inside = [b for b in fine if mains.intersection(b[4])] if mains else []
+    inside = _without(inside, own, _OWN_SHARE)
     if not inside and not any(e[1] == "article" for e in elements.values()):
         inside = _without(fine, own)
     return "\n".join(b[0] for b in inside)

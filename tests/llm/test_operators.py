@@ -420,6 +420,17 @@ def test_html_copies_of_one_page_keep_their_text(spark, n):
     assert len(got) == len(table) and {r.text for r in got} == {"one para\ntwo para"}
 
 
+@pytest.mark.parametrize("tag", ["article", "main"])
+def test_html_site_words_inside_the_article(spark, tag):
+    body = lambda n: f"alpha {n} " + " ".join(["word"] * 30)
+    page = f"<html><body><{tag}><p>Read our house rules</p><section><p>%s</p></section><em>Rated by our editors</em></{tag}></body></html>"
+    table = [(n, f"http://h.org/{n}", page % body(n)) for n in range(4)]
+    # near copies: what they share is the article
+    table += [(10 + n, f"http://n.org/{n}", f"<html><body><{tag}><h1>{body(0)}</h1><section>page {n}</section></{tag}></body></html>") for n in range(2)]
+    got = {r.page_id: r.text for r in html_template.extract_text(spark.createDataFrame(table, "page_id long, url string, html string")).collect()}
+    assert got == {n: body(n) for n in range(4)} | {10 + n: f"{body(0)}\npage {n}" for n in range(2)}
+
+
 def test_licenses(spark, docs, empty):
     table = [
         ("a/LICENSE", "MIT License\n\nReleased under the MIT License.", 0), ("a/b/c/x.py", "# code\nprint(1)", 1), ("a/b/COPYING.txt", "Licensed under the Apache License, Version 2.0.", 2),
