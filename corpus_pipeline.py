@@ -54,5 +54,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs
 
 
-#: Tokenising isn't SQL; tests hold the pipeline against a brute-force version.
+#: Tokenising isn't SQL; tests hold the stages to columns and row counts only, not to a brute-force version.
 ORACLE_SQL = None
