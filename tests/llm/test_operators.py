@@ -372,13 +372,49 @@ def test_flat_graph(spark):
     assert flat_graph.near_duplicate_vectors(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
 
-def test_flat_graph_recall_and_hot_shards(spark, monkeypatch):
-    path = "/root/testdata/sf0.01/embeddings.parquet"
-    v = spark.read.parquet(path)
-    v = v.unionByName(v.selectExpr("vec_id + 10000 AS vec_id", "transform(embedding, (x, i) -> cast(x + 0.02 * sin(vec_id * 31 + i * 17) AS float)) AS embedding", "label"))
-    monkeypatch.setattr(flat_graph, "CAP", 100)  # blocks within hot shards
+def _more_vectors(spark):
+    v = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet")
+    return v.unionByName(v.selectExpr("vec_id + 10000 AS vec_id", "transform(embedding, (x, i) -> cast(x + 0.02 * sin(vec_id * 31 + i * 17) AS float)) AS embedding", "label"))
+
+
+@pytest.mark.parametrize("limits", [{"CAP": 100}, {"SHARD": 32, "FAN": 4, "CAP": 100, "SLICE": 50, "SAMPLE": 200}])
+def test_flat_graph_recall_and_hot_shards(spark, monkeypatch, limits):
+    """Blocks within hot shards; a tree of several levels, with queries dealt out in slices."""
+    for k, x in limits.items():
+        monkeypatch.setattr(flat_graph, k, x)
+    v = _more_vectors(spark)
     found = flat_graph.near_duplicate_vectors(v).cache()
-    assert flat_graph.audit_recall(v, found, every=5) >= 0.97
+    got = flat_graph.audit_recall(v, found, every=5).first()
+    assert got.links > 50 and got.surplus == 0 and got.recall >= 0.97
+
+
+def test_flat_graph_crowd_over_many_shards(spark, monkeypatch):
+    """A crowd of near copies larger than several shards keeps all its links."""
+    for k, x in {"SHARD": 32, "FAN": 4, "CAP": 60}.items():
+        monkeypatch.setattr(flat_graph, k, x)
+    rng = np.random.default_rng(3)
+    x = np.concatenate([rng.normal(size=(200, 24)), rng.normal(size=(1, 24)) + 0.1 * rng.normal(size=(300, 24))])
+    found = flat_graph.near_duplicate_vectors(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")).collect()
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    true = (u @ u.T >= 0.95).sum(axis=1) - 1
+    got = np.array([r.n_links for r in sorted(found, key=lambda r: r.vec_id)])
+    assert (got <= true).all() and got.sum() >= 0.99 * true.sum() and len({r.component_id for r in found}) == 201
+
+
+def test_flat_graph_keeps_doubles(spark):
+    """Two vectors that only doubles tell apart are on the two sides of the bound."""
+    c = 0.95
+    table = [(0, [1.0, 0.0]), (1, [c + 1e-10, (1 - (c + 1e-10) ** 2) ** 0.5]), (2, [c - 1e-10, -((1 - (c - 1e-10) ** 2) ** 0.5)])]
+    got = flat_graph.near_duplicate_vectors(spark.createDataFrame(table, "vec_id long, embedding array<double>")).orderBy("vec_id").collect()
+    assert [(r.n_links, r.component_id) for r in got] == [(1, 0), (1, 0), (0, 2)]
+
+
+def test_flat_graph_audit_sees_lost_and_false_links(spark):
+    table = [(0, [1.0, 0.0]), (100, [1.0, 0.01]), (200, [0.0, 1.0]), (300, [1.0, 2.0, 3.0]), (400, None), (500, [0.0])]
+    v = spark.createDataFrame(table, "vec_id long, embedding array<double>")
+    found = spark.createDataFrame([(0, 0), (100, 1), (200, 5), (300, 0), (400, 0), (500, 0)], "vec_id long, n_links long")
+    got = flat_graph.audit_recall(v, found).first()
+    assert (got.audited, got.links, got.missed, got.surplus, got.recall) == (4, 2, 1, 5, 0.5)
 
 
 PAGE = """<!doctype html><html><head><title>T</title><style>p{}</style></head><body><nav><a href=x>Menu</a></nav><div class="cookie-notice">We use cookies</div>
