@@ -467,6 +467,95 @@ def test_html_site_words_inside_the_article(spark, tag):
     assert got == {n: body(n) for n in range(4)} | {10 + n: f"{body(0)}\npage {n}" for n in range(2)}
 
 
+def _one(html_text, others=()):
+    """A page's text alone, and with the template of itself and others on one host."""
+    alone = html_template.page_text(html_text, -1, frozenset())
+    tokens, pages = _loops([html_text, *others])
+    root, own = html_template.article_slot(tokens, len(pages))
+    return alone, html_template.page_text(html_text, root, own)
+
+
+def _loops(pages):
+    """(template tokens with whole occurrence vectors, distinct pages) by plain loops."""
+    pages = sorted(set(pages))
+    table = {}
+    for i, page in enumerate(pages):
+        for token, up, tag, marked, bad, n, chars, links in html_template.page_tokens(page):
+            t = table.setdefault(token, {"token": token, "parent": up, "tag": tag, "marked": marked, "boilerplate": bad, "times": 0, "chars": 0, "links": 0, "vec": [0] * len(pages), "pages": 0})
+            t["vec"][i] = n
+            t["pages"] += 1
+            t["times"] += n
+            t["chars"] += chars
+            t["links"] += links
+    least = max(2, html_template.SUPPORT * len(pages)) if len(pages) > 1 else 1
+    found = [dict(t, vec=tuple(t["vec"])) for _, t in sorted(table.items()) if t["pages"] >= least]
+    return found, pages
+
+
+def test_html_template_equals_loops_over_whole_vectors(spark):
+    """The deduced slot and own words of every host, against explicit vectors; repeated rows change nothing."""
+    hosts, rows = {}, []
+    for r in spark.read.parquet("/root/testdata/sf0.001/pages.parquet").collect():
+        hosts.setdefault((r.url or "").split("://")[-1].split("/")[0].lower(), []).append(r.html or "")
+    for k, tag in enumerate(("article", "div", "section")):
+        hosts[f"t{k}.org"] = [f"<body><div class=top>Welcome</div><{tag}><h2>H {n}</h2><p>Site rules</p>{'<p>text %d</p>' % n * (n % 3 + 9)}</{tag}><div><p>{'odd' if n % 2 else 'even'}</p></div></body>" for n in range(7)]
+    for h, pages in hosts.items():
+        rows += [(f"http://{h}/x", p) for p in pages]
+    rows += rows[::3] + rows[::5]
+    got = {r.host: r for r in html_template.deduce_templates(spark.createDataFrame(rows, "url string, html string")).collect()}
+    for h, pages in hosts.items():
+        tokens, distinct = _loops(pages)
+        if len(distinct) < 2:
+            assert h not in got
+            continue
+        root, own = html_template.article_slot(tokens, len(distinct))
+        assert (got[h].root, got[h].own) == (root, sorted(own)), h
+    assert got["t0.org"].own and got["t1.org"].own
+
+
+def test_html_classes_nest_by_slots():
+    pages = [f"<body><nav><a>Home</a></nav><div><h1>T{n}</h1><ul>{'<li><p>k</p><p>v%d</p></li>' % n * (n + 2)}</ul></div></body>" for n in range(4)]
+    tokens, _ = _loops(pages)
+    parent, slot, own = html_template.nest(tokens)
+    by = {t["token"]: t for t in tokens}
+    name = {by[s]["tag"]: s for s in parent}
+    ones = (1, 1, 1, 1)
+    assert {t for t, s in name.items() if slot[s] == (ones, 0)} == {"body", "nav", "a", "div", "h1", "ul"}
+    assert slot[name["li"]] == ((2, 3, 4, 5), name["ul"]) and slot[name["p"]] == ((4, 6, 8, 10), name["li"])  # classes of their own, slot in slot
+    assert {by[o]["vec"] for o in own} == {ones, (2, 3, 4, 5)}  # "Home", and "k" in every item
+
+
+@pytest.mark.parametrize("depth", [7, 70, 700])
+def test_html_slots_at_any_depth(depth):
+    pages = [f"<body><p>stray {n}</p>" + "<div>" * depth + f"<section><h1>T {n}</h1><p>{'story %d ' % n * 9}</p></section>" + "</div>" * depth + "</body>" for n in range(6)]
+    for text in _one(pages[3], pages):
+        assert text == "T 3\n" + " ".join(["story 3"] * 9)
+
+
+def test_html_long_attributes_and_stray_quotes():
+    for size in (150, 15_000, 150_000):
+        for text in _one(f"<article><p data-x=\"{'a>b ' * (size // 4)}\">one</p><p title='{'x' * size}' it's>two <img alt='>'>more</p></article>"):
+            assert text == "one\ntwo more"
+    assert _one("<article><p class=\"open>text</p></article>")[0].startswith("text")
+
+
+def test_html_embedded_content_stays():
+    page = "<article><p>Let <math><mi>x</mi><mo>=</mo><mn>1</mn></math> be</p><p><object data=a>old <b>way</b></object> <audio>sound</audio> <video>film</video> <canvas>drawing</canvas> a<wbr>b</p></article>"
+    for text in _one(page):
+        assert text == "Let x=1 be\nold way sound film drawing ab"
+
+
+def test_html_names_of_paragraphs_and_headings_decide_nothing():
+    page = "<body><article><h1 class='post-header'>Head</h1><p class='social-history'>One</p><p id='related-work'>Two</p><div class='related-work'>Three</div><div class='ad-slot-3'>Buy</div><section id='comments'><p>Reader</p></section><div role='navigation'>Menu</div></article></body>"
+    for text in _one(page, [page.replace("One", f"One {n}") for n in range(5)]):
+        assert text == "Head\nOne\nTwo\nThree"
+
+
+def test_html_comments_longer_than_the_article():
+    pages = [f"<body><div class=wrap><div class=post><p>{'news %d ' % n * 20}</p></div><div class='comment-list'>{'<p>reader %d says much</p>' % n * 30}</div></div><div>{'Terms and conditions. ' * 40}</div></body>" for n in range(5)]
+    assert _one(pages[2], pages)[1] == " ".join(["news 2"] * 20)
+
+
 def test_licenses(spark, docs, empty):
     table = [
         ("a/LICENSE", "MIT License\n\nReleased under the MIT License.", 0), ("a/b/c/x.py", "# code\nprint(1)", 1), ("a/b/COPYING.txt", "Licensed under the Apache License, Version 2.0.", 2),
