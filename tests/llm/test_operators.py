@@ -556,6 +556,188 @@ def test_html_comments_longer_than_the_article():
     assert _one(pages[2], pages)[1] == " ".join(["news 2"] * 20)
 
 
+def test_licenses(spark, docs, empty):
+    """A real tree of paths, against a walk up each path."""
+    mit, apache, ccnc = "MIT License\n\nReleased under the MIT License.", "Licensed under the Apache License, Version 2.0.", "// Licensed under CC BY-NC 4.0.\nbody of words"
+    table = [
+        ("a/LICENSE", mit, 0), ("a/b/c/x.py", "# code\nprint(1)", 1), ("a/b/COPYING.txt", apache, 2), ("a/b/c/d/y.py", "nothing", 3), ("z/q.py", ccnc, 4), ("z/r.py", "body", 5), ("a/n.py", None, 6),
+        (None, "Released under the MIT License.", 7), ("a/bc/x.py", "text", 8), ("a/n.py", None, 6), ("k/LICENSE", ccnc, 9), ("k/LICENCE.md", mit, 9), ("k/x", "", 9), ("u/LICENSE", "Licensed under the Foo Open Public License, Version 2.0 of today.", 9), ("u/x", "", 9), ("top.py", "", 9),
+    ]
+    got = {r.path: r for r in licenses.scan_licenses(spark.createDataFrame(table, "path string, text string, license long")).collect()}
+    files = {p: got[p].own_license for p, _, _ in table if p and p.split("/")[-1].split(".")[0].upper() in ("LICENSE", "LICENCE", "COPYING") and got[p].own_license}
+    for path, _, _ in table:
+        if path is None:
+            continue
+        want, at = (got[path].own_license, path if got[path].own_license else None), path.split("/")[:-1]
+        while want[0] is None:
+            near = sorted(p for p in files if p.split("/")[:-1] == at)
+            if near:
+                want = (files[near[0]], near[0])
+            if not at:
+                break
+            at = at[:-1]
+        assert (got[path].license, got[path].license_path) == want, path
+    assert [got[p].license for p in ("a/b/c/d/y.py", "a/n.py", "a/bc/x.py", "k/x", "u/x", "z/r.py", "top.py")] == ["Apache-2.0", "MIT", "MIT", "MIT", "unknown", None, None]
+    assert got[None].own_license == "MIT" and got[None].license == "MIT"
+    assert licenses.scan_documents(docs).count() == len(rows()) and licenses.scan_documents(empty).count() == 0
+
+
+_APACHE_1_1 = """/* ====================================================================
+ * The Apache Software License, Version 1.1
+ *
+ * Copyright (c) 2000 The Apache Software Foundation.  All rights
+ * reserved.
+ *
+ * Redistribution and use in source and binary forms, with or without
+ * modification, are permitted provided that the following conditions
+ * are met: */"""
+
+
+def _commented(text, sign, width=60):
+    import textwrap
+
+    return "int x;\n" + "\n".join(f"{sign} {line}" for line in textwrap.wrap(text, width)) + "\nreturn some words of a program with version 3 and license keys\n"
+
+
+def test_licenses_of_headers_and_versions():
+    scorer = licenses.Scorer(licenses.TEMPLATES, {}, 0)
+    for sign in ("#", " *", "//", "--"):
+        for name, version, want in (("General Public", "2", "GPL-2.0"), ("General Public", "3", "GPL-3.0"), ("Lesser General Public", "2.1", "LGPL-2.1"), ("Lesser General Public", "3", "LGPL-3.0"), ("Affero General Public", "3", "AGPL-3.0")):
+            assert scorer.scan(_commented(licenses._gnu(f"GNU {name} License", version), sign))[1:] == (want, 1)
+    for words, want in (("Attribution-NoDerivatives 4.0", "CC-BY-ND-4.0"), ("Attribution 4.0", "CC-BY-4.0"), ("Attribution 3.0", "unknown"), ("Attribution-Foobar 4.0", "unknown")):
+        assert scorer.scan(f"x y. This work is licensed under a Creative Commons {words} International License. z")[1] == want
+    assert scorer.scan(_APACHE_1_1)[1] == "Apache-1.1"
+    assert scorer.scan(licenses._MIT + licenses._MIT_END)[1] == "MIT" and scorer.scan(_commented(licenses.TEMPLATES["Apache-2.0"][2], "#"))[1] == "Apache-2.0"
+    assert scorer.scan("Licensed under the Foo Open Public License, Version 2.0 of today.")[1] == "unknown"
+    assert scorer.scan("they all have rights; one is reserved for the licensed few")[1] is None and scorer.scan("")[1] is None
+    edited = licenses._gnu("GNU General Public License", "2").replace("useful", "of use").replace("hope", "hopes")
+    assert scorer.scan(edited)[1] == "GPL-2.0"
+
+
+def test_licenses_long_lines_and_ties():
+    tied = {"B": ("one two three four five six seven eight nine",), "A": ("one two three four five six seven eight nine",), "C": ("this is quite another notice",)}
+    scorer = licenses.Scorer(tied, {}, 0)
+    assert scorer.scan("one two three four five six seven eight nine")[1] == "unknown"  # as near to two
+    filler = "word " * 50_000
+    assert scorer.scan(filler + "this is quite another notice " + filler + "\n" + "x" * 300_000)[1:] == ("C", 0)
+
+
+def test_license_cosine_by_loops():
+    """The best cosine of a template over all windows of its length, taken one by one."""
+    rng = np.random.default_rng(4)
+    counts = {w: int(rng.integers(0, 50)) for w in licenses._vocabulary(licenses.TEMPLATES)}
+    scorer = licenses.Scorer(licenses.TEMPLATES, counts, 60)
+    texts = ["foo " + t + " bar" for ts in licenses.TEMPLATES.values() for t in ts][::5]
+
+    def terms(words):
+        out = {}
+        for k in [(w,) for w in words] + list(zip(words, words[1:], strict=False)):
+            out[k] = out.get(k, 0) + max(scorer.idf.get(w, scorer.other) for w in k)
+        return out
+
+    for text in texts:
+        words = licenses.words_of(text)
+        best = 0.0
+        for ts in licenses.TEMPLATES.values():
+            for t in ts:
+                a = terms(licenses.words_of(t))
+                n = len(licenses.words_of(t))
+                for p in range(max(1, len(words) - n + 1)):
+                    b = terms(words[p : p + n])
+                    dot = sum(x * b.get(k, 0) for k, x in a.items())
+                    best = max(best, dot / (sum(x * x for x in a.values()) * sum(x * x for x in b.values())) ** 0.5)
+        assert abs(scorer.best(words)[0] - best) < 1e-9 and scorer.best(words)[1] is not None
+
+
+def _one(html_text, others=()):
+    """A page's text alone, and with the template of itself and others on one host."""
+    alone = html_template.page_text(html_text, -1, frozenset())
+    tokens, pages = _loops([html_text, *others])
+    root, own = html_template.article_slot(tokens, len(pages))
+    return alone, html_template.page_text(html_text, root, own)
+
+
+def _loops(pages):
+    """(template tokens with whole occurrence vectors, distinct pages) by plain loops."""
+    pages = sorted(set(pages))
+    table = {}
+    for i, page in enumerate(pages):
+        for token, up, tag, marked, bad, n, chars, links in html_template.page_tokens(page):
+            t = table.setdefault(token, {"token": token, "parent": up, "tag": tag, "marked": marked, "boilerplate": bad, "times": 0, "chars": 0, "links": 0, "vec": [0] * len(pages), "pages": 0})
+            t["vec"][i] = n
+            t["pages"] += 1
+            t["times"] += n
+            t["chars"] += chars
+            t["links"] += links
+    least = max(2, html_template.SUPPORT * len(pages)) if len(pages) > 1 else 1
+    found = [dict(t, vec=tuple(t["vec"])) for _, t in sorted(table.items()) if t["pages"] >= least]
+    return found, pages
+
+
+def test_html_template_equals_loops_over_whole_vectors(spark):
+    """The deduced slot and own words of every host, against explicit vectors; repeated rows change nothing."""
+    hosts, rows = {}, []
+    for r in spark.read.parquet("/root/testdata/sf0.001/pages.parquet").collect():
+        hosts.setdefault((r.url or "").split("://")[-1].split("/")[0].lower(), []).append(r.html or "")
+    for k, tag in enumerate(("article", "div", "section")):
+        hosts[f"t{k}.org"] = [f"<body><div class=top>Welcome</div><{tag}><h2>H {n}</h2><p>Site rules</p>{'<p>text %d</p>' % n * (n % 3 + 9)}</{tag}><div><p>{'odd' if n % 2 else 'even'}</p></div></body>" for n in range(7)]
+    for h, pages in hosts.items():
+        rows += [(f"http://{h}/x", p) for p in pages]
+    rows += rows[::3] + rows[::5]
+    got = {r.host: r for r in html_template.deduce_templates(spark.createDataFrame(rows, "url string, html string")).collect()}
+    for h, pages in hosts.items():
+        tokens, distinct = _loops(pages)
+        if len(distinct) < 2:
+            assert h not in got
+            continue
+        root, own = html_template.article_slot(tokens, len(distinct))
+        assert (got[h].root, got[h].own) == (root, sorted(own)), h
+    assert got["t0.org"].own and got["t1.org"].own
+
+
+def test_html_classes_nest_by_slots():
+    pages = [f"<body><nav><a>Home</a></nav><div><h1>T{n}</h1><ul>{'<li><p>k</p><p>v%d</p></li>' % n * (n + 2)}</ul></div></body>" for n in range(4)]
+    tokens, _ = _loops(pages)
+    parent, slot, own = html_template.nest(tokens)
+    by = {t["token"]: t for t in tokens}
+    name = {by[s]["tag"]: s for s in parent}
+    ones = (1, 1, 1, 1)
+    assert {t for t, s in name.items() if slot[s] == (ones, 0)} == {"body", "nav", "a", "div", "h1", "ul"}
+    assert slot[name["li"]] == ((2, 3, 4, 5), name["ul"]) and slot[name["p"]] == ((4, 6, 8, 10), name["li"])  # classes of their own, slot in slot
+    assert {by[o]["vec"] for o in own} == {ones, (2, 3, 4, 5)}  # "Home", and "k" in every item
+
+
+@pytest.mark.parametrize("depth", [7, 70, 700])
+def test_html_slots_at_any_depth(depth):
+    pages = [f"<body><p>stray {n}</p>" + "<div>" * depth + f"<section><h1>T {n}</h1><p>{'story %d ' % n * 9}</p></section>" + "</div>" * depth + "</body>" for n in range(6)]
+    for text in _one(pages[3], pages):
+        assert text == "T 3\n" + " ".join(["story 3"] * 9)
+
+
+def test_html_long_attributes_and_stray_quotes():
+    for size in (150, 15_000, 150_000):
+        for text in _one(f"<article><p data-x=\"{'a>b ' * (size // 4)}\">one</p><p title='{'x' * size}' it's>two <img alt='>'>more</p></article>"):
+            assert text == "one\ntwo more"
+    assert _one("<article><p class=\"open>text</p></article>")[0].startswith("text")
+
+
+def test_html_embedded_content_stays():
+    page = "<article><p>Let <math><mi>x</mi><mo>=</mo><mn>1</mn></math> be</p><p><object data=a>old <b>way</b></object> <audio>sound</audio> <video>film</video> <canvas>drawing</canvas> a<wbr>b</p></article>"
+    for text in _one(page):
+        assert text == "Let x=1 be\nold way sound film drawing ab"
+
+
+def test_html_names_of_paragraphs_and_headings_decide_nothing():
+    page = "<body><article><h1 class='post-header'>Head</h1><p class='social-history'>One</p><p id='related-work'>Two</p><div class='related-work'>Three</div><div class='ad-slot-3'>Buy</div><section id='comments'><p>Reader</p></section><div role='navigation'>Menu</div></article></body>"
+    for text in _one(page, [page.replace("One", f"One {n}") for n in range(5)]):
+        assert text == "Head\nOne\nTwo\nThree"
+
+
+def test_html_comments_longer_than_the_article():
+    pages = [f"<body><div class=wrap><div class=post><p>{'news %d ' % n * 20}</p></div><div class='comment-list'>{'<p>reader %d says much</p>' % n * 30}</div></div><div>{'Terms and conditions. ' * 40}</div></body>" for n in range(5)]
+    assert _one(pages[2], pages)[1] == " ".join(["news 2"] * 20)
+
+
 def test_licenses(spark, docs, empty):
     table = [
         ("a/LICENSE", "MIT License\n\nReleased under the MIT License.", 0), ("a/b/c/x.py", "# code\nprint(1)", 1), ("a/b/COPYING.txt", "Licensed under the Apache License, Version 2.0.", 2),
