@@ -382,16 +382,15 @@ def host_of(url_col: str):
 
 def deduce_templates(pages: DataFrame, url_col: str = "url", html_col: str = "html", support: float = SUPPORT) -> DataFrame:
     """(host, root, own): the article's slot and the own text of every host with two distinct pages or more."""
-    # a page is known by a hash of what it holds, so that copies of a page on a host have one vote
-    held = pages.select(host_of(url_col).alias("host"), F.coalesce(F.col(html_col), F.lit("")).alias("html")).withColumn("page", F.xxhash64("html"))
-    p = held.select("host", "page", "html").dropDuplicates(["host", "page"])
-    tokens = p.mapInArrow(_tokens, "host string, token long, parent long, tag string, marked boolean, boilerplate boolean, n long, chars long, links long, page long")
+    # a page is known by a hash of what it holds, so that copies of a page on a host have one vote; tokens are shuffled for that, not pages
+    p = pages.select(host_of(url_col).alias("host"), F.coalesce(F.col(html_col), F.lit("")).alias("html")).select("host", F.xxhash64("html").alias("page"), "html")
+    tokens = p.mapInArrow(_tokens, "host string, token long, parent long, tag string, marked boolean, boilerplate boolean, n long, chars long, links long, page long").dropDuplicates(["host", "token", "page"])
     seen = F.xxhash64("page", "n")
     found = tokens.groupBy("host", "token").agg(
         F.count(F.lit(1)).alias("pages"), F.sum("n").alias("times"), F.bit_xor(seen).alias("vec"), F.sum(seen.bitwiseAND(F.lit(0xFFFFFFFF))).alias("part"), F.min("parent").alias("parent"),
         F.min("tag").alias("tag"), F.min("marked").alias("marked"), F.min("boilerplate").alias("boilerplate"), F.sum("chars").alias("chars"), F.sum("links").alias("links"),
     )
-    hosts = p.groupBy("host").agg(F.count(F.lit(1)).alias("host_pages"))
+    hosts = p.groupBy("host").agg(F.count_distinct("page").alias("host_pages"))
     # at most 1 / support times the tokens of a mean page stay for a host
     enough = found.join(hosts, "host").where((F.col("pages") >= 2) & (F.col("pages") >= support * F.col("host_pages")))
     return enough.repartition("host").sortWithinPartitions("host", "token").mapInArrow(_templates, "host string, root long, own array<long>")
