@@ -43,8 +43,8 @@ CAP = 4096
 SLICE = 16_384
 INDEXED, SEARCHED = 2, 6
 TIGHT = 0.75
-CANDIDATES, DEGREE, ALPHA = 48, 20, 1.2
-BEAM = 16
+CANDIDATES, DEGREE, ALPHA = 48, 16, 1.2
+BEAM = 12
 #: Nodes this far under the range are still expanded.
 SLACK = 0.05
 _QUERIES = 256
@@ -224,6 +224,7 @@ def range_search(x: np.ndarray, offsets: np.ndarray, targets: np.ndarray, entry:
     """
     nq, n, width = len(q), len(x), min(BEAM, len(x))
     seen = np.full((nq, n), np.nan, np.float32)  # similarity of what has been looked at
+    seen_flat, claim = seen.reshape(-1), np.empty(nq * n, np.int32)
     expanded = np.zeros((nq, n), bool)
     seen[:, entry] = q @ x[entry]
     beam = np.full((nq, width), -1)
@@ -239,11 +240,14 @@ def range_search(x: np.ndarray, offsets: np.ndarray, targets: np.ndarray, entry:
         expanded[qi, node] = True
         of, to = _neighbours(offsets, targets, node)
         who = qi[of]
-        fresh = np.isnan(seen[who, to])
-        code = np.unique(who[fresh] * n + to[fresh])
+        code = who * n + to
+        code = code[np.isnan(seen_flat[code])]
+        order = np.arange(len(code), dtype=np.int32)
+        claim[code] = order  # of equal pairs the last one stays
+        code = code[claim[code] == order]
         who, to = code // n, code % n
         s = np.einsum("ij,ij->i", q[who], x[to])
-        seen[who, to] = s
+        seen_flat[code] = s
         return who, to, s
 
     while True:
