@@ -9,26 +9,49 @@ from pyspark.sql import functions as F
 from .common import materialize, remove
 
 
-def _large_star(e: DataFrame) -> DataFrame:
-    """Every larger neighbour of a vertex moves to the least vertex around it."""
+#: Vertices with more than this many edges, and over 1 in HUBS of all, are hubs: at most HUBS of them, whose least neighbours are broadcast.
+HUB, HUBS = 256, 16_384
+
+
+def _with_least(rows: DataFrame, itself: bool) -> tuple[DataFrame, DataFrame, str]:
+    """(``rows`` with m, the least v (or the vertex itself) around each u; (u, m); the path of that table).
+
+    The edges of a hub stay where they are and meet its m by broadcast, so that no task gathers them; the others go by key.
+    """
+    spark = rows.sparkSession
+    found = rows.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n"))
+    found = found.select("u", (F.least("u", "m") if itself else F.col("m")).alias("m"), "n")
+    least, path = materialize(found, "cc-least")
+    total = least.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    bound = max(HUB, total // HUBS)
+    hubs = least.where(F.col("n") > bound).select("u", "m").collect()  # HUBS rows at most
+    if not hubs:
+        return rows.join(least.select("u", "m"), "u"), least.select("u", "m"), path
+    table = F.broadcast(spark.createDataFrame(hubs, "u long, m long"))
+    light = rows.join(table.select("u"), "u", "left_anti").join(least.where(F.col("n") <= bound).select("u", "m"), "u")
+    return rows.join(table, "u").unionByName(light), least.select("u", "m"), path
+
+
+def _large_star(e: DataFrame) -> tuple[DataFrame, str]:
+    """Every larger neighbour of a vertex moves to the least vertex around it; and a table to remove afterwards."""
     both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    return both.join(least, "u").where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+    j, _, path = _with_least(both, True)
+    return j.where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), path
 
 
-def _small_star(e: DataFrame) -> DataFrame:
-    """Every smaller neighbour of a vertex, and itself, moves to the least of them."""
-    least = e.groupBy("u").agg(F.min("v").alias("m"))
-    moved = e.join(least, "u").where(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v"))
-    return moved.unionByName(least.select("u", F.col("m").alias("v"))).distinct()
+def _small_star(e: DataFrame) -> tuple[DataFrame, str]:
+    """Every smaller neighbour of a vertex, and itself, moves to the least of them; and a table to remove afterwards."""
+    j, least, path = _with_least(e, False)
+    moved = j.where(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v"))
+    return moved.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), path
 
 
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(id, component) for every vertex that has an edge; component is the least id reachable.
 
     Large-star and small-star rounds (Kiveris et al., 2014) take O(log^2 n) rounds. Each half round
-    is an aggregation with map-side combine and a sort-merge join that adaptive execution may split
-    at hot hubs, and ends in a written table, so that a lost executor costs one half round. Null
+    is an aggregation with map-side combine and a join, in which hubs meet a broadcast of bounded size,
+    and ends in a written table, so that a lost executor costs one half round. Null
     ends and loops are ignored; an empty edge table gives an empty result.
     """
     spark = edges.sparkSession
@@ -37,8 +60,10 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     state = None
     while True:
         for half in (_large_star, _small_star):
-            after, new = materialize(half(e), "cc")
-            remove(spark, path)
+            moved, table = half(e)
+            after, new = materialize(moved, "cc")
+            for old in (path, table):
+                remove(spark, old)
             e, path = after, new
         now = e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
         if now == state:
