@@ -62,36 +62,61 @@ def leaf_budgets(leaves: DataFrame, fraction: float, epochs: int, weights: Mappi
     return _share(low, [a, b], c).select(a, b, c, "tokens", F.col("got").alias("budget"))
 
 
-def select_prefixes(rows: DataFrame, budgets: DataFrame, seed: int) -> DataFrame:
-    """(id, domain, lang, source, tokens, epoch): the documents that fill each leaf's budget.
+def _hash(seed: int, k: Column, row_id: Column) -> Column:
+    return F.md5(F.concat_ws(":", F.lit(str(seed)), k.cast("string"), F.coalesce(row_id.cast("string"), F.lit("null"))))
+
+
+def leaf_cuts(rows: DataFrame, budgets: DataFrame, seed: int) -> DataFrame:
+    """(domain, lang, source, k, cut_h, cut_id, cut_tokens, cut_take): where each leaf's budget ends.
 
     A leaf whose budget is k times its tokens and a rest gives all documents in epochs 0 to k - 1,
     and in epoch k the longest prefix that fits the rest. An epoch's order is that of
-    md5(seed:epoch:id), then id and tokens. No leaf is sorted whole: sums by the first two bytes of
-    the hash tell which 65,536th of the leaf holds the cut, and only that part is ordered.
+    md5(seed:epoch:id), then id (null first) and tokens. All rows before (cut_h, cut_id, cut_tokens) belong to the
+    prefix, and cut_take of those equal to it. No leaf is sorted whole: sums by the first two bytes of
+    the hash tell which 65,536th of the leaf holds the cut, and there equal rows are counted
+    before they are ordered, so that repeated ids (all null ones have one hash) are a row each number of tokens.
     """
     leaf = list(LEVELS)
     b = budgets.where("budget > 0 AND tokens > 0").select(*leaf, F.expr("budget div tokens").cast("int").alias("k"), F.expr("budget % tokens").alias("rest"))
     b, _ = materialize(b, "mix-budgets")
-    r = rows.join(b, leaf).withColumn("h", F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("k").cast("string"), F.coalesce(F.col("id").cast("string"), F.lit("null")))))
-    whole = r.where("k > 0").select("id", *leaf, "tokens", F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("epoch"))
-    part, done = r, []
+    part = rows.join(b, leaf).withColumn("h", _hash(seed, F.col("k"), F.col("id")))
     for at in (1, 3):  # a byte of the hash at a time
         bucket = F.substring("h", at, 2)
         sums = part.groupBy(*leaf, bucket.alias("bucket")).agg(F.sum("tokens").alias("n"), F.first("rest").alias("rest"))
         upto = F.sum("n").over(Window.partitionBy(*leaf).orderBy("bucket"))
-        # the cut lies in the first bucket that goes over the rest; buckets after it aren't needed
+        # the cut lies in the first bucket that goes over the rest: the rest is less than the leaf
         cut = sums.withColumn("upto", upto).where("upto > rest").groupBy(*leaf).agg(F.min("bucket").alias("cut"), F.min(F.col("upto") - F.col("n")).alias("used"))
         cut, _ = materialize(cut, "mix-cuts")
-        j = part.join(cut, leaf, "left")
-        done.append(j.where(F.col("cut").isNull() | (bucket < F.col("cut"))).select("id", *leaf, "tokens", F.col("k").alias("epoch")))
-        part = j.where(bucket == F.col("cut")).withColumn("rest", F.col("rest") - F.col("used")).drop("cut", "used")
-    exact = F.sum("tokens").over(Window.partitionBy(*leaf).orderBy("h", F.col("id").asc_nulls_first(), "tokens").rowsBetween(Window.unboundedPreceding, 0))
-    last = part.withColumn("upto", exact).where("upto <= rest").select("id", *leaf, "tokens", F.col("k").alias("epoch"))
-    out = whole
-    for x in (*done, last):
-        out = out.unionByName(x)
-    return out
+        part = part.join(cut, leaf).where(bucket == F.col("cut")).withColumn("rest", F.col("rest") - F.col("used")).drop("cut", "used")
+    same = part.groupBy(*leaf, "k", "rest", "h", "id", "tokens").agg(F.count(F.lit(1)).alias("n"))
+    key = ("h", F.col("id").asc_nulls_first(), "tokens")
+    before = F.coalesce(F.sum(F.col("n") * F.col("tokens")).over(Window.partitionBy(*leaf).orderBy(*key).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    over = same.withColumn("before", before).where(F.col("before") + F.col("n") * F.col("tokens") > F.col("rest"))
+    first = F.row_number().over(Window.partitionBy(*leaf).orderBy(*key))
+    over = over.withColumn("nth", first).where("nth = 1")
+    return over.select(*leaf, "k", F.col("h").alias("cut_h"), F.col("id").alias("cut_id"), F.col("tokens").alias("cut_tokens"), F.expr("(rest - before) div tokens").alias("cut_take"))
+
+
+def _against_cut(h: Column, row_id: Column, tokens: Column, of=F.col) -> tuple[Column, Column]:
+    """(whether a row comes before its leaf's cut, whether it is equal to it)."""
+    same_h, same_id = h == of("cut_h"), row_id.eqNullSafe(of("cut_id"))
+    earlier_id = F.coalesce(row_id < of("cut_id"), row_id.isNull() & of("cut_id").isNotNull())
+    # tokens are looked at for rows with the cut's id alone
+    before = F.when(same_h & same_id, tokens < of("cut_tokens")).otherwise((h < of("cut_h")) | same_h & earlier_id)
+    return before, F.when(same_h & same_id, tokens == of("cut_tokens")).otherwise(F.lit(False))
+
+
+def select_prefixes(rows: DataFrame, budgets: DataFrame, seed: int) -> DataFrame:
+    """(id, domain, lang, source, tokens, epoch): the documents that fill each leaf's budget, by :func:`leaf_cuts`."""
+    leaf = list(LEVELS)
+    cuts, _ = materialize(leaf_cuts(rows, budgets, seed), "mix-leaf-cuts")
+    r = rows.join(cuts, leaf).withColumn("h", _hash(seed, F.col("k"), F.col("id")))
+    before, _ = _against_cut(F.col("h"), F.col("id"), F.col("tokens"))
+    # epochs 0 to k - 1, and k for those before the cut
+    many = r.withColumn("last", F.col("k") - F.when(before, 0).otherwise(1)).where("last >= 0")
+    taken = many.select("id", *leaf, "tokens", F.explode(F.sequence(F.lit(0), F.col("last"))).alias("epoch"))
+    equal = cuts.where("cut_take > 0").select(F.col("cut_id").alias("id"), *leaf, F.col("cut_tokens").alias("tokens"), F.col("k").alias("epoch"), F.explode(F.sequence(F.lit(1), F.col("cut_take"))).alias("nth"))
+    return taken.unionByName(equal.drop("nth"))
 
 
 def mix(
@@ -114,15 +139,26 @@ def mix(
     tokens gives nothing. Null and repeated ids are rows like any other, ordered by their hash. An
     empty table gives an empty result.
     """
-    label = lambda c: F.coalesce(c, F.lit(""))
-    tokens = F.regexp_count(text_of(text_col), F.lit(WORDS)).cast("long")
-    rows = docs.select(F.col(id_col).alias("id"), label(domain).alias("domain"), label(F.col(lang_col)).alias("lang"), label(F.col(source_col)).alias("source"), tokens.alias("tokens"))
-    rows, _ = materialize(rows, "mix-rows")
-    leaves, _ = materialize(rows.groupBy(*LEVELS).agg(F.sum("tokens").alias("tokens")), "mix-leaves")
+    rows, leaves = _rows_and_leaves(docs, domain, id_col, text_col, lang_col, source_col)
     chosen = select_prefixes(rows, leaf_budgets(leaves, fraction, epochs, weights), seed)
     return chosen.select(F.col("id").alias(id_col), *LEVELS, "tokens", F.col("epoch").cast("long").alias("epoch"))
 
 
+def _label(c: Column) -> Column:
+    return F.coalesce(c, F.lit(""))
+
+
+def _tokens(text_col: str) -> Column:
+    return F.regexp_count(text_of(text_col), F.lit(WORDS)).cast("long")
+
+
+def _rows_and_leaves(docs: DataFrame, domain: Column, id_col: str, text_col: str, lang_col: str, source_col: str) -> tuple[DataFrame, DataFrame]:
+    rows = docs.select(F.col(id_col).alias("id"), _label(domain).alias("domain"), _label(F.col(lang_col)).alias("lang"), _label(F.col(source_col)).alias("source"), _tokens(text_col).alias("tokens"))
+    rows, _ = materialize(rows, "mix-rows")
+    leaves, _ = materialize(rows.groupBy(*LEVELS).agg(F.sum("tokens").alias("tokens")), "mix-leaves")
+    return rows, leaves
+
+
 #: The production setting over ``documents``, whose sources are named by number.
 DOMAINS = ("web", "books", "forum", "code")
 WEIGHTS = {"domain": {"web": 4, "books": 3, "forum": 2, "code": 1}, "lang": {"en": 6, "de": 2, "fr": 1, "es": 1}}
@@ -138,23 +174,29 @@ def mix_documents(docs: DataFrame) -> DataFrame:
     return mix(docs, domain_of(), WEIGHTS)
 
 
-def mixed_rows(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` as often as the mix takes them, with the columns of ``docs``.
+def mixed_rows(docs: DataFrame, fraction: float = 0.5, epochs: int = 2, seed: int = 42) -> DataFrame:
+    """The rows of ``docs`` as often as :func:`mix_documents` takes them, with the columns of ``docs``.
 
-    Rows are matched by id; among repeated ids each chosen row stands for one of them, by tokens.
+    Each row tells by its own hash whether it is before its leaf's cut, so that texts aren't shuffled. Of rows equal to
+    the cut (repeated ids with as many tokens in one leaf) the first ones by a hash of all columns are taken.
     """
-    key, size, times, nth = (fresh(docs, n) for n in ("__id", "__tokens", "__times", "__nth"))
-    name = F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))
-    marked = docs.withColumns({key: name, size: F.regexp_count(text_of("text"), F.lit(WORDS)).cast("long")})
-    chosen = mix_documents(docs).groupBy(name.alias(key), F.col("tokens").alias(size), "epoch").agg(F.count(F.lit(1)).alias(times)).drop("epoch")
-    chosen, _ = materialize(chosen, "mix-times")
-    out = marked
-    if chosen.where(F.col(times) > 1).limit(1).count():  # repeated ids: as many rows of each as were chosen
-        number = F.row_number().over(Window.partitionBy(key, size).orderBy(F.xxhash64("text")))
-        out = marked.withColumn(nth, number).join(chosen.hint("merge"), [key, size]).where(F.col(nth) <= F.col(times))
-    else:
-        out = marked.join(chosen.hint("merge"), [key, size])  # as many ids as documents: never a broadcast
-    return out.select(*[F.col(f"`{c}`") for c in docs.columns])
+    rows, leaves = _rows_and_leaves(docs, domain_of(), "doc_id", "text", "lang", "source")
+    cuts, _ = materialize(leaf_cuts(rows, leaf_budgets(leaves, fraction, epochs, WEIGHTS), seed), "mix-leaf-cuts")
+    names = {c: fresh(docs, f"__{c}") for c in (*LEVELS, "k", "cut_h", "cut_id", "cut_tokens", "cut_take")}
+    h, nth, times = (fresh(docs, n) for n in ("__h", "__nth", "__times"))
+    cuts = cuts.withColumnsRenamed(names)
+    of = lambda c: F.col(names[c])
+    labels = {names["domain"]: _label(domain_of()), names["lang"]: _label(F.col("lang")), names["source"]: _label(F.col("source"))}
+    # the cuts have a row a leaf: the planner broadcasts them by their written size
+    r = docs.withColumns(labels).join(cuts, [names[c] for c in LEVELS]).withColumn(h, _hash(seed, of("k"), F.col("doc_id")))
+    row_id, tokens = F.col("doc_id"), _tokens("text")
+    before, equal = _against_cut(F.col(h), row_id, tokens, of)
+    sure = r.withColumn(times, of("k") + F.when(before, 1).otherwise(0)).where(F.col(times) > 0).where(~equal)
+    number = F.row_number().over(Window.partitionBy(*[names[c] for c in LEVELS]).orderBy(F.xxhash64(*[F.to_json(F.struct(F.col(f"`{c}`"))) for c in docs.columns])))
+    at_cut = r.where(equal).withColumn(nth, number).withColumn(times, of("k") + F.when(F.col(nth) <= of("cut_take"), 1).otherwise(0)).where(F.col(times) > 0)
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    copies = F.explode(F.sequence(F.lit(1), F.col(times))).alias(nth)
+    return sure.select(*columns, copies).unionByName(at_cut.select(*columns, copies)).drop(nth)
 
 
 _SHARE = """
