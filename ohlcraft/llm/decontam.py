@@ -1,36 +1,42 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
-
-Every test item is cut into word trigrams. A first pass counts in how many corpus documents each of
-them occurs. In each run of ``WINDOW`` successive trigrams of an item the rarest is a seed, so that
-every copied stretch of WINDOW + 2 words holds one, however often the passage was copied, while
-phrases that are common by chance are seeds only where an item has nothing rarer. A second pass
-finds the seeds in the corpus; around each, document and item are aligned locally, which forgives
-changed, missing and added words. A document whose alignment scores enough of the item is contaminated.
+"""Benchmark decontamination: rare n-gram seeds join passages to test items, then Smith-Waterman alignment.
+
+1. Every test item is a table of its word trigrams, as hashes. A first pass over the corpus counts in how many documents
+   each of them occurs. In each run of ``WINDOW`` successive trigrams of an item the rarest is a seed, so that
+   every copied stretch of WINDOW + 2 words holds one, however often the passage was copied, while
+   phrases that are common by chance are seeds only where an item has nothing rarer.
+2. A second pass cuts the passages around seeds out of the documents, as word hashes. The seeds' places in passages are joined to
+   the seeds of items in the JVM, by hash or by sort and merge, as their written sizes ask for.
+3. Each passage on a near diagonal with an item is aligned with it locally, which forgives
+   changed, missing and added words. A document whose alignment scores enough of the item is contaminated.
+
+Nothing of the benchmark's size goes to the driver or into a task: both passes drop trigrams of no item by a bitmap of at most 16 MB
+(:mod:`bitmap`), and the joins do the rest.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import partial
-from itertools import repeat
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from .common import forget_words, text_of
+from .bitmap import bitmap_of, probe, without_rows
+from .common import forget_words, materialize, text_of
 
 N = 3
 WINDOW = 4
 #: Local alignment: +1 a matching word, -1 a changed, missing or added one. The score asked for, as a share of the item's words.
 MIN_SHARE = 0.5
-#: Benchmark items that one pass over the corpus looks for; more items take more passes.
-ITEMS_PER_PASS = 20_000
-_BITS = 21
 _SIGNS = bytes(c if chr(c).isalnum() or c >= 128 else 32 for c in range(256))
 _CELLS = 4 << 20
+#: Words whose hashes a worker keeps.
+_CACHE = 1_000_000
+_MIX = tuple(np.uint64(m) for m in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
 
 
 def words_of(text: str) -> list[bytes]:
@@ -38,57 +44,70 @@ def words_of(text: str) -> list[bytes]:
     return text.lower().encode("utf-8", "replace").translate(_SIGNS).split()
 
 
-class Items:
-    """Test items as word numbers, their trigrams, and (once counted) the seeds."""
-
-    def __init__(self, ids: list, texts: list[str]):
-        self.ids = ids
-        split = [words_of(t) for t in texts]
-        self.vocabulary = {w: i + 1 for i, w in enumerate(sorted({w for x in split for w in x}))}
-        if len(self.vocabulary) >= 1 << _BITS:
-            raise ValueError("too many words in one block of benchmark items")
-        self.words = [np.fromiter((self.vocabulary[w] for w in x), np.int64, len(x)) for x in split]
-        found = [grams(x)[1] if len(x) >= N else np.array([], np.int64) for x in self.words]
-        self.short = {tuple(x.tolist()): [k for k, y in enumerate(self.words) if np.array_equal(x, y)] for x in self.words if 0 < len(x) < N}
-        self.grams = found
-        self.all = np.unique(np.concatenate(found)) if found else np.empty(0, np.int64)
-        self.seeds = self.seed_item = self.seed_at = np.empty(0, np.int64)
-
-    def choose(self, counts: np.ndarray) -> None:
-        """Seeds: the rarest trigram of each window, the first of equally rare ones."""
-        rows = set()
-        for k, g in enumerate(self.grams):
-            c = counts[np.searchsorted(self.all, g)]
-            for i in range(max(1, len(g) - WINDOW + 1) if len(g) else 0):
-                j = i + int(np.argmin(c[i : i + WINDOW]))
-                rows.add((int(g[j]), k, j))
-        table = np.array(sorted(rows), np.int64).reshape(-1, 3)
-        self.seeds, self.seed_item, self.seed_at = table[:, 0], table[:, 1], table[:, 2]
-
-    def numbers(self, text: str) -> np.ndarray:
-        w = words_of(text)
-        return np.fromiter(map(self.vocabulary.get, w, repeat(0)), np.int64, len(w))
-
-
-def grams(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(positions, trigram numbers) of the trigrams whose words are all known."""
-    if len(x) < N:
-        return np.empty(0, np.int64), np.empty(0, np.int64)
-    at = np.flatnonzero((x[:-2] > 0) & (x[1:-1] > 0) & (x[2:] > 0))
-    return at, x[at] << (2 * _BITS) | x[at + 1] << _BITS | x[at + 2]
-
-
-def _count(items: Items, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+class _Hashes(dict):
+    def __missing__(self, word: bytes) -> int:
+        if len(self) >= _CACHE:
+            self.clear()
+        self[word] = h = xxhash.xxh64_intdigest(word) >> 1
+        return h
+
+
+def word_hashes(text: str, known: _Hashes) -> np.ndarray:
+    w = words_of(text)
+    return np.fromiter(map(known.__getitem__, w), np.int64, len(w))
+
+
+def grams(x: np.ndarray, n: int = N) -> np.ndarray:
+    """A hash for each run of ``n`` words."""
+    if len(x) < n:
+        return np.empty(0, np.int64)
+    u = x.view(np.uint64)
+    out = np.full(len(x) - n + 1, n, np.uint64)
+    for i in range(n):
+        out = (out ^ u[i : len(u) - n + 1 + i]) * _MIX[i]
+        out ^= out >> np.uint64(29)
+    return out.view(np.int64) & np.int64((1 << 62) - 1)
+
+
+def _item_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(key, text) -> (key, words, n, gram, at): an item's words and the hashes of its trigrams (of all its words, if fewer)."""
+    known = _Hashes()
+    for b in batches:
+        for lo in range(0, b.num_rows, 256):
+            key, words, gram, at = [], [], [], []
+            for k, text in zip(b.column(0).slice(lo, 256).to_pylist(), b.column(1).slice(lo, 256).to_pylist(), strict=True):
+                x = word_hashes(text, known)
+                if len(x):
+                    g = grams(x, min(N, len(x)))
+                    key.append(k)
+                    words.append(x)
+                    gram.append(g)
+                    at.append(np.arange(len(g), dtype=np.int32))
+            kind = pa.list_(pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(words, kind), pa.array(gram, kind)], ["key", "words", "grams"])
+
+
+def _count(bits: np.ndarray, sizes: list[int], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(text) -> (gram, n): in how many of the texts the grams that pass the bitmap occur, added up in parts."""
     forget_words()
-    counts = np.zeros(len(items.all), np.int64)
+    known, seen, room = _Hashes(), [], 0
+
+    def done():
+        gram, n = np.unique(np.concatenate(seen), return_counts=True)
+        return pa.RecordBatch.from_arrays([pa.array(gram), pa.array(n.astype(np.int64))], ["gram", "n"])
+
     for b in batches:
         for text in b.column(0).to_pylist():
-            g = np.unique(grams(items.numbers(text))[1])
-            at = np.searchsorted(items.all, g)
-            at[at == len(items.all)] = 0
-            counts[at[items.all[at] == g] if len(items.all) else []] += 1
-    some = np.flatnonzero(counts)
-    yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(counts[some])], ["gram", "n"])
+            x = word_hashes(text, known)
+            for n in sizes:
+                g = grams(x, n)
+                seen.append(np.unique(g[probe(bits, g)]))
+                room += len(seen[-1])
+            if room > 1 << 20:
+                yield done()
+                seen, room = [], 0
+    if seen:
+        yield done()
 
 
 def align(items: list[np.ndarray], windows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -116,132 +135,122 @@ def align(items: list[np.ndarray], windows: list[np.ndarray]) -> tuple[np.ndarra
     return best, end
 
 
-def leaks(items: Items, texts: list[str], min_share: float = MIN_SHARE) -> list[tuple[int, int, int, int, int]]:
-    """(text number, item number, score, first word, last word) of the best alignment of each pair that scores enough."""
-    todo: dict[tuple[int, int, int], tuple[int, int]] = {}
-    numbered, found = {}, {}
-    for t, text in enumerate(texts):
-        x = items.numbers(text)
-        for short, owners in items.short.items() if len(items.short) else ():
-            if len(x) and (hit := _whole(x, short)) is not None:
-                for k in owners:
-                    found[t, k] = (len(short), hit, hit + len(short) - 1)
-        at, g = grams(x)
-        if not len(g):
-            continue
-        lo, hi = np.searchsorted(items.seeds, g, "left"), np.searchsorted(items.seeds, g, "right")
-        hit = np.flatnonzero(hi > lo)
-        if not len(hit):
-            continue
-        numbered[t] = x
-        for i in hit:
-            for r in range(lo[i], hi[i]):
-                k = int(items.seed_item[r])
-                n = len(items.words[k])
-                start = int(at[i] - items.seed_at[r])
-                slack = n // 3 + 2
-                bin_ = start // slack  # one window for hits on near diagonals
-                todo[t, k, bin_] = (max(0, bin_ * slack - slack), min(len(x), (bin_ + 1) * slack + n + slack))
-    order = sorted(todo.items(), key=lambda e: (len(items.words[e[0][1]]), e[1][1] - e[1][0]))
-    at = 0
-    while at < len(order):
-        to, cells = at, 0
-        while to < len(order) and (to == at or cells < _CELLS):
-            (_, _, _), (p, q) = order[to]
-            to += 1
-            cells = (to - at) * (q - p + 1)
-        part = order[at:to]
-        score, end = align([items.words[k] for (_, k, _), _ in part], [numbered[t][p:q] for (t, _, _), (p, q) in part])
-        for ((t, k, _), (p, _)), s, e in zip(part, score.tolist(), end.tolist(), strict=True):
-            n = len(items.words[k])
-            if s >= min_share * n and s >= min(n, N) and s > found.get((t, k), (0,))[0]:
-                last = p + e - 1
-                found[t, k] = (s, max(0, last - n + 1), last)
-        at = to
-    return sorted((t, k, *v) for (t, k), v in found.items())
-
-
-def _whole(x: np.ndarray, short: tuple[int, ...]) -> int | None:
-    """Where a very short item stands in the text, word by word."""
-    ok = np.ones(max(0, len(x) - len(short) + 1), bool)
-    for i, w in enumerate(short):
-        ok &= x[i : i + len(ok)] == w
-    hit = np.flatnonzero(ok)
-    return int(hit[0]) if len(hit) else None
-
-
-def _find(items: Items, min_share: float, kind: pa.DataType, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+_PASSAGES = "row long, id {kind}, h1 long, h2 long, start int, words array<long>, grams array<long>, ats array<int>"
+
+
+def _passages(bits: np.ndarray, sizes: list[int], reach: int, kind: pa.DataType, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(row, id, h1, h2, text) -> the stretches of words within ``reach`` of a seed, with the seeds and where they stand in the text."""
+    forget_words()
+    known = _Hashes()
+    longs, ints = pa.list_(pa.int64()), pa.list_(pa.int32())
     for b in batches:
         for lo in range(0, b.num_rows, 1000):
-            texts = b.column(1).slice(lo, 1000).to_pylist()
-            got = leaks(items, texts, min_share)
-            if got:
-                t, k, score, first, last = (list(c) for c in zip(*got, strict=True))
-                share = [s / len(items.words[i]) for s, i in zip(score, k, strict=True)]
-                yield pa.RecordBatch.from_arrays(
-                    [b.column(0).slice(lo, 1000).take(pa.array(t)), pa.array([items.ids[i] for i in k], kind), pa.array(score, pa.int64()), pa.array(share), pa.array(first, pa.int64()), pa.array(last, pa.int64())],
-                    ["id", "item_id", "score", "share", "first_word", "last_word"],
-                )
-
-
-def prepare(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> list[Items]:
-    """The items in blocks of ``ITEMS_PER_PASS``, with seeds by the corpus counts of all of ``docs``."""
-    rows = benchmark.select(item_col, text_of(item_text)).where(F.col(item_col).isNotNull()).toLocalIterator()
-    blocks, ids, texts = [], [], []
-    for r in rows:
-        ids.append(r[0])
-        texts.append(r[1])
-        if len(ids) == ITEMS_PER_PASS:
-            blocks.append(Items(ids, texts))
-            ids, texts = [], []
-    if ids:
-        blocks.append(Items(ids, texts))
-    for items in blocks:
-        counted = docs.select(text_of(text_col).alias("t")).mapInArrow(partial(_count, items), "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).collect()  # trigrams of a block
-        counts = np.zeros(len(items.all), np.int64)
-        for r in counted:
-            counts[r["gram"]] = r["n"]
-        items.choose(counts)
-    return blocks
+            part = b.slice(lo, 1000)
+            of, start, words, gram, ats = [], [], [], [], []
+            for i, text in enumerate(part.column(4).to_pylist()):
+                x = word_hashes(text, known)
+                found, place = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+                for n in sizes:
+                    g = grams(x, n)
+                    at = np.flatnonzero(probe(bits, g))
+                    found.append(g[at])
+                    place.append(at)
+                place, found = np.concatenate(place), np.concatenate(found)
+                if not len(place):
+                    continue
+                order = np.argsort(place, kind="stable")
+                place, found = place[order], found[order]
+                cut = [0, *(np.flatnonzero(np.diff(place) > 2 * reach) + 1).tolist(), len(place)]
+                for p, q in zip(cut, cut[1:], strict=False):
+                    first = max(0, int(place[p]) - reach)
+                    of.append(i)
+                    start.append(first)
+                    words.append(x[first : int(place[q - 1]) + reach])
+                    gram.append(found[p:q])
+                    ats.append(place[p:q].astype(np.int32))
+            take = pa.array(of, pa.int64())
+            yield pa.RecordBatch.from_arrays(
+                [*(part.column(k).take(take) for k in range(4)), pa.array(start, pa.int32()), pa.array(words, longs), pa.array(gram, longs), pa.array(ats, ints)],
+                ["row", "id", "h1", "h2", "start", "words", "grams", "ats"],
+            )
+
+
+def _align_all(min_share: float, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(row, id, h1, h2, key, lo, passage, item) -> those whose alignment scores enough, with (score, first, last)."""
+    for b in batches:
+        item, passage = ([np.asarray(x.values.to_numpy(zero_copy_only=False)) for x in b.column(k)] for k in (7, 6))
+        lo = b.column(5).to_pylist()
+        order = sorted(range(b.num_rows), key=lambda i: (len(item[i]), len(passage[i])))
+        hit, score, first, last, at = [], [], [], [], 0
+        while at < len(order):
+            to, cells = at, 0
+            while to < len(order) and (to == at or cells < _CELLS):
+                cells = (to + 1 - at) * (len(passage[order[to]]) + 1)
+                to += 1
+            part = order[at:to]
+            for i, s, e in zip(part, *(x.tolist() for x in align([item[i] for i in part], [passage[i] for i in part])), strict=True):
+                n = len(item[i])
+                if s >= min_share * n and s >= min(n, N):
+                    hit.append(i)
+                    score.append(s)
+                    last.append(lo[i] + e - 1)
+                    first.append(max(0, lo[i] + e - n))
+            at = to
+        take = pa.array(hit, pa.int64())
+        yield pa.RecordBatch.from_arrays([*(b.column(k).take(take) for k in range(5)), pa.array(score, pa.int64()), pa.array(first, pa.int64()), pa.array(last, pa.int64())], ["row", "id", "h1", "h2", "key", "score", "first_word", "last_word"])
+
+
+def _alignments(docs: DataFrame, benchmark: DataFrame, id_col: str, text_col: str, item_col: str, item_text: str, min_share: float) -> DataFrame:
+    """(row, id, h1, h2, item_id, n, score, first_word, last_word): the best alignment of each row with each item it holds."""
+    kind = docs.select(F.col(id_col).alias("id")).schema[0].dataType
+    arrow = pa.string() if kind.simpleString() == "string" else pa.int64() if kind.simpleString() == "bigint" else pa.int32()
+    items = benchmark.select(F.col(item_col).alias("item_id"), text_of(item_text).alias("text")).where("item_id IS NOT NULL").distinct()
+    items, _ = materialize(items.withColumn("key", F.monotonically_increasing_id()), "leak-items")
+    cut, _ = materialize(items.select("key", "text").mapInArrow(_item_grams, "key long, words array<long>, grams array<long>"), "leak-words")
+    one = cut.select("key", F.posexplode("grams").alias("at", "gram"))
+    facts = cut.agg(F.coalesce(F.sum(F.size("grams")), F.lit(0)), F.coalesce(F.max(F.size("words")), F.lit(0)), F.sort_array(F.collect_set(F.least(F.lit(N), F.size("words"))))).first()
+    total, longest, sizes = facts
+    bits = bitmap_of(one.select(F.col("gram").alias("h")), total)
+    counted = docs.select(text_of(text_col).alias("t")).mapInArrow(partial(_count, bits, sizes), "gram long, n long")
+    counts = counted.groupBy("gram").agg(F.sum("n").alias("n"))
+    # the rarest of each window of successive trigrams, the first of equally rare ones
+    rated, _ = materialize(one.join(counts, "gram", "left").select("key", "at", "gram", F.coalesce("n", F.lit(0)).alias("n")), "leak-counts")
+    window = Window.partitionBy("key").orderBy("at").rowsBetween(0, WINDOW - 1)
+    least = rated.select("key", "at", F.min(F.struct("n", "at", "gram")).over(window).alias("s"), F.max("at").over(Window.partitionBy("key")).alias("end"))
+    seeds = least.where((F.col("at") <= F.col("end") - (WINDOW - 1)) | (F.col("at") == 0)).select("key", F.col("s.at").alias("seed_at"), F.col("s.gram").alias("gram"))
+    seeds = seeds.distinct().join(cut.select("key", F.size("words").alias("n")), "key")
+    seeds, _ = materialize(seeds, "leak-seeds")
+    bits = bitmap_of(seeds.select(F.col("gram").alias("h")), total)
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), F.xxhash64(F.lit(1), text_of(text_col)).alias("h1"), F.xxhash64(F.lit(2), text_of(text_col)).alias("h2"), text_of(text_col).alias("text"))
+    found = rows.mapInArrow(partial(_passages, bits, sizes, 2 * longest + 8, arrow), _PASSAGES.format(kind=kind.simpleString()))
+    found, _ = materialize(found, "leak-passages")
+    places = found.select("row", "start", F.explode(F.arrays_zip("grams", "ats")).alias("g")).select("row", "start", F.col("g.grams").alias("gram"), F.col("g.ats").alias("at"))
+    # one alignment for hits on near diagonals
+    slack, diagonal = F.expr("n div 3 + 2"), F.expr("floor((at - seed_at) / (n div 3 + 2))").cast("int")
+    near = places.join(seeds, "gram").select("row", "start", "key", (diagonal * slack - slack).cast("int").alias("lo"), ((diagonal + 1) * slack + F.col("n") + slack).cast("int").alias("hi")).distinct()
+    joined = near.join(found.select("row", "start", "id", "h1", "h2", "words"), ["row", "start"]).join(cut.select("key", F.col("words").alias("item")), "key")
+    low = F.greatest(F.col("lo"), F.col("start"))
+    pairs = joined.select("row", "id", "h1", "h2", "key", low.alias("lo"), F.slice("words", low - F.col("start") + 1, F.greatest(F.col("hi") - low, F.lit(0))).alias("passage"), "item")
+    scored = pairs.mapInArrow(partial(_align_all, min_share), f"row long, id {kind.simpleString()}, h1 long, h2 long, key long, score long, first_word long, last_word long")
+    best = scored.groupBy("row", "key").agg(F.min(F.struct((-F.col("score")).alias("less"), "first_word", "last_word", "id", "h1", "h2")).alias("b"))
+    lengths = cut.select("key", F.size("words").alias("n")).join(items.select("key", "item_id"), "key")
+    return best.join(lengths, "key").select("row", "b.id", "b.h1", "b.h2", "item_id", "n", (-F.col("b.less")).alias("score"), "b.first_word", "b.last_word")
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", min_share: float = MIN_SHARE) -> DataFrame:
     """(id_col, item_col, score, share, first_word, last_word): every contaminated document with every item it holds.
 
-    share is the alignment's score over the item's words; the words of a document count from 0.
-    Items of one or two words match whole words alone; items without words match nothing. Null
+    share is the alignment's score over the item's words; the words of a document count from 0; of equal alignments the first one is
+    given. Items of one or two words match whole words alone; items without words match nothing. Null
     texts count as empty; null and repeated document ids are returned as they come; null item ids
-    are left out; other columns aren't looked at; empty tables give an empty result.
+    are left out, repeated items count once; other columns aren't looked at; empty tables give an empty result.
     """
-    schema = docs.select(F.col(id_col).alias("id")).schema[0].dataType.simpleString()
-    kind = benchmark.schema[item_col].dataType.simpleString()
-    arrow = pa.string() if kind == "string" else pa.int64()
-    base = docs.select(F.col(id_col).alias("id"), text_of(text_col).alias("text"))
-    out = None
-    for items in prepare(docs, benchmark, text_col, item_col, item_text):
-        part = base.mapInArrow(partial(_find, items, min_share, arrow), f"id {schema}, item_id {'string' if kind == 'string' else 'bigint'}, score long, share double, first_word long, last_word long")
-        out = part if out is None else out.unionByName(part)
-    if out is None:
-        out = docs.sparkSession.createDataFrame([], f"id {schema}, item_id bigint, score long, share double, first_word long, last_word long")
-    return out.withColumnsRenamed({"id": id_col, "item_id": item_col})
-
-
-def _holds(items: Items):
-    """A vectorised column function: whether a text holds one of the items."""
-
-    @F.pandas_udf("boolean")
-    def holds(texts: pd.Series) -> pd.Series:
-        hit, values = np.zeros(len(texts), bool), texts.tolist()
-        for lo in range(0, len(values), 1000):
-            for t, *_ in leaks(items, values[lo : lo + 1000]):
-                hit[lo + t] = True
-        return pd.Series(hit)
-
-    return holds
+    a = _alignments(docs, benchmark, id_col, text_col, item_col, item_text, min_share)
+    return a.select(F.col("id").alias(id_col), F.col("item_id").alias(item_col), "score", (F.col("score") / F.col("n")).alias("share"), "first_word", "last_word")
 
 
 def keep_uncontaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that hold no benchmark item, with their columns."""
-    for items in prepare(docs, benchmark, text_col):
-        docs = docs.where(~_holds(items)(text_of(text_col)))
-    return docs
+    """The rows of ``docs`` that hold no benchmark item, with their columns. Rows with a text that does go, whatever their ids."""
+    found = _alignments(docs.select(F.lit(0).cast("long").alias("id"), text_col), benchmark, "id", text_col, "item_id", "text", MIN_SHARE)
+    leaking, _ = materialize(found.select("h1", "h2").distinct(), "leak-texts")
+    return without_rows(docs, [F.xxhash64(F.lit(1), text_of(text_col)), F.xxhash64(F.lit(2), text_of(text_col))], leaking)

@@ -35,7 +35,7 @@ def op6_flat_graph(spark, sf_dir):
     return flat_graph.near_duplicate_vectors(_t(spark, sf_dir, "embeddings"))
 
 
-def op6_recall_audit(spark, sf_dir):
+def flat_graph_recall(spark, sf_dir):
     """How op6's links of the stated audit rows compare with brute force over all rows."""
     vectors = _t(spark, sf_dir, "embeddings")
     found, _ = materialize(flat_graph.near_duplicate_vectors(vectors), "graph-found")
@@ -58,5 +58,5 @@ def op10_simhash(spark, sf_dir):
     return simhash.simhash_dedup(_t(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_html_text, op2_toxicity, op3_pii, op4_separator_scan, op5_token_records, op6_flat_graph, op6_recall_audit, op7_licenses, op8_decontamination, op9_mixing, op10_simhash)}
+QUERIES = {f.__name__: f for f in (op1_html_text, op2_toxicity, op3_pii, op4_separator_scan, op5_token_records, op6_flat_graph, flat_graph_recall, op7_licenses, op8_decontamination, op9_mixing, op10_simhash)}
 ORACLES: dict[str, str] = {"op6_flat_graph": flat_graph.ORACLE, "op9_mixing": mixing.ORACLE}

@@ -21,6 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .bitmap import without_rows
 from .common import forget_words, fresh, materialize, text_of
 from .components import connected_components, spanning_forest
 
@@ -71,12 +72,12 @@ def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     for b in batches:
         texts = b.column(1).cast(pa.binary())
         out = np.fromiter((fingerprint(x.as_py()) for x in texts), np.uint64, len(texts))
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out.view(np.int64))], ["id", "fp"])
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out.view(np.int64)), b.column(2)], ["id", "fp", "h"])
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, fp) of every row; fp holds the 64 bits as a signed long. Null texts count as empty."""
-    return docs.select(F.col(id_col).cast("long").alias("id"), text_of(text_col).alias("text")).mapInArrow(_fingerprints, "id long, fp long")
+    """(id, fp, h) of every row; fp holds the 64 bits as a signed long, h is a hash of the text. Null texts count as empty."""
+    return docs.select(F.col(id_col).cast("long").alias("id"), text_of(text_col).alias("text"), F.xxhash64(text_of(text_col)).alias("h")).mapInArrow(_fingerprints, "id long, fp long, h long")
 
 
 def _signed(x: int) -> int:
@@ -189,6 +190,12 @@ def near_duplicate_classes(fps: DataFrame) -> DataFrame:
     return classes.join(labels.withColumnRenamed("id", "rep"), "rep", "left").select("fp", "rep", F.coalesce("component", "rep").alias("component"))
 
 
+def _with_components(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, fp, h, component) of every row."""
+    fps, _ = materialize(fingerprints(docs, id_col, text_col), "simhash-fp")
+    return fps.join(near_duplicate_classes(fps).select("fp", "component"), "fp", "left").select("id", "fp", "h", F.when(F.col("id").isNotNull(), F.col("component")).alias("component"))
+
+
 def simhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id_col, fingerprint, component_id) for every row of ``docs``.
 
@@ -197,26 +204,25 @@ def simhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     id get a fingerprint and a null component. Repeated rows are returned as often as they come.
     Other columns are not looked at; an empty table gives an empty result.
     """
-    fps, _ = materialize(fingerprints(docs, id_col, text_col), "simhash-fp")
-    cls = near_duplicate_classes(fps).select("fp", "component")
-    out = fps.join(cls, "fp", "left")
     digits = F.lower(F.lpad(F.hex("fp"), 16, "0"))
-    return out.select(F.col("id").alias(id_col), digits.alias("fingerprint"), F.when(F.col("id").isNotNull(), F.col("component")).alias("component_id"))
+    return _with_components(docs, id_col, text_col).select(F.col("id").alias(id_col), digits.alias("fingerprint"), F.col("component").alias("component_id"))
 
 
 def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` with one document of each near-duplicate group, that of the least id.
 
-    Of repeated rows with the kept id, one stays. Rows with a null id stay.
+    Of rows with the kept id and one fingerprint, one stays; rows with one id but different texts that aren't near
+    duplicates both stay, as do rows with a null id. Rows are told apart by id and a hash of the text.
     """
-    key = fresh(docs, "__id")
-    verdict = simhash_dedup(docs.select(id_col, text_col), id_col, text_col)
-    verdict, _ = materialize(verdict.where(F.col("component_id") == F.col(id_col)).groupBy(F.col(id_col).cast("long").alias(key)).agg(F.count(F.lit(1)).alias("n")), "simhash-kept")
-    # as many ids as documents: sort-merge at every size, never a broadcast
-    once = verdict.where("n = 1").select(key).hint("merge")
-    keyed = docs.withColumn(key, F.col(id_col).cast("long"))
-    stay = keyed.join(once, key, "left_semi").unionByName(keyed.where(F.col(key).isNull()))
-    if verdict.where("n > 1").limit(1).count():
-        more = keyed.join(verdict.where("n > 1").select(key).hint("merge"), key, "left_semi")
-        stay = stay.unionByName(more.dropDuplicates([key]))
-    return stay.select(*[F.col(f"`{c}`") for c in docs.columns])
+    found, _ = materialize(_with_components(docs, id_col, text_col).where("id IS NOT NULL"), "simhash-found")
+    kept = found.where("component = id").groupBy("id", "fp").agg(F.min("h").alias("h"))
+    repeated = found.join(kept, ["id", "fp", "h"], "left_semi").groupBy("id", "h").count().where("count > 1").select("id", "h")
+    repeated, _ = materialize(repeated, "simhash-repeated")
+    dropped, _ = materialize(found.select("id", "fp", "h").distinct().join(kept, ["id", "fp", "h"], "left_anti").select("id", "h").unionByName(repeated).distinct(), "simhash-dropped")
+    key = [F.col(id_col).cast("long"), F.xxhash64(text_of(text_col))]
+    stay = without_rows(docs, key, dropped)
+    if repeated.limit(1).count():
+        a, b = fresh(docs, "__id"), fresh(docs, "__text")
+        again = docs.withColumns({a: key[0], b: key[1]}).join(repeated.toDF(a, b), [a, b], "left_semi").dropDuplicates([a, b])
+        stay = stay.unionByName(again.select(*[F.col(f"`{c}`") for c in docs.columns]))
+    return stay

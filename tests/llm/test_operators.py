@@ -6,6 +6,7 @@ import random
 import re
 import struct
 import zlib
+from collections import Counter
 
 import duckdb
 import numpy as np
@@ -155,8 +156,18 @@ def test_simhash(docs, empty):
     assert simhash.simhash_dedup(empty).count() == 0
     kept = simhash.keep_one_of_each(docs)
     assert kept.columns == docs.columns
-    ids = [r[0] for r in kept.select("doc_id").collect() if r[0] is not None]
-    assert len(ids) == len(set(ids)) and simhash.keep_one_of_each(empty).count() == 0
+    stayed = [r.doc_id for r in kept.select("doc_id").collect()]
+    assert sorted(i for i in stayed if i is not None) == sorted(i for i, f in set(some) if comp[least[f]] == i) and stayed.count(None) == sum(i is None for i, _ in fps)
+    assert simhash.keep_one_of_each(empty).count() == 0
+
+
+def test_simhash_rows_of_one_id(spark):
+    """One id with two texts that aren't near: both stay; repeated rows, and copies in other case, stay once."""
+    a, b = "one two three four five six seven", "completely other words stand in this text"
+    table = [(1, a, 0), (1, a, 0), (1, a.upper(), 1), (1, b, 2), (2, a, 3), (3, b, 4), (4, "a third text of quite some words", 5)]
+    kept = simhash.keep_one_of_each(spark.createDataFrame(table, "doc_id long, text string, __id long"))
+    got = [(r.doc_id, r.text.lower()) for r in kept.collect()]
+    assert sorted(got) == sorted([(1, a), (1, b), (4, table[-1][1])])
 
 
 def test_simhash_pigeonring_finds_all_pairs(spark, monkeypatch):
@@ -192,6 +203,14 @@ def test_components(spark):
     assert components.connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_components_with_hubs(spark, monkeypatch):
+    monkeypatch.setattr(components, "HUB", 10)
+    rng = random.Random(8)
+    edges = [(0, i) for i in range(1, 400)] + [(1000, rng.randrange(1001, 1400)) for _ in range(300)] + [(399, 5000), (5000, 5001)] + [(2000 + i, 2001 + i) for i in range(30)]
+    got = {r.id: r.component for r in components.connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == components_of({x for e in edges for x in e}, edges)
+
+
 def slow_base(x):
     out, digits = [], lambda s: re.sub("[^0-9]", "", s)
 
@@ -261,7 +280,25 @@ def test_mixing(spark, docs, empty):
         want = sorted(con.execute(mixing.ORACLE).fetchall(), key=repr)
         assert [tuple(map(str, r)) for r in got] == [tuple(map(str, r)) for r in want]
         back = mixing.mixed_rows(d)
-        assert back.columns == d.columns and back.count() == len(got)
+        words = lambda x: len(re.findall(mixing.WORDS, x or ""))
+        key = lambda r: (str(r.doc_id), r.lang or "", r.source or "", words(r.text))
+        assert back.columns == d.columns
+        assert sorted(map(key, back.collect())) == sorted((str(g[0]), g[2], g[3], g[4]) for g in got)
+
+
+def test_mixing_of_repeated_and_null_ids(spark):
+    """Half the rows have no id, or one id; the cut falls among rows with as many tokens."""
+    table = [(None if i % 2 else 5 if i % 3 else i, " ".join(["w"] * (i % 4)) + (f" t{i}" if i % 5 else ""), ("en", "de", None)[i % 3], f"s{i % 2}") for i in range(240)]
+    d = spark.createDataFrame(table, "doc_id long, text string, lang string, source string")
+    documents = d.toPandas()  # noqa: F841
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents AS SELECT doc_id::BIGINT AS doc_id, text::VARCHAR AS text, lang::VARCHAR AS lang, source::VARCHAR AS source FROM documents")
+    want = sorted(map(str, con.execute(mixing.ORACLE).fetchall()))
+    assert sorted(str(tuple(r)) for r in mixing.mix_documents(d).collect()) == want and len(want) > 50
+    back = mixing.mixed_rows(d).collect()
+    assert Counter((str(r.doc_id), len(r.text.split())) for r in back) == Counter((str(r.doc_id), r.tokens) for r in mixing.mix_documents(d).collect())
+    most = Counter(map(tuple, d.collect()))
+    assert all(n <= 2 * most[r] for r, n in Counter(map(tuple, back)).items())  # two epochs
 
 
 def test_shares_go_to_siblings_first(spark):
@@ -331,6 +368,66 @@ def test_decontamination(spark, docs, empty):
     assert decontam.keep_uncontaminated(docs, bench.limit(0)).count() == len(rows())
 
 
+@pytest.mark.parametrize("most", [1 << 27, 1 << 15])
+def test_decontamination_against_all_alignments(spark, monkeypatch, most):
+    """Every (document, item) pair by plain loops, with a wide and an overfull bitmap; repeated items of one id count once."""
+    from ohlcraft.llm import bitmap
+
+    monkeypatch.setattr(bitmap, "MOST", most)
+    monkeypatch.setattr(bitmap, "BITS_EACH", 32 if most > 1 << 15 else 1)
+    rng = random.Random(16)
+    vocabulary = [f"w{rng.randrange(10**6)}" for _ in range(300)]
+    items = [[rng.choice(vocabulary) for _ in range(rng.randint(1, 25))] for _ in range(25)]
+    table = []
+    for d in range(60):
+        w = [rng.choice(vocabulary) for _ in range(rng.randint(0, 60))]
+        for _ in range(rng.randrange(3)):
+            copy = list(rng.choice(items))
+            if len(copy) > 12:
+                copy[rng.randrange(len(copy))] = "edited"
+                copy = copy[rng.randrange(3) :]
+            at = rng.randrange(len(w) + 1)
+            w[at:at] = copy
+        table.append((d, " ".join(w)))
+    bench = [(i, " ".join(w)) for i, w in enumerate(items)]
+
+    def best(a, b):
+        h, top = [0] * (len(b) + 1), 0
+        for x in a:
+            row = [0]
+            for j, y in enumerate(b):
+                row.append(max(0, h[j] + (1 if x == y else -1), h[j + 1] - 1, row[j] - 1))
+            h, top = row, max(top, *row)
+        return top
+
+    true = {(d, i): best(w.split(), x.split()) for d, x in table for i, w in bench}
+    got = decontam.decontaminate(spark.createDataFrame(table, "doc_id long, text string"), spark.createDataFrame(bench + bench[:3], "item_id long, text string")).collect()
+    assert len({(r.doc_id, r.item_id) for r in got}) == len(got)
+    found = {(r.doc_id, r.item_id): r.score for r in got}
+    runs = lambda w, n: {tuple(w[i : i + n]) for i in range(len(w) - n + 1)}
+    texts = dict(table)
+    for (d, i), score in true.items():
+        n, w = len(items[i]), texts[d].split()
+        enough = score >= max(0.5 * n, min(3, n))
+        whole = min(n, decontam.WINDOW + 2)  # a copied run of as many words always holds a seed
+        assert (d, i) not in found or enough and found[d, i] == score
+        assert (d, i) in found or not (enough and runs(w, whole) & runs(items[i], whole))
+    assert len(found) > 40
+
+
+def test_rows_without_keys(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from ohlcraft.llm import bitmap
+
+    monkeypatch.setattr(bitmap, "MOST", 1 << 15)
+    d = spark.range(5000).selectExpr("id % 2000 AS id", "id AS __key0", "id % 7 AS __maybe")
+    gone = spark.range(0, 2000, 3).selectExpr("id AS k")
+    got = bitmap.without_rows(d, [F.col("id")], gone)
+    assert got.columns == d.columns and sorted(map(tuple, got.collect())) == sorted(tuple(r) for r in d.collect() if r.id % 3)
+    assert bitmap.without_rows(d, [F.col("id")], gone.limit(0)).count() == 5000 and bitmap.without_rows(d.limit(0), [F.col("id")], gone).count() == 0
+
+
 def docs_lit():
     from pyspark.sql import functions as F
 
