@@ -305,10 +305,16 @@ def latest(df: DataFrame) -> DataFrame:
     return df.withColumn("rn", F.row_number().over(order)).where("rn = 1").drop("rn")
 
 
+def recent(df: DataFrame, limit: int) -> DataFrame:
+    """The last ``limit`` bars of each symbol that has as many."""
+    back = F.row_number().over(Window.partitionBy("symbol").orderBy(F.desc("ts")))
+    last = df.withColumn("back", back).where(F.col("back") <= limit)
+    return last.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("symbol"))).where(F.col("n") == limit).drop("n", "back")
+
+
 def scan(df: DataFrame, limit: int = 1500, min_signal: float = 0.01, cfg: Config | None = None) -> DataFrame:
-    """(symbol, signal, direction, confidence, price) of symbols with enough history and a signal, the strongest first."""
-    enough = df.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("symbol"))).where(F.col("n") >= limit).drop("n")
-    found = latest(classify(enough, cfg)).where((F.col("close") > 0) & (F.abs("average") >= min_signal))
+    """(symbol, signal, direction, confidence, price) from the last ``limit`` bars of symbols with as many and a signal, the strongest first."""
+    found = latest(classify(recent(df, limit), cfg)).where((F.col("close") > 0) & (F.abs("average") >= min_signal))
     s = F.col("average")
     side = F.when(s > 0.05, "UP").when(s < -0.05, "DOWN").otherwise("NEUTRAL")
     return found.select("symbol", s.alias("signal"), side.alias("direction"), F.abs(s).alias("confidence"), F.col("close").alias("price")).orderBy(F.desc("confidence"), "symbol")
@@ -316,5 +322,6 @@ def scan(df: DataFrame, limit: int = 1500, min_signal: float = 0.01, cfg: Config
 
 def prefiltered_scan(df: DataFrame, limit: int = 1500, least: float = 0.05, cfg: Config | None = None) -> DataFrame:
     """The scan over symbols whose approximate signal, from cheap averages, is at least ``least`` in size."""
-    rough = latest(classify(df, cfg, approximate=True)).where(F.abs("average") >= least).select("symbol")
-    return scan(df.join(rough, "symbol", "left_semi"), limit, cfg=cfg)
+    some = recent(df, limit)
+    rough = latest(classify(some, cfg, approximate=True)).where(F.abs("average") >= least).select("symbol")
+    return scan(some.join(rough, "symbol", "left_semi"), limit, cfg=cfg)

@@ -125,7 +125,7 @@ def correlated_features(df: DataFrame, columns: list[str], limit: float = 0.85)
 def balanced_target(df: DataFrame, strong: float = 0.01, neutral: float = 0.005, seed: int = 42) -> DataFrame:
     """1 or -1 over ``strong``, 0 under ``neutral``; between them the sign or 0 by a seeded hash of the row."""
     fut = F.try_divide(following("close", 1), F.col("close")) - 1
-    coin = F.pmod(F.xxhash64(F.lit(seed), "symbol", "ts"), F.lit(2)) == 0
+    coin = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), "symbol", F.date_format("ts", "yyyy-MM-dd HH:mm:ss"))), 1, 8), 16, 10).cast("long") % 2 == 0
     sign = F.signum(fut).cast("int")
     return df.withColumn("target", F.when(fut.isNull(), None).when(F.abs(fut) >= strong, sign).when(F.abs(fut) <= neutral, 0).when(coin, sign).otherwise(0))
 

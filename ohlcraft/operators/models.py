@@ -175,16 +175,19 @@ def state_rules(states: DataFrame, length: int = 5, support: float = 0.1, confid
     return FPGrowth(itemsCol="items", minSupport=support, minConfidence=confidence).fit(baskets).associationRules
 
 
-def strategy_vote(df: DataFrame, how: str = "weighted") -> DataFrame:
-    """(symbol, signal, score_long, score_short) from rows a symbol and strategy: signal, weight, probability.
+def strategy_vote(df: DataFrame, how: str = "weighted", threshold: float = 0.5) -> DataFrame:
+    """(symbol, signal, score_long, score_short, score_hold) from rows a symbol and strategy: signal, weight, probability.
 
-    simple counts, weighted adds weights, confidence adds weight times probability. A side wins if its score
-    is 1.2 times the other's; else HOLD. Equal sides: LONG before SHORT.
+    simple counts, weighted adds weights, confidence adds weight times probability, threshold adds the weights of
+    strategies that are at least so sure. HOLD is a side like the others. The highest score wins; of equal ones LONG, then SHORT.
     """
-    worth = {"simple": F.lit(1.0), "weighted": F.col("weight"), "confidence": F.col("weight") * F.col("probability")}[how]
+    w, p = F.col("weight"), F.col("probability")
+    worth = {"simple": F.lit(1.0), "weighted": w, "confidence": w * p, "threshold": F.when(p >= threshold, w).otherwise(0.0)}[how]
     s = lambda side: F.sum(F.when(F.col("signal") == side, worth).otherwise(0.0))
-    g = df.groupBy("symbol").agg(s("LONG").alias("score_long"), s("SHORT").alias("score_short"))
-    return g.withColumn("signal", F.when((F.col("score_long") > 0) & (F.col("score_long") >= 1.2 * F.col("score_short")), "LONG").when((F.col("score_short") > 0) & (F.col("score_short") >= 1.2 * F.col("score_long")), "SHORT").otherwise("HOLD"))
+    g = df.groupBy("symbol").agg(s("LONG").alias("score_long"), s("SHORT").alias("score_short"), s("HOLD").alias("score_hold"))
+    most = F.greatest("score_long", "score_short", "score_hold")
+    signal = F.when(most == 0, "HOLD").when(F.col("score_long") == most, "LONG").when(F.col("score_short") == most, "SHORT").otherwise("HOLD")
+    return g.select("symbol", signal.alias("signal"), "score_long", "score_short", "score_hold")
 
 
 #: Strategies by name: candles -> (symbol, signal, probability). Others can be registered.
@@ -207,8 +210,6 @@ register("swings", _swing_strategy(1))
 register("high_order", _swing_strategy(2))
 
 
-
-
 def select_by_f_test(df: DataFrame, columns: list[str], label: str = "target", k: int = 3) -> list[str]:
     """The k features that an F-test ties closest to the classes."""
     from pyspark.ml.feature import UnivariateFeatureSelector
@@ -226,7 +227,7 @@ def select_by_forest(df: DataFrame, columns: list[str], label: str = "target", k
 def mutual_information(df: DataFrame, columns: list[str], label: str = "target", bins: int = 10) -> DataFrame:
     """(feature, mi): mutual information of each feature, in deciles, with the classes; counts in one pass."""
     t = df.dropna(subset=[*columns, label])
-    cuts = t.agg(*[F.percentile_approx(c, [i / bins for i in range(1, bins)]).alias(c) for c in columns])  # a row
+    cuts = t.agg(*[F.percentile_approx(c, [i / bins for i in range(1, bins)], 1_000_000).alias(c) for c in columns])  # a row
     bin_of = lambda c: F.size(F.filter(F.col(f"k.{c}"), lambda v: v < F.col(f"t.{c}")))
     j = t.alias("t").crossJoin(F.broadcast(cuts).alias("k"))
     rows = j.select(F.col(f"t.{label}").alias("y"), F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), bin_of(c).alias("b")) for c in columns])).alias("x")).groupBy("x.feature", "x.b", "y").agg(F.count(F.lit(1)).alias("n"))

@@ -10,6 +10,7 @@ from ..functions.scalars import clip, gradient
 from ..functions.windows import UPTO, W, last_n, persist_sign, prev, rolling, run_length, truth
 from . import indicators as ind
 
+
 def O() -> Column:
     return F.col("osc")
 
@@ -204,6 +205,44 @@ def adaptive_weights(df: DataFrame, which: tuple[int, ...], window: int = 10) ->
     return g.select("symbol", *[(F.col(f"w{k}") / total * len(which)).alias(f"w{k}") for k in which])
 
 
+def combined(df: DataFrame, which: tuple[int, ...] = (2, 3, 4, 6, 7, 8, 9), mode: str = "threshold", share: float = 0.5, dynamic: bool = False, adaptive: bool = False, least_strength: float = 0.0) -> DataFrame:
+    """(symbol, ts, signal, strength, strategies) by the joint vote of the strategies over an oscillator.
+
+    ``dynamic`` lets each symbol's market conditions choose among them; ``adaptive`` weighs them by how they did lately, in the mode
+    "weighted"; "threshold" asks for ceil(n * share) of a symbol's n strategies. Without any strategy the basic one decides. The
+    strength is the mean of the strategies that agree; signals under ``least_strength`` are 0, and bars without oscillator too.
+    """
+    if not which:
+        out = basic(df)
+        return out.select("symbol", "ts", F.col("s1").alias("signal"), F.col("f1").alias("strength"), F.lit("1").alias("strategies"))
+    out = all_strategies(df, which)
+    if dynamic:
+        # a row a symbol: the planner's choice of join
+        out = out.join(market_conditions(df, which=which).select("symbol", "strategies"), "symbol")
+    else:
+        out = out.withColumn("strategies", F.lit(",".join(map(str, which))))
+    own = F.split("strategies", ",")
+    on = {k: F.array_contains(own, str(k)) for k in which}
+    n = F.size(own)
+    if mode == "weighted":
+        if adaptive:
+            out = out.join(adaptive_weights(out, which), "symbol")
+        w = {k: (F.col(f"w{k}") if adaptive else F.lit(1.0)) for k in which}
+        least, apart = F.lit(0.5), F.lit(0.1)
+    else:
+        w, least, apart = {k: F.lit(1.0) for k in which}, F.ceil(n * share), F.lit(0.0)
+    side = lambda v: sum(F.when(on[k] & (F.col(f"s{k}") == v), w[k]).otherwise(0.0) for k in which)
+    out = out.withColumns({"up": side(1), "down": side(-1)})
+    up, down = F.col("up"), F.col("down")
+    enough = (lambda a: a >= least) if mode != "weighted" else (lambda a: a > least)
+    vote = F.when((up > down) & enough(up) & (up - down > apart), 1).when((down > up) & enough(down) & (down - up > apart), -1).otherwise(0)
+    out = out.withColumn("vote", F.when(O().isNotNull(), vote).otherwise(0))
+    agree = lambda k: on[k] & (F.col("vote") != 0) & (F.col(f"s{k}") == F.col("vote"))
+    total, count = sum(F.when(agree(k), F.col(f"f{k}")).otherwise(0.0) for k in which), sum(F.when(agree(k), 1).otherwise(0) for k in which)
+    out = out.withColumn("strength", F.coalesce(F.try_divide(total, count), F.lit(0.0)))
+    return out.select("symbol", "ts", F.when(F.col("strength") >= least_strength, F.col("vote")).otherwise(0).alias("signal"), "strength", "strategies")
+
+
 def heat(df: DataFrame, lookback: int = 100, levels: int = 10) -> DataFrame:
     """How often the level band of the close was touched over the last bars, and its colour."""
     out = df.withColumns({"hi": F.max("high").over(last_n(lookback)), "lo": F.min("low").over(last_n(lookback)), "cs": F.collect_list("close").over(last_n(lookback))})

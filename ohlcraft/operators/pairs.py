@@ -103,11 +103,43 @@ def opportunity_score(df: DataFrame, low: float = 0.3, high: float = 0.9) -> Dat
     return df.withColumn("opportunity", F.greatest(score, F.lit(0.0)))
 
 
-def valid(df: DataFrame, min_spread: float = 0.0, max_half_life: float = 50.0, min_correlation: float = -1.0, max_correlation: float = 1.0) -> DataFrame:
-    """Pairs within all limits; an unknown metric passes."""
-    ok = F.lit(True)
-    for cond in (F.col("spread") >= min_spread, F.col("half_life") <= max_half_life, F.col("correlation").between(min_correlation, max_correlation)):
-        ok = ok & F.coalesce(cond, F.lit(True))
+def valid(
+    df: DataFrame,
+    min_spread: float = 0.0,
+    max_spread: float | None = None,
+    min_correlation: float = 0.0,
+    max_correlation: float = 1.0,
+    require_cointegration: bool = False,
+    max_half_life: float | None = 50.0,
+    max_hurst: float | None = None,
+    min_sharpe: float | None = None,
+    max_drawdown: float | None = None,
+    min_quant_score: float | None = None,
+) -> DataFrame:
+    """Pairs within all limits; None switches a limit off.
+
+    A pair needs both symbols and a finite spread, and cointegration (the ADF verdict, Johansen's where that is unknown) if that is
+    required; any other unknown or infinite metric passes. Correlations count by size; those outside -1 to 1 are errors.
+    """
+    known = lambda c: F.when(F.abs(c) < float("inf"), F.col(c))
+    passes = lambda cond: F.coalesce(cond, F.lit(True))
+    spread, r = known("spread"), F.abs(known("correlation"))
+    ok = F.col("long_symbol").isNotNull() & F.col("short_symbol").isNotNull() & F.coalesce(spread >= min_spread, F.lit(False))
+    ok = ok & passes(r <= 1) & passes(r.between(min_correlation, max_correlation))
+    if max_spread is not None:
+        ok = ok & (spread <= max_spread)
+    if require_cointegration:
+        ok = ok & (F.coalesce("adf_stationary", "johansen_cointegrated", F.lit(0)) == 1)
+    if max_half_life is not None:
+        ok = ok & passes(known("half_life") <= max_half_life)
+    if max_hurst is not None:
+        ok = ok & passes(known("hurst") < max_hurst)
+    if min_sharpe is not None:
+        ok = ok & passes(known("sharpe") >= min_sharpe)
+    if max_drawdown is not None:
+        ok = ok & passes(F.abs(known("max_drawdown")) <= max_drawdown)
+    if min_quant_score is not None:
+        ok = ok & passes(known("quant_score") >= min_quant_score)
     return df.where(ok)
 
 

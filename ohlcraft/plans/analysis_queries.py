@@ -182,6 +182,7 @@ add(
     q(f"SELECT a.symbol AS long_symbol, b.symbol AS short_symbol, {R('abs(b.score - a.score)')} AS spread FROM (SELECT * FROM sc ORDER BY score, symbol LIMIT 3) a JOIN (SELECT * FROM sc ORDER BY score DESC, symbol LIMIT 3) b ON a.symbol != b.symbol", _PERF),
 )
 add("pair_metrics_scored", lambda d: pairs.valid(pairs.opportunity_score(pairs.quantitative_score(pairs.pair_metrics(d, pairs.candidates(pairs.performance(d))).join(pairs.candidates(pairs.performance(d)).select(*pairs.KEYS, "spread"), pairs.KEYS)))).select(*pairs.KEYS, "correlation", "half_life", "quant_score", "opportunity"))
+add("pairs_validated", lambda d: pairs.valid(pairs.opportunity_score(pairs.quantitative_score(pairs.pair_metrics(d, pairs.candidates(pairs.performance(d))).join(pairs.candidates(pairs.performance(d)).select(*pairs.KEYS, "spread"), pairs.KEYS))), 0.001, 100.0, 0.0, 0.95, True, 40.0, 0.9, -20.0, 2000.0, 30.0).select(*pairs.KEYS, "correlation", "half_life", "quant_score", "opportunity"))
 add("pairs_unique_selection", lambda d: relational.greedy_unique_pairs(pairs.candidates(pairs.performance(d)).withColumn("score", F.col("spread")), 4))
 add(
     "pairs_by_target", lambda d: pairs.by_target(pairs.candidates(pairs.performance(d)).select("long_symbol", "short_symbol", F.col("spread").alias("score")), d.select("symbol").distinct()),
@@ -222,7 +223,13 @@ add(
 add("hedge_candidates", lambda d: portfolio.hedge_candidates(d, pos(d)))
 add("correlation_impact", lambda d: portfolio.correlation_impact(d, pos(d), d.sparkSession.sql("SELECT 'signup' AS symbol, 'SHORT' AS direction, 50D AS entry_price, 300D AS size_usdt")))
 add("hedge_size", lambda d: portfolio.hedge_size(portfolio.profit(pos(d), d, portfolio.beta(d, "view")), portfolio.beta(d, "view"), "click"))
-add("position_totals", lambda d: portfolio.totals(pos(d)), q("SELECT 1700.0::DOUBLE AS long_total, 500.0::DOUBLE AS short_total, 2200.0::DOUBLE AS combined, 1200.0::DOUBLE AS net FROM (SELECT 1)"))
+def _held(d):
+    """A position a symbol, by its newest candle."""
+    last = spc.latest(d, ["open", "close", "volume"])
+    return last.select("symbol", F.when(F.col("close") >= F.col("open"), "LONG").otherwise("SHORT").alias("direction"), F.col("close").alias("entry_price"), F.col("volume").alias("size_usdt"))
+
+
+add("position_totals", lambda d: portfolio.totals(_held(d)))
 add(
     "atr_targets", lambda d: portfolio.atr_targets(spc.latest(ind.atr(d), ["close", "atr"])),
     q(f"SELECT symbol, side, CAST(k AS INTEGER) AS k, {R('close + sg * k * atr')} AS target FROM (SELECT n.symbol, arg_max(n.close, n.ts) AS close, arg_max(coalesce(r.m, n.close * 0.01), n.ts) AS atr FROM n JOIN r ON r.symbol = n.symbol AND r.i = n.i GROUP BY n.symbol) t, (VALUES ('UP', 1), ('DOWN', -1)) s(side, sg), (VALUES (1), (2), (3)) k(k)", _TR, _atr(14), recursive=True),

@@ -48,3 +48,20 @@ def ema_step(m: str, t: str, x: str, n: int) -> dict[str, str]:
 
 def wilder(m: str, x: str, n: int) -> str:
     return f"CASE WHEN {x} IS NULL THEN r.{m} WHEN r.{m} IS NULL THEN {x} ELSE r.{m} + ({x} - r.{m}) / {n} END"
+
+
+_HEAD, _TAIL = "floor((", ") * 1e6 + 0.5) / 1e6"
+
+
+def unrounded(sql: str) -> str:
+    """An oracle's text without the rounding of what it gives."""
+    at = sql.find(_HEAD)
+    if at < 0:
+        return sql
+    start, depth, end = at + len(_HEAD), 1, at + len(_HEAD)
+    while depth:
+        depth += {"(": 1, ")": -1}.get(sql[end], 0)
+        end += 1
+    if not sql.startswith(_TAIL, end - 1):
+        return sql[:start] + unrounded(sql[start:])
+    return sql[:at] + "(" + unrounded(sql[start : end - 1]) + ")" + unrounded(sql[end - 1 + len(_TAIL) :])

@@ -28,7 +28,7 @@ def sql(name: str, text: str, tables: str, duck: str | None = None) -> None:
 
 sql("filter_mask", "SELECT l_orderkey, l_linenumber, l_quantity FROM {lineitem} WHERE l_quantity > 45 AND l_returnflag = 'R' AND l_discount < 0.03", "lineitem")
 sql("semi_join", "SELECT c_custkey, c_acctbal FROM {customer} WHERE EXISTS (SELECT 1 FROM {orders} WHERE o_custkey = c_custkey AND o_totalprice > 200000)", "customer orders")
-sql("anti_join", "SELECT c_custkey, c_acctbal FROM {customer} WHERE NOT EXISTS (SELECT 1 FROM {orders} WHERE o_custkey = c_custkey)", "customer orders")
+sql("anti_join", "SELECT c_custkey, c_acctbal FROM {customer} WHERE NOT EXISTS (SELECT 1 FROM {orders} WHERE o_custkey = c_custkey AND o_totalprice > 200000)", "customer orders")
 sql("inner_join", "SELECT n_name, r_name FROM {nation} JOIN {region} ON n_regionkey = r_regionkey", "nation region")
 sql("left_outer_join", "SELECT c_custkey, CAST(count(o_orderkey) AS BIGINT) AS n_orders FROM {customer} LEFT JOIN {orders} ON o_custkey = c_custkey GROUP BY c_custkey", "customer orders")
 sql("full_outer_join", "SELECT s_suppkey, c_custkey FROM {supplier} FULL OUTER JOIN {customer} ON s_suppkey = c_custkey WHERE coalesce(s_suppkey, c_custkey) < 300", "supplier customer")
@@ -37,7 +37,7 @@ sql("inequality_pairs", "SELECT a.n_name AS long_name, b.n_name AS short_name FR
 sql("union_all", "SELECT c_nationkey AS k, 'c' AS side FROM {customer} UNION ALL SELECT s_nationkey, 's' FROM {supplier}", "customer supplier")
 sql("union_distinct", "SELECT c_nationkey AS k FROM {customer} UNION SELECT s_nationkey FROM {supplier}", "customer supplier")
 sql("intersect", "SELECT c_nationkey AS k FROM {customer} INTERSECT SELECT s_nationkey FROM {supplier}", "customer supplier")
-sql("except_set", "SELECT p_partkey AS k FROM {part} EXCEPT SELECT l_partkey FROM {lineitem}", "part lineitem")
+sql("except_set", "SELECT p_partkey AS k FROM {part} EXCEPT SELECT l_partkey FROM {lineitem} WHERE l_quantity > 40", "part lineitem")
 sql("group_by", "SELECT l_returnflag, l_linestatus, CAST(count(*) AS BIGINT) AS n, floor(sum(l_quantity) * 100 + 0.5) / 100 AS qty, floor(avg(l_extendedprice) * 100 + 0.5) / 100 AS mean_price FROM {lineitem} GROUP BY l_returnflag, l_linestatus", "lineitem")
 sql("distinct_aggregate", "SELECT o_orderpriority, CAST(count(DISTINCT o_custkey) AS BIGINT) AS customers FROM {orders} GROUP BY o_orderpriority", "orders")
 sql("conditional_totals", "SELECT c_mktsegment, floor(sum(CASE WHEN c_acctbal >= 0 THEN c_acctbal ELSE 0 END) * 100 + 0.5) / 100 AS long_total, floor(sum(CASE WHEN c_acctbal < 0 THEN -c_acctbal ELSE 0 END) * 100 + 0.5) / 100 AS short_total, floor(sum(c_acctbal) * 100 + 0.5) / 100 AS combined FROM {customer} GROUP BY c_mktsegment", "customer")

@@ -9,6 +9,7 @@ from ..operators import atc, oscillator
 from ..sources import candles
 from . import oracle_text as o
 from .indicator_queries import _BAND, _BAND_R, _BAND_V, _DW, _TR, _up
+from .oracle_text import unrounded
 
 QUERIES, ORACLES = {}, {}
 #: Shorter than the production length: the small tables have few bars.
@@ -58,11 +59,11 @@ def _ma_ctes(kind: str) -> list[str]:
     return [*before, o.recursion(source, first, step), "ma AS (" + " UNION ALL ".join(f"SELECT n.symbol, n.ts, n.i, n.close, {v} AS v, {shown.format(v=v)} AS m FROM n JOIN r ON r.symbol = n.symbol AND r.i = n.i" for v in range(9)) + ")"]
 
 
-def _layer_one_sql(kind: str) -> str:
+def _layer_one_sql(kind: str, base: str = o.HOURLY, ctes=None) -> str:
     by = "(PARTITION BY symbol, v ORDER BY ts)"
     d = CFG.decay / 100
     return o.query(
-        o.HOURLY, *_ma_ctes(kind),
+        base, *(ctes or _ma_ctes)(kind),
         f"ev AS (SELECT *, CASE WHEN close > m AND lag(close) OVER {by} <= lag(m) OVER {by} THEN 1 WHEN close < m AND lag(close) OVER {by} >= lag(m) OVER {by} THEN -1 END AS e, close / nullif(lag(close) OVER {by}, 0) - 1 AS rr FROM ma)",
         f"sg AS (SELECT *, coalesce(last_value(e IGNORE NULLS) OVER (PARTITION BY symbol, v ORDER BY ts ROWS UNBOUNDED PRECEDING), 0) AS s, rr * exp({CFG.lam / 1000!r} * greatest(i, 1)) AS rg FROM ev)",
         f"sp AS (SELECT *, lag(s) OVER {by} AS p FROM sg)",
@@ -85,17 +86,17 @@ for _kind in atc.KINDS:
     ORACLES[f"atc_layer_one_{_kind.lower()}"] = _layer_one_sql(_kind)
 
 
-def _classify_sql(select: str) -> str:
+def _classify_sql(select: str, base: str = o.HOURLY, ctes=None) -> str:
     """All six layers side by side (l0 ... l5), their equities w0 ... w5, and the weighted vote av."""
     n, d = len(atc.KINDS), CFG.decay / 100
-    layers = ", ".join(f"y{k} AS MATERIALIZED ({_layer_one_sql(kind)})" for k, kind in enumerate(atc.KINDS))
+    layers = ", ".join(f"y{k} AS MATERIALIZED ({_layer_one_sql(kind, base, ctes)})" for k, kind in enumerate(atc.KINDS))
     joined = f"lx AS (SELECT c.symbol, c.ts, c.close, " + ", ".join(f"y{k}.layer_one AS l{k}" for k in range(n)) + ", c.close / nullif(lag(c.close) OVER (PARTITION BY c.symbol ORDER BY c.ts), 0) - 1 AS rr FROM c " + " ".join(f"JOIN y{k} ON y{k}.symbol = c.symbol AND y{k}.ts = c.ts" for k in range(n)) + ")"
     lagged = "ly AS (SELECT *, rr * exp({lam} * greatest(row_number() OVER {w} - 1, 1)) AS rg, ".format(lam=repr(CFG.lam / 1000), w=o.W) + ", ".join(f"{o.lag(f'l{k}')} AS p{k}" for k in range(n)) + " FROM lx)"
     step = {f"w{k}": f"greatest(0.25, r.w{k} * {1 - d!r} * (1 + CASE WHEN n.p{k} > 0 THEN coalesce(n.rg, 0) WHEN n.p{k} < 0 THEN -coalesce(n.rg, 0) ELSE 0 END))" for k in range(n)}
     cut = lambda k: f"CASE WHEN n.l{k} > 0.1 THEN 1 WHEN n.l{k} < -0.1 THEN -1 ELSE 0 END"
     vote = "(" + " + ".join(f"{cut(k)} * r.w{k}" for k in range(n)) + ") / nullif(" + " + ".join(f"r.w{k}" for k in range(n)) + ", 0)"
     final = f"fin AS (SELECT n.*, coalesce({vote}, 0) AS av FROM n JOIN r ON r.symbol = n.symbol AND r.i = n.i)"
-    return f"WITH RECURSIVE {o.HOURLY}, {layers}, {joined}, {lagged}, {o.recursion('ly', {f'w{k}': '1' for k in range(n)}, step)}, {final} {select}"
+    return f"WITH RECURSIVE {base}, {layers}, {joined}, {lagged}, {o.recursion('ly', {f'w{k}': '1' for k in range(n)}, step)}, {final} {select}"
 
 
 def _classify(spark, sf_dir):
@@ -112,9 +113,36 @@ def _prefiltered(spark, sf_dir):
 
 QUERIES |= {"atc_classify": _classify, "atc_scan": _scan, "atc_prefiltered_scan": _prefiltered}
 ORACLES["atc_classify"] = _classify_sql("SELECT symbol, ts, " + ", ".join(f"{o.r6(f'l{k}')} AS {kind}" for k, kind in enumerate(atc.KINDS)) + f", {o.r6('av')} AS average FROM fin")
-ORACLES["atc_scan"] = _classify_sql(
-    f"SELECT symbol, CASE WHEN av > 0.05 THEN 'UP' WHEN av < -0.05 THEN 'DOWN' ELSE 'NEUTRAL' END AS direction, {o.r6('av')} AS signal, {o.r6('abs(av)')} AS confidence, {o.r6('close')} AS price FROM (SELECT *, count(*) OVER (PARTITION BY symbol) AS cnt, row_number() OVER (PARTITION BY symbol ORDER BY ts DESC) AS back FROM fin) WHERE cnt >= 200 AND back = 1 AND close > 0"
-)
+_RECENT = o.HOURLY.replace("c AS (", "c0 AS (", 1) + ", c AS (SELECT * EXCLUDE (cnt, back) FROM (SELECT *, count(*) OVER (PARTITION BY symbol) AS cnt, row_number() OVER (PARTITION BY symbol ORDER BY ts DESC) AS back FROM c0) WHERE cnt >= 200 AND back <= 200)"
+_NEWEST = "(SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY ts DESC) AS newest FROM fin) WHERE newest = 1"
+
+
+def _found(least: float) -> str:
+    return f"SELECT symbol, CASE WHEN av > 0.05 THEN 'UP' WHEN av < -0.05 THEN 'DOWN' ELSE 'NEUTRAL' END AS direction, {o.r6('av')} AS signal, {o.r6('abs(av)')} AS confidence, {o.r6('close')} AS price FROM {_NEWEST} AND close > 0 AND abs(av) >= {least}"
+
+
+def _rough_ctes(kind: str) -> list[str]:
+    """CTEs that end in ma(symbol, ts, i, close, v, m) with the cheap averages."""
+    ls = atc.lengths(CFG.length, CFG.robustness)
+    line = lambda x, n: f"CASE WHEN i >= {n - 1} THEN (" + " + ".join(f"{n - k} * lag({x}, {k}) OVER {o.W}" for k in range(n)) + f") / {n * (n + 1) // 2} ELSE avg({x}) {o.over(n)} END"
+    out = [f"b AS (SELECT *, row_number() OVER {o.W} - 1 AS i FROM c)"]
+    one = lambda form, rows="b": "ma AS (" + " UNION ALL ".join(f"SELECT symbol, ts, i, close, {v} AS v, {form(v, n)} AS m FROM {rows}" for v, n in enumerate(ls)) + ")"
+    if kind == "EMA":
+        return [*out, one(lambda v, n: f"avg(close) {o.over(n)}")]
+    if kind == "WMA":
+        return [*out, one(lambda v, n: line("close", n))]
+    if kind == "LSMA":
+        return [*out, one(lambda v, n: f"CASE WHEN i >= {n - 1} THEN (close + lag(close, {n - 1}) OVER {o.W}) / 2 ELSE avg(close) {o.over(n)} END")]
+    if kind == "HMA":
+        return [*out, "hh AS (SELECT *, " + ", ".join(f"2 * ({line('close', n // 2)}) - ({line('close', n)}) AS h{v}" for v, n in enumerate(ls)) + " FROM b)", one(lambda v, n: line(f"h{v}", int(n**0.5)), "hh")]
+    if kind == "DEMA":
+        return [*out, "dd AS (SELECT *, " + ", ".join(f"avg(close) {o.over(n)} AS p{v}" for v, n in enumerate(ls)) + " FROM b)", one(lambda v, n: f"2 * p{v} - avg(p{v}) {o.over(n)}", "dd")]
+    first, step = {f"k{v}": "close" for v in range(len(ls))}, {f"k{v}": f"r.k{v} + {2 / (n + 1) ** 2!r} * (n.close - r.k{v})" for v, n in enumerate(ls)}
+    return [o.recursion("c", first, step), "ma AS (" + " UNION ALL ".join(f"SELECT n.symbol, n.ts, n.i, n.close, {v} AS v, r.k{v} AS m FROM n JOIN r ON r.symbol = n.symbol AND r.i = n.i" for v in range(len(ls))) + ")"]
+
+
+ORACLES["atc_scan"] = _classify_sql(_found(0.0), _RECENT)
+ORACLES["atc_prefiltered_scan"] = f"SELECT * FROM ({_classify_sql(_found(0.01), _RECENT)}) WHERE symbol IN (SELECT symbol FROM ({_classify_sql(f'SELECT symbol FROM {_NEWEST} AND abs(av) >= 0.05', _RECENT, _rough_ctes)}))"
 
 # --- range oscillator
 _OSC = [
@@ -216,21 +244,23 @@ def _consensus(spark, sf_dir):
 
 def _joined_strategies(which):
     """One CTE a strategy, each from its own query text, side by side."""
-    ctes = ", ".join(f"q{k} AS ({SQL[k]})" for k in which)
+    ctes = ", ".join(f"q{k} AS MATERIALIZED ({unrounded(SQL[k])})" for k in which)
     cols = ", ".join(f"q{k}.signal AS s{k}, q{k}.strength AS f{k}" for k in which)
     return f"WITH {ctes}, al AS (SELECT q2.symbol, q2.ts, {cols} FROM q2 " + " ".join(f"JOIN q{k} USING (symbol, ts)" for k in which if k != 2) + ")"
 
 
 _WHICH = (2, 4, 8)
 QUERIES["oscillator_consensus"] = lambda spark, sf_dir: rounded(oscillator.consensus(oscillator.all_strategies(oscillator.oscillator(candles.hourly(spark, sf_dir)), _WHICH), _WHICH), ["symbol", "ts"], ["signal", "confidence"])
-_votes = lambda v: " + ".join(f"CASE WHEN s{k} = {v} THEN 1 ELSE 0 END" for k in _WHICH)
-ORACLES["oscillator_consensus"] = (
-    _joined_strategies(_WHICH)
-    + f", v AS (SELECT *, {_votes(1)} AS up, {_votes(-1)} AS dn FROM al), g AS (SELECT *, CASE WHEN up >= 2 AND up > dn THEN 1 WHEN dn >= 2 AND dn > up THEN -1 ELSE 0 END AS sg FROM v) SELECT symbol, ts, CAST(sg AS INTEGER) AS signal, CASE WHEN sg = 0 THEN 0.0 ELSE floor((0.6 * greatest(up, dn) / 3 + 0.4 * ("
-    + " + ".join(f"CASE WHEN s{k} = sg THEN f{k} ELSE 0 END" for k in _WHICH)
-    + ") / greatest(up, dn)) * 1e6 + 0.5) / 1e6 END AS confidence FROM g"
-)
-del ORACLES["oscillator_consensus"]  # strengths are rounded before they are joined there; tests compare without rounding
+_ALL = (2, 3, 4, 6, 7, 8, 9)
+
+
+def _consensus_sql(which, need):
+    votes = lambda v: " + ".join(f"CASE WHEN s{k} = {v} THEN 1 ELSE 0 END" for k in which)
+    forces = " + ".join(f"CASE WHEN s{k} = sg THEN f{k} ELSE 0 END" for k in which)
+    return _joined_strategies(which) + f", v AS (SELECT *, {votes(1)} AS up, {votes(-1)} AS dn FROM al), g AS (SELECT *, CASE WHEN up >= {need} AND up > dn THEN 1 WHEN dn >= {need} AND dn > up THEN -1 ELSE 0 END AS sg FROM v) SELECT symbol, ts, sg AS signal, {o.r6(f'CASE WHEN sg = 0 THEN 0.0 ELSE 0.6 * (greatest(up, dn) / {len(which)}) + 0.4 * (({forces}) / greatest(up, dn)) END')} AS confidence FROM g"
+
+
+ORACLES["oscillator_consensus"], ORACLES["oscillator_consensus_full"] = _consensus_sql(_WHICH, 2), _consensus_sql(_ALL, 4)
 QUERIES["oscillator_consensus_full"] = _consensus
 QUERIES["oscillator_weighted_consensus"] = lambda spark, sf_dir: oscillator.weighted_consensus(_strategies(spark, sf_dir), {2: 1.0, 3: 0.8, 4: 0.6, 8: 1.2}).select("symbol", "ts", "signal")
 ORACLES["oscillator_weighted_consensus"] = (
@@ -243,6 +273,30 @@ ORACLES["oscillator_market_conditions"] = _osc_sql(
     f"w0 AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY ts DESC) AS rn, abs(osc - po) AS mv FROM oz), w1 AS (SELECT symbol, stddev_samp(range_atr) AS sd, avg(range_atr) AS m, avg(CASE WHEN rn < 20 THEN mv END) AS mv, max(osc) - min(osc) AS sp FROM w0 WHERE rn <= 20 GROUP BY symbol), w2 AS (SELECT symbol, CASE WHEN m > 0 THEN least(1.0, sd / (m + 1e-10) * 2) ELSE 0.5 END AS vo, CASE WHEN sp > 0 THEN least(1.0, mv / (sp + 1e-10) * 2) ELSE 0.5 END AS tr FROM w1), w3 AS (SELECT *, list_sort(list_distinct(list_concat(CASE WHEN vo >= 0.6 THEN [6, 7] ELSE [] END, CASE WHEN tr >= 0.5 THEN [3, 4, 6, 8] ELSE [] END, CASE WHEN 1 - tr >= 0.5 THEN [2, 7, 9] ELSE [] END))) AS pk FROM w2)",
 )
 QUERIES["oscillator_adaptive_weights"] = lambda spark, sf_dir: rounded(oscillator.adaptive_weights(_strategies(spark, sf_dir), (2, 3, 4, 8)), ["symbol"], ["w2", "w3", "w4", "w8"])
+_FOUR = (2, 3, 4, 8)
+ORACLES["oscillator_adaptive_weights"] = (
+    _joined_strategies(_FOUR) + ", t AS (SELECT *, sign(s2 + s3 + s4 + s8) AS vote FROM al QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY ts DESC) <= 10), g AS (SELECT symbol, "
+    + ", ".join(f"greatest(0.1, 0.6 * avg(CASE WHEN s{k} = vote THEN 1.0 ELSE 0.0 END) + 0.4 * coalesce(avg(CASE WHEN s{k} != 0 THEN f{k} END), 0)) AS w{k}" for k in _FOUR) + " FROM t GROUP BY symbol) SELECT symbol, " + ", ".join(f"{o.r6(f'w{k} / (w2 + w3 + w4 + w8) * 4')} AS w{k}" for k in _FOUR) + " FROM g"
+)
+
+
+def _combined_sql(mode):
+    """The joint vote of the strategies that each symbol's market conditions choose."""
+    on = lambda k: f"list_contains(string_split(strategies, ','), '{k}')"
+    side = lambda v: " + ".join(f"CASE WHEN {on(k)} AND s{k} = {v} THEN 1 ELSE 0 END" for k in _ALL)
+    enough = {"threshold": ("up >= ceil(n * 0.5) AND up > dn", "dn >= ceil(n * 0.5) AND dn > up"), "weighted": ("up > 0.5 AND up - dn > 0.1", "dn > 0.5 AND dn - up > 0.1")}[mode]
+    force = lambda what: " + ".join(f"CASE WHEN {on(k)} AND vote != 0 AND s{k} = vote THEN {what.format(k=k)} ELSE 0 END" for k in _ALL)
+    return (
+        _joined_strategies(_ALL) + f", mc AS ({ORACLES['oscillator_market_conditions']}), os AS ({unrounded(ORACLES['range_oscillator'])}), j AS (SELECT al.*, strategies, osc, len(string_split(strategies, ',')) AS n FROM al JOIN mc USING (symbol) JOIN os USING (symbol, ts)), v AS (SELECT *, {side(1)} AS up, {side(-1)} AS dn FROM j), "
+        f"w AS (SELECT *, CASE WHEN osc IS NULL THEN 0 WHEN {enough[0]} THEN 1 WHEN {enough[1]} THEN -1 ELSE 0 END AS vote FROM v) SELECT symbol, ts, vote AS signal, {o.r6(f'coalesce(({force("f{k}")}) / nullif({force("1")}, 0), 0)')} AS strength, strategies FROM w"
+    )
+
+
+for _mode in ("threshold", "weighted"):
+    QUERIES[f"oscillator_dynamic_{_mode}"] = lambda spark, sf_dir, mode=_mode: rounded(oscillator.combined(oscillator.oscillator(candles.hourly(spark, sf_dir)), mode=mode, dynamic=True), ["symbol", "ts", "signal", "strategies"], ["strength"])
+    ORACLES[f"oscillator_dynamic_{_mode}"] = _combined_sql(_mode)
+QUERIES["oscillator_fallback"] = lambda spark, sf_dir: rounded(oscillator.combined(oscillator.oscillator(candles.hourly(spark, sf_dir)), ()), ["symbol", "ts", "signal"], ["strength"])
+ORACLES["oscillator_fallback"] = SQL[1]
 QUERIES["oscillator_summary"] = lambda spark, sf_dir: rounded(oscillator.summary(oscillator.basic(oscillator.oscillator(candles.hourly(spark, sf_dir))), "s1", "f1"), ["symbol", "bars", "longs", "shorts", "flats"], ["active_percent"])
 ORACLES["oscillator_summary"] = f"SELECT symbol, count(*)::BIGINT AS bars, count_if(signal = 1)::BIGINT AS longs, count_if(signal = -1)::BIGINT AS shorts, count_if(signal = 0)::BIGINT AS flats, {o.r6('100.0 * count_if(signal != 0) / count(*)')} AS active_percent FROM ({SQL[1]}) GROUP BY symbol"
 QUERIES["oscillator_heat"] = lambda spark, sf_dir: oscillator.heat(candles.hourly(spark, sf_dir)).select("symbol", "ts", F.col("level").cast("long").alias("level"), F.col("touches").cast("long").alias("touches"))
