@@ -182,7 +182,7 @@ add(
     q(f"SELECT a.symbol AS long_symbol, b.symbol AS short_symbol, {R('abs(b.score - a.score)')} AS spread FROM (SELECT * FROM sc ORDER BY score, symbol LIMIT 3) a JOIN (SELECT * FROM sc ORDER BY score DESC, symbol LIMIT 3) b ON a.symbol != b.symbol", _PERF),
 )
 add("pair_metrics_scored", lambda d: pairs.valid(pairs.opportunity_score(pairs.quantitative_score(pairs.pair_metrics(d, pairs.candidates(pairs.performance(d))).join(pairs.candidates(pairs.performance(d)).select(*pairs.KEYS, "spread"), pairs.KEYS)))).select(*pairs.KEYS, "correlation", "half_life", "quant_score", "opportunity"))
-add("pairs_validated", lambda d: pairs.valid(pairs.opportunity_score(pairs.quantitative_score(pairs.pair_metrics(d, pairs.candidates(pairs.performance(d))).join(pairs.candidates(pairs.performance(d)).select(*pairs.KEYS, "spread"), pairs.KEYS))), 0.001, 100.0, 0.0, 0.95, True, 40.0, 0.9, -20.0, 2000.0, 30.0).select(*pairs.KEYS, "correlation", "half_life", "quant_score", "opportunity"))
+add("pairs_validated", lambda d: pairs.valid(pairs.opportunity_score(pairs.quantitative_score(pairs.pair_metrics(d, pairs.candidates(pairs.performance(d))).join(pairs.candidates(pairs.performance(d)).select(*pairs.KEYS, "spread"), pairs.KEYS))), 0.001, 5.0, 0.0, 0.95, True, 40.0, 0.9, -0.15, 340.0, 30.0).select(*pairs.KEYS, "correlation", "half_life", "quant_score", "opportunity"))
 add("pairs_unique_selection", lambda d: relational.greedy_unique_pairs(pairs.candidates(pairs.performance(d)).withColumn("score", F.col("spread")), 4))
 add(
     "pairs_by_target", lambda d: pairs.by_target(pairs.candidates(pairs.performance(d)).select("long_symbol", "short_symbol", F.col("spread").alias("score")), d.select("symbol").distinct()),

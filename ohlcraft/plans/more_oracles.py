@@ -120,7 +120,7 @@ _SCORED = [
 ]
 _PAIR = f"SELECT long_symbol, short_symbol, {R('correlation')} AS correlation, {R('half_life')} AS half_life, {R('quant_score')} AS quant_score, {R('opportunity')} AS opportunity FROM qs"
 ORACLES["pair_metrics_scored"] = q(f"{_PAIR} WHERE coalesce(half_life, 0) <= 50", *_SCORED)
-ORACLES["pairs_validated"] = q(f"{_PAIR} WHERE gap BETWEEN 0.001 AND 100 AND abs(correlation) <= 0.95 AND coalesce(adf_stationary, johansen_cointegrated) = 1 AND coalesce(half_life <= 40, true) AND coalesce(hurst < 0.9, true) AND coalesce(sharpe >= -20, true) AND coalesce(abs(dd) <= 2000, true) AND quant_score >= 30", *_SCORED)
+ORACLES["pairs_validated"] = q(f"{_PAIR} WHERE gap BETWEEN 0.001 AND 5 AND abs(correlation) <= 0.95 AND coalesce(adf_stationary, johansen_cointegrated) = 1 AND coalesce(half_life <= 40, true) AND coalesce(hurst < 0.9, true) AND coalesce(sharpe >= -0.15, true) AND coalesce(abs(dd) <= 340, true) AND quant_score >= 30", *_SCORED)
 ORACLES["pairs_unique_selection"] = q(
     f"SELECT row_number() OVER (ORDER BY late, i)::BIGINT AS rank, long_symbol, short_symbol, {R('gap')} AS score FROM done QUALIFY row_number() OVER (ORDER BY late, i) <= 4", _PERF, _CAND,
     "o AS (SELECT *, row_number() OVER (ORDER BY gap DESC, long_symbol, short_symbol) AS i FROM ca), w(i, used, late) AS (SELECT 0::BIGINT, []::VARCHAR[], false UNION ALL SELECT o.i, CASE WHEN list_has_any(w.used, [o.long_symbol, o.short_symbol]) THEN w.used ELSE list_concat(w.used, [o.long_symbol, o.short_symbol]) END, list_has_any(w.used, [o.long_symbol, o.short_symbol]) FROM w JOIN o ON o.i = w.i + 1), done AS (SELECT o.*, w.late FROM o JOIN w USING (i))",

@@ -8,9 +8,13 @@ import uuid
 from pyspark.sql import functions as F
 
 from ..functions.windows import r6
+from ..operators.atc import KINDS
 from ..sources import candles
 from ..streaming import live
 from . import oracle_text as o
+from .signal_queries import CFG
+from .signal_queries import ORACLES as SIGNALS
+from .signal_queries import _classify_sql as classify_sql
 
 QUERIES, ORACLES = {}, {}
 
@@ -87,6 +91,37 @@ ORACLES["streaming_ema_state"] = o.query(
 )
 
 
+#: Where the stream below forgets the symbol 'click'; 'view' is removed then and added two days later.
+_CUT, _BACK = "2024-01-12 00:00:00", "2024-01-14 00:00:00"
+
+
+def _bars(spark, sf_dir, commands: bool):
+    """Hourly bars in time order as several files a batch each, and commands among them."""
+    c = candles.hourly(spark, sf_dir).select("symbol", F.col("ts").cast("timestamp").alias("ts"), "close", F.lit(None).cast("string").alias("command"))
+    if commands:
+        rows = ", ".join(f"('{s}', timestamp '{t}', cast(null AS double), '{k}')" for s, t, k in (("click", _CUT, "reset"), ("view", _CUT, "remove"), ("view", _BACK, "add")))
+        c = c.unionByName(spark.sql(f"SELECT * FROM VALUES {rows} AS t(symbol, ts, close, command)"))
+    at = _work(spark)
+    # one folder a week, taken in turn: the state goes from batch to batch
+    weeks = [r[0] for r in c.select(F.date_trunc("week", "ts")).distinct().orderBy(F.date_trunc("week", "ts")).collect()]  # a row a week
+    for w in weeks:
+        c.where(F.date_trunc("week", "ts") == F.lit(w)).coalesce(1).write.mode("append").parquet(f"{at}/bars")
+    return live.ticks(spark, f"{at}/bars", c.schema)
+
+
+def _trend(spark, sf_dir, commands: bool):
+    s = finished(live.trend_state(_bars(spark, sf_dir, commands), CFG), spark)
+    return s.select("symbol", F.col("ts").cast("timestamp_ntz").alias("ts"), *[r6(k).alias(k) for k in (*KINDS, "average")])
+
+
+QUERIES["streaming_trend_state"] = lambda spark, sf_dir: _trend(spark, sf_dir, False)
+ORACLES["streaming_trend_state"] = SIGNALS["atc_classify"]
+QUERIES["streaming_trend_commands"] = lambda spark, sf_dir: _trend(spark, sf_dir, True)
+# a symbol that starts anew is classified like another one
+_PARTS = o.HOURLY.replace("c AS (", "c0 AS (", 1) + f", c AS (SELECT * REPLACE (CASE WHEN symbol IN ('click', 'view') AND ts >= TIMESTAMP '{_CUT}' THEN symbol || ' anew' ELSE symbol END AS symbol) FROM c0 WHERE symbol != 'view' OR ts < TIMESTAMP '{_CUT}' OR ts >= TIMESTAMP '{_BACK}')"
+ORACLES["streaming_trend_commands"] = classify_sql("SELECT replace(symbol, ' anew', '') AS symbol, ts, " + ", ".join(f"{o.r6(f'l{k}')} AS {kind}" for k, kind in enumerate(KINDS)) + f", {o.r6('av')} AS average FROM fin", _PARTS)
+
+
 def _csv_round_trip(spark, sf_dir):
     """Candles through CSV, JSON and ORC files and back."""
     c = candles.hourly(spark, sf_dir)

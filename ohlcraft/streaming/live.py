@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.atc import KINDS, Config
+from ..operators.trend_state import TrendState
+
 
 def ticks(spark: SparkSession, path: str, schema, per_trigger: int = 1) -> DataFrame:
     """A file stream, so many files a batch."""
@@ -52,3 +56,33 @@ def ema_cross(closes: DataFrame, fast: int = 12, slow: int = 26) -> DataFrame:
 
     out = "symbol string, ts timestamp, close double, fast double, slow double, signal int"
     return closes.groupBy("symbol").applyInPandasWithState(step, out, "a double, b double", "append", "NoTimeout")
+
+
+def trend_state(bars: DataFrame, cfg: Config | None = None) -> DataFrame:
+    """(symbol, ts, close, <kind> ..., average): the trend classification of a stream of bars, with keyed state a symbol.
+
+    ``bars`` has symbol, ts, close and command: null or "bar" for a bar; "reset" forgets a symbol, which starts anew with its next
+    bar; "remove" makes its bars be left out until "add". The rows of a symbol in one batch are taken by time, commands before
+    bars of the same time. A stream and the batch classification of the same bars agree.
+    """
+    cfg = cfg or Config()
+
+    def step(key, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        active, numbers = state.get if state.exists else (True, [])
+        trend = TrendState.unpack(numbers, cfg) if numbers else TrendState(cfg)
+        rows = pd.concat(list(frames))
+        rows["command"] = rows["command"].fillna("bar")
+        rows = rows.assign(late=rows["command"] == "bar").sort_values(["ts", "late"], kind="stable")
+        out = []
+        for ts, close, command in zip(rows["ts"], rows["close"], rows["command"], strict=True):
+            if command != "bar":
+                active = command != "remove" if command in ("add", "remove") else active
+                trend = TrendState(cfg)
+            elif active:
+                layers, final = trend.update(float(close))
+                out.append((key[0], ts, close, *(None if math.isnan(x) else float(x) for x in layers), final))
+        state.update((active, trend.pack()))
+        yield pd.DataFrame(out, columns=["symbol", "ts", "close", *KINDS, "average"])
+
+    schema = "symbol string, ts timestamp, close double, " + ", ".join(f"{k} double" for k in KINDS) + ", average double"
+    return bars.groupBy("symbol").applyInPandasWithState(step, schema, "active boolean, numbers array<double>", "append", "NoTimeout")
