@@ -325,3 +325,28 @@ def prefiltered_scan(df: DataFrame, limit: int = 1500, least: float = 0.05, cfg:
     some = recent(df, limit)
     rough = latest(classify(some, cfg, approximate=True)).where(F.abs("average") >= least).select("symbol")
     return scan(some.join(rough, "symbol", "left_semi"), limit, cfg=cfg)
+
+
+def strategy_view(classified: DataFrame) -> DataFrame:
+    """The classification as it was known one bar before, so that no signal is of the bar it is acted on: average, and trend -1, 0, 1."""
+    before = F.coalesce(prev("average"), F.lit(0.0))
+    return classified.withColumn("average", before).withColumn("trend", F.signum("average").cast("int"))
+
+
+def analyze(df: DataFrame, symbol: str, limit: int = 1500, source: str = "close", cfg: Config | None = None) -> DataFrame:
+    """(symbol, ts, price, <kind> ..., average, trend): one symbol's last bars, from its close, open, high or low (else its close)."""
+    source = source.lower() if source.lower() in ("close", "open", "high", "low") else "close"
+    back = F.row_number().over(Window.partitionBy("symbol").orderBy(F.desc("ts")))
+    one = df.where(F.col("symbol") == symbol).withColumn("back", back).where(F.col("back") <= limit)
+    out = classify(one.select("symbol", "ts", F.col(source).alias("close")), cfg)
+    return out.select("symbol", "ts", F.col("close").alias("price"), *KINDS, "average", F.signum("average").cast("int").alias("trend"))
+
+
+def backtest(df: DataFrame, cfg: Config | None = None) -> DataFrame:
+    """(symbol, bars, active, hits, gain): how the signal known before each bar did on it, over candles as they were read from files.
+
+    active counts the bars with a signal, hits those that it had right, gain sums the returns it would have taken.
+    """
+    t = strategy_view(classify(df, cfg)).withColumn("r", F.coalesce(F.try_divide(F.col("close"), prev("close")) - 1, F.lit(0.0)))
+    taken = F.col("trend") * F.col("r")
+    return t.groupBy("symbol").agg(F.count(F.lit(1)).alias("bars"), F.count_if(F.col("trend") != 0).alias("active"), F.count_if(taken > 0).alias("hits"), F.sum(taken).alias("gain"))

@@ -149,3 +149,36 @@ def posterior(stats: DataFrame, prior: float = 2.0) -> DataFrame:
     wins = F.floor(F.col("win_rate") * F.col("num_trades"))
     t = stats.select("symbol", (prior + wins).alias("alpha"), (prior + F.col("num_trades") - wins).alias("beta"))
     return t.withColumns({"mean": F.col("alpha") / (F.col("alpha") + F.col("beta")), "mode": (F.col("alpha") - 1) / (F.col("alpha") + F.col("beta") - 2)})
+
+
+def incremental_signals(df: DataFrame, closed: DataFrame) -> DataFrame:
+    """(symbol, ts, signal) of candles with ``signal``, 0 while a trade of ``closed`` (from the same signals) is open: its exit bar included, its entry bar not."""
+    t = df.withColumn("__i", F.row_number().over(W()) - 1).select("symbol", "ts", "signal", "__i")
+    marks = closed.select("symbol", F.explode(F.array(F.struct((F.col("entry_index") + 1).alias("__i"), F.lit(1).alias("d")), F.struct((F.col("exit_index") + 1).alias("__i"), F.lit(-1).alias("d")))).alias("m")).where("exit_index > entry_index")
+    marks = marks.groupBy("symbol", "m.__i").agg(F.sum("m.d").alias("d"))
+    j = t.join(marks, ["symbol", "__i"], "left")
+    open_ = F.sum(F.coalesce("d", F.lit(0))).over(Window.partitionBy("symbol").orderBy("__i").rowsBetween(Window.unboundedPreceding, 0))
+    return j.withColumn("__open", open_).select("symbol", "ts", F.when(F.col("__open") > 0, 0).otherwise(F.coalesce("signal", F.lit(0))).alias("signal"))
+
+
+def walk_forward(df: DataFrame, signal_fn, min_periods: int = 1, columns: tuple[str, ...] = ("open", "high", "low", "close", "volume")) -> DataFrame:
+    """(symbol, ts, signal, confidence): for each bar what ``signal_fn`` says of the history up to it.
+
+    ``signal_fn`` takes a pandas frame of the bars so far and gives (signal, confidence) or None; bars before ``min_periods``,
+    and those it gives None or an error for, have 0. The history is a view, so that a bar costs what the function costs.
+    """
+
+    def one(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("ts", ignore_index=True)
+        signal, sure = np.zeros(len(pdf), "int32"), np.zeros(len(pdf))
+        for i in range(max(0, min_periods - 1), len(pdf)):
+            try:
+                got = signal_fn(pdf.iloc[: i + 1])
+            except (ArithmeticError, LookupError, ValueError):
+                got = None
+            if got is not None:
+                signal[i], sure[i] = got
+        return pd.DataFrame({"symbol": pdf["symbol"], "ts": pdf["ts"], "signal": signal, "confidence": sure})
+
+    stamp = dict(df.dtypes)["ts"]
+    return df.select("symbol", "ts", *columns).groupBy("symbol").applyInPandas(one, f"symbol string, ts {stamp}, signal int, confidence double")

@@ -26,8 +26,9 @@ def compute(df: DataFrame, profile: str = "core", custom: dict[str, Callable[[Da
     out, categories = df, {}
     for category, fn in steps:
         after = fn(out)
-        if not isinstance(after, DataFrame):
-            raise TypeError("an indicator must return a DataFrame")
-        categories |= {c: category for c in after.columns if c not in out.columns}
+        after, named = after if isinstance(after, tuple) and len(after) == 2 else (after, {})
+        if not isinstance(after, DataFrame) or not isinstance(named, dict):
+            raise TypeError("an indicator must return a DataFrame, or one and the categories of its columns")
+        categories |= {c: named.get(c, category) for c in after.columns if c not in out.columns}
         out = after
     return out, categories

@@ -242,3 +242,123 @@ def invalid_features(df: DataFrame, columns: list[str]) -> DataFrame:
     g = df.agg(*[F.count_if(F.col(c).isNull()).alias(f"n_{c}") for c in columns], *[(F.min(c) == F.max(c)).alias(f"c_{c}") for c in columns])
     t = g.select(F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(f"n_{c}").alias("nulls"), F.coalesce(F.col(f"c_{c}"), F.lit(True)).cast("int").alias("constant")) for c in columns])).alias("x"))
     return t.select("x.*")
+
+
+def save_model(model, path: str) -> None:
+    """Write a fitted model to shared storage, over what was there; :func:`load_model` reads it on any cluster."""
+    from pyspark.ml import PipelineModel
+
+    PipelineModel([model]).write().overwrite().save(path)
+
+
+def load_model(path: str):
+    from pyspark.ml import PipelineModel
+
+    return PipelineModel.load(path)
+
+
+def scaler(df: DataFrame, columns: list[str]):
+    """A fitted pipeline's parts: columns to a vector of z-scores, ``scaled``."""
+    from pyspark.ml import Pipeline
+    from pyspark.ml.feature import StandardScaler, VectorAssembler
+
+    return Pipeline(stages=[VectorAssembler(inputCols=columns, outputCol="raw"), StandardScaler(inputCol="raw", outputCol="scaled", withMean=True)]).fit(df.dropna(subset=columns))
+
+
+def oversampled(df: DataFrame, columns: list[str], label: str = "target") -> DataFrame:
+    """(symbol, <label>, columns, synthetic): the rows, and rows between neighbours of rarer classes until each class is as large as the largest.
+
+    A made row is the middle of a row and the next one in time of its symbol and class; each such pair is used as often as needed,
+    in the order of (ts, symbol), the n-th time at a share of n + 1 over the times it is used and one.
+    """
+    t = df.dropna(subset=[*columns, label])
+    size = t.groupBy(label).agg(F.count(F.lit(1)).alias("__n"))
+    most = size.agg(F.max("__n").alias("__most"))
+    w = Window.partitionBy("symbol", label).orderBy("ts")
+    pairs = t.withColumns({f"__{c}": F.lead(c).over(w) for c in columns}).where(F.col(f"__{columns[0]}").isNotNull())
+    many = pairs.groupBy(label).agg(F.count(F.lit(1)).alias("__p")).join(size, label).join(F.broadcast(most))  # a row a class, and one
+    many = many.select(label, "__p", (F.col("__most") - F.col("__n")).alias("__need"))
+    nth = F.row_number().over(Window.partitionBy(label).orderBy("ts", "symbol")) - 1
+    used = F.floor(F.col("__need") / F.col("__p")) + F.when(F.col("__k") < F.col("__need") % F.col("__p"), 1).otherwise(0)
+    made = pairs.withColumn("__k", nth).join(F.broadcast(many), label).withColumn("__times", used.cast("int")).where(F.col("__times") > 0).withColumn("__i", F.explode(F.sequence(F.lit(1), F.col("__times"))))
+    share = F.col("__i") / (F.col("__times") + 1)
+    made = made.select("symbol", label, *[(F.col(c) + share * (F.col(f"__{c}") - F.col(c))).alias(c) for c in columns], F.lit(1).alias("synthetic"))
+    return t.select("symbol", label, *columns, F.lit(0).alias("synthetic")).unionByName(made)
+
+
+def soft_vote(predictions: list[DataFrame], keys: list[str], classes: int) -> DataFrame:
+    """(keys, prediction, p): the class with the highest mean probability of several models' predictions; of equals the lower one."""
+    from pyspark.ml.functions import vector_to_array
+
+    rows = None
+    for d in predictions:
+        one = d.select(*keys, vector_to_array("probability").alias("p"))
+        rows = one if rows is None else rows.unionByName(one)
+    mean = rows.groupBy(*keys).agg(F.array(*[F.avg(F.col("p")[k]) for k in range(classes)]).alias("p"))
+    best = F.array_max("p")
+    return mean.select(*keys, (F.array_position("p", best) - 1).cast("int").alias("prediction"), best.alias("p"))
+
+
+def calibrated(scored: DataFrame, score: str, label: str):
+    """An isotonic regression of a 0/1 label on a score: turns scores into shares of hits. To be fitted on held-out rows."""
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.regression import IsotonicRegression
+
+    t = VectorAssembler(inputCols=[score], outputCol="features").transform(scored.select(score, F.col(label).cast("double").alias(label)))
+    return IsotonicRegression(featuresCol="features", labelCol=label, predictionCol="calibrated").fit(t)
+
+
+def cross_validated(df: DataFrame, columns: list[str], fit, label: str = "target", folds: int = 5, gap: int = 24) -> DataFrame:
+    """(fold, n, accuracy) of models trained on what is before each of the later parts of every symbol's time, less ``gap`` bars."""
+    n = F.count(F.lit(1)).over(Window.partitionBy("symbol"))
+    t = df.dropna(subset=[*columns, label]).withColumns({"__i": F.row_number().over(W()) - 1, "__n": n})
+    t = t.withColumn("__fold", F.floor(F.col("__i") * (folds + 1) / F.col("__n"))).withColumn("__to_next", F.ceil((F.col("__fold") + 1) * F.col("__n") / (folds + 1)) - F.col("__i"))
+    out = None
+    for k in range(1, folds + 1):  # a stated number of models
+        before = t.where((F.col("__fold") < k - 1) | ((F.col("__fold") == k - 1) & (F.col("__to_next") > gap)))
+        p = predict(fit(before, columns, label), t.where(F.col("__fold") == k), columns, label)
+        one = p.agg(F.count(F.lit(1)).alias("n"), F.avg((F.col("prediction") == F.col(label)).cast("double")).alias("accuracy")).select(F.lit(k).alias("fold"), "n", "accuracy")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def swing_hmm(states: DataFrame, most: int = 4, rounds: int = 60) -> DataFrame:
+    """(symbol, hidden, bic, predicted, p): a hidden Markov model of each symbol's swing states, and the likeliest next state.
+
+    Baum-Welch on the states 0, 1, 2 for one to ``most`` hidden states, the number with the lowest BIC; the next state's
+    probabilities follow from the filtered hidden state. The fit has no SQL form: grouped pandas, a symbol's swings a task.
+    """
+
+    def one(pdf: pd.DataFrame) -> pd.DataFrame:
+        seen = pdf.sort_values(["ts", "kind"])["state"].to_numpy(int)
+        best = min((fit_discrete(seen, k, rounds) for k in range(1, most + 1)), key=lambda m: (round(m["bic"], 9), m["k"]))
+        p = best["now"] @ best["a"] @ best["b"]
+        return pd.DataFrame({"symbol": [pdf["symbol"].iloc[0]], "hidden": [best["k"]], "bic": [best["bic"]], "predicted": [int(p.argmax())], "p": [float(p.max())]})
+
+    return states.select("symbol", "ts", "kind", "state").groupBy("symbol").applyInPandas(one, "symbol string, hidden int, bic double, predicted int, p double")
+
+
+def fit_discrete(seen: np.ndarray, k: int, rounds: int = 60, symbols: int = 3) -> dict:
+    """Baum-Welch for ``k`` hidden states: a, b, pi, loglik, bic, now (the filtered last state). Starts from leaning rows, the same every time."""
+    a = np.full((k, k), 1 / k) if k == 1 else np.full((k, k), 0.3 / (k - 1)) + np.eye(k) * (0.7 - 0.3 / (k - 1))
+    b = np.array([[1.0 + (j == s % symbols) + 0.1 * s * j for j in range(symbols)] for s in range(k)])
+    b /= b.sum(1, keepdims=True)
+    pi, n, loglik = np.full(k, 1 / k), len(seen), -np.inf
+    for _ in range(rounds + 1):
+        f, g, c = np.empty((n, k)), np.ones((n, k)), np.empty(n)
+        for t in range(n):
+            f[t] = (pi if t == 0 else f[t - 1] @ a) * b[:, seen[t]]
+            c[t] = max(f[t].sum(), 1e-300)
+            f[t] /= c[t]
+        now, loglik = f[-1], np.log(c).sum()
+        model = {"k": k, "a": a, "b": b, "pi": pi, "loglik": loglik, "now": now, "bic": -2 * loglik + (k * (k - 1) + k * (symbols - 1) + k - 1) * np.log(max(n, 1))}
+        for t in range(n - 2, -1, -1):
+            g[t] = a @ (b[:, seen[t + 1]] * g[t + 1]) / c[t + 1]
+        w = f * g
+        w /= w.sum(1, keepdims=True)
+        if n > 1:
+            xi = (f[:-1, :, None] * a * (b[:, seen[1:]].T * g[1:] / c[1:, None])[:, None]).sum(0)
+            a = (xi + 1e-12) / (xi + 1e-12).sum(1, keepdims=True)
+        b = np.stack([w[seen == s].sum(0) for s in range(symbols)], axis=1) + 1e-12
+        b, pi = b / b.sum(1, keepdims=True), w[0]
+    return model

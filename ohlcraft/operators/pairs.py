@@ -84,6 +84,48 @@ BONUS = {
 }
 
 
+# The momentum strategy's factors and bounds.
+MOMENTUM = {
+    "negative": 1.10, "low": 1.05, "low_at": 0.30, "high": 0.90, "high_at": 0.75, "hurst": 1.08, "z_high": 1.15, "z_high_at": 2.0, "z_some": 1.08, "z_some_at": 1.0, "adx": 18.0, "adx_strong": 25.0,
+    "adx_bonus": 1.03, "adx_strong_bonus": 1.08, "adx_none": 10.0, "adx_none_factor": 0.3, "adx_power": 2.0, "cointegrated": 0.95, "sharpe": 0.97, "sharpe_at": 0.5, "drawdown": 0.97, "drawdown_at": 0.45, "calmar": 0.98, "calmar_at": 0.5,
+}
+
+
+def picked(df: DataFrame, name: str, how: str = "best") -> Column:
+    """A metric of the two spreads, by least squares and Kalman: ols, kalman, best (the lower half-life or drawdown, else the higher) or avg; the known one if one is."""
+    finite = lambda c: F.when(F.abs(c) < float("inf"), F.col(c)) if c in df.columns else F.lit(None).cast("double")
+    a, b = finite(name), finite(f"kalman_{name}")
+    either = F.coalesce(b, a)
+    if how == "ols":
+        return a
+    if how == "avg":
+        return F.coalesce((a + b) / 2, either)
+    if how == "best":
+        return F.least(a, b) if name in ("half_life", "max_drawdown") else F.greatest(a, b)
+    return either
+
+
+def momentum_score(df: DataFrame, how: str = "best") -> DataFrame:
+    """Adds opportunity for the momentum strategy: legs that trend (long_adx, short_adx) and part; metrics as :func:`picked`."""
+    m, one = MOMENTUM, F.lit(1.0)
+    pick = lambda *cases: F.coalesce(*[F.when(F.coalesce(cond, F.lit(False)), F.lit(v)) for cond, v in cases], one)
+    r, z = F.col("correlation"), F.abs(picked(df, "current_zscore", how))
+    leg = lambda c: F.when(F.col(c) >= m["adx"], 1.0).when(F.col(c) < m["adx_none"], m["adx_none_factor"]).otherwise(F.pow(F.col(c) / m["adx"], F.lit(m["adx_power"])))
+    both = lambda at: (F.col("long_adx") >= at) & (F.col("short_adx") >= at)
+    known = F.col("long_adx").isNotNull() & F.col("short_adx").isNotNull()
+    factors = (
+        pick((r < 0, m["negative"]), (F.abs(r) < m["low_at"], m["low"]), (F.abs(r) > m["high_at"], m["high"])), pick((picked(df, "hurst", how) > 0.5, m["hurst"])),
+        pick((z > m["z_high_at"], m["z_high"]), (z > m["z_some_at"], m["z_some"])), F.when(known, leg("long_adx") * leg("short_adx")).otherwise(one),
+        F.when(known, pick((both(m["adx"]), m["adx_bonus"])) * pick((both(m["adx_strong"]), m["adx_strong_bonus"]))).otherwise(one),
+        pick(((F.col("adf_stationary") == 1) | (F.col("johansen_cointegrated") == 1), m["cointegrated"])), pick((picked(df, "sharpe", how) < m["sharpe_at"], m["sharpe"])),
+        pick((F.abs(picked(df, "max_drawdown", how)) > m["drawdown_at"], m["drawdown"])), pick((picked(df, "calmar", how) < m["calmar_at"], m["calmar"])),
+    )
+    score: Column = F.col("spread")
+    for f in factors:
+        score = score * f
+    return df.withColumn("opportunity", F.greatest(score, F.lit(0.0)))
+
+
 def opportunity_score(df: DataFrame, low: float = 0.3, high: float = 0.9) -> DataFrame:
     """Adds opportunity: the spread of the scores times a factor for each metric; reversion strategy."""
     c, b, one = F.col, BONUS, F.lit(1.0)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions.scalars import clip
 from ..functions.windows import W, change, crosses_up, fold, last_n, prev, rolling_lower_quantile, run_length, sma, truth
@@ -26,23 +27,59 @@ def centers(df: DataFrame, feature: str, lookback: int, low: float = 5, high: fl
     return [(lo + mid) / 2, (hi + mid) / 2] if k == 2 else [(lo + mid) / 2, mid, (hi + mid) / 2]
 
 
-def cluster(df: DataFrame, names: tuple[str, ...] = FEATURES, lookback: int = 100, k: int = 2, interpolation: str = "linear") -> DataFrame:
-    """Adds cluster, second, rel_pos, real_clust and confidence; null until the centres are known.
+def adaptive_centers(df: DataFrame, feature: str, lookback: int, low: float = 5, high: float = 95) -> DataFrame:
+    """Adds <feature>_low and <feature>_high, the two centres from percentiles that widen when the feature varies more than it mostly does.
 
-    The distance to a centre is the mean over the features. rel_pos is the nearest distance's share of the two
+    The variation is the deviation over the mean's size in the window (0 while unknown); twice what it is over the symbol's
+    median of it moves both percentiles outwards, the lower one within 1 and 20, the upper one within 80 and 99.
+    """
+    w = last_n(lookback)
+    full = F.count(feature).over(w) == lookback
+    mean = sma(feature, lookback)
+    vol = F.coalesce(F.when(full, F.try_divide(F.stddev_samp(feature).over(w), F.abs(mean))), F.lit(0.0))
+    out = df.withColumns({"__vol": vol, "__v": F.when(full, F.array_sort(F.collect_list(feature).over(w))), "__mean": mean})
+    out = out.withColumn("__more", (F.col("__vol") - F.median("__vol").over(Window.partitionBy("symbol"))) * 2)
+    at = lambda p: F.col("__v")[F.floor((lookback - 1) * p / 100).cast("int")]
+    lo, hi = at(clip(low - F.col("__more"), 1.0, 20.0)), at(clip(high + F.col("__more"), 80.0, 99.0))
+    return out.withColumns({f"{feature}_low": (lo + F.col("__mean")) / 2, f"{feature}_high": (hi + F.col("__mean")) / 2}).drop("__vol", "__v", "__mean", "__more")
+
+
+def uniqueness(df: DataFrame, names: tuple[str, ...]) -> DataFrame:
+    """(symbol, __w_<feature> ...): one less a feature's mean correlation, by size, with the others; all 1 if none is unique."""
+    pairs = {(a, b): F.coalesce(F.abs(F.corr(a, b)), F.lit(0.0)) for i, a in enumerate(names) for b in names[i + 1 :]}
+    g = df.groupBy("symbol").agg(*[c.alias(f"__{a}__{b}") for (a, b), c in pairs.items()])
+    mean = lambda n: sum(F.col(f"__{a}__{b}") for a, b in pairs if n in (a, b)) / max(1, len(names) - 1)
+    w = {n: 1 - mean(n) for n in names}
+    some = sum(w.values()) > 0
+    return g.select("symbol", *[F.when(some, w[n]).otherwise(1.0).alias(f"__w_{n}") for n in names])
+
+
+def cluster(df: DataFrame, names: tuple[str, ...] = FEATURES, lookback: int = 100, k: int = 2, interpolation: str = "linear", unique: bool = False, decay: float = 1.0) -> DataFrame:
+    """Adds cluster, second, rel_pos, real_clust, confidence and distance; null until the centres are known.
+
+    The distance to a centre is the mean over the features; with ``unique`` the mean over the known ones, weighted by
+    :func:`uniqueness`. A ``decay`` under 1 shrinks the distances of older bars by its powers. rel_pos is the nearest distance's share of the two
     nearest; real_clust lies between the two cluster numbers accordingly.
     """
     out = df
     for n in names:
         out = out.withColumns({f"__{n}_{j}": c for j, c in enumerate(centers(df, n, lookback, k=k))})
-    dist = [sum(F.abs(F.col(n) - F.col(f"__{n}_{j}")) for n in names) / len(names) for j in range(k)]
+    if unique:
+        out = out.join(uniqueness(df, names), "symbol")  # a row a symbol on the other side
+        away = lambda n, j: F.abs(F.col(n) - F.col(f"__{n}_{j}"))
+        dist = [F.try_divide(sum(F.coalesce(away(n, j) * F.col(f"__w_{n}"), F.lit(0.0)) for n in names), sum(F.when(away(n, j).isNotNull(), F.col(f"__w_{n}")).otherwise(0.0) for n in names)) for j in range(k)]
+    else:
+        dist = [sum(F.abs(F.col(n) - F.col(f"__{n}_{j}")) for n in names) / len(names) for j in range(k)]
+    if decay < 1:
+        age = F.count(F.lit(1)).over(Window.partitionBy("symbol")) - F.row_number().over(W())
+        dist = [d * F.pow(F.lit(decay), age) for d in dist]
     out = out.withColumn("__d", F.when(sum(dist).isNotNull(), F.array_sort(F.array(*[F.struct(d.alias("d"), F.lit(j).alias("j")) for j, d in enumerate(dist)]))))
     near, far = F.col("__d")[0], F.col("__d")[1]
     rel = F.when((near["d"] == 0) & (far["d"] == 0), F.lit(0.5)).otherwise(F.coalesce(F.try_divide(near["d"], near["d"] + far["d"]), F.lit(0.0)))
     rel = {"linear": rel, "sigmoid": 1 / (1 + F.exp(-10 * (rel - 0.5))), "exponential": 1 - F.exp(-3 * rel)}[interpolation]
-    out = out.withColumns({"cluster": near["j"].cast("double"), "second": far["j"].cast("double"), "rel_pos": F.when(F.col("__d").isNotNull(), rel)})
+    out = out.withColumns({"cluster": near["j"].cast("double"), "second": far["j"].cast("double"), "rel_pos": F.when(F.col("__d").isNotNull(), rel), "distance": near["d"]})
     out = out.withColumn("real_clust", F.col("cluster") + (F.col("second") - F.col("cluster")) * F.col("rel_pos"))
-    return out.withColumn("confidence", 1 - 2 * F.col("rel_pos")).drop("__d", *[f"__{n}_{j}" for n in names for j in range(k)])
+    return out.withColumn("confidence", 1 - 2 * F.col("rel_pos")).drop("__d", *[f"__{n}_{j}" for n in names for j in range(k)], *[f"__w_{n}" for n in names])
 
 
 def stabilize(df: DataFrame, min_bars: int = 3, min_confidence: float = 0.6) -> DataFrame:

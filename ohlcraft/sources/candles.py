@@ -64,6 +64,11 @@ def discover(markets: DataFrame, quote: str, limit: int) -> DataFrame:
     return good.groupBy("symbol").agg(F.max("volume_24h").alias("volume_24h")).orderBy(F.desc("volume_24h"), "symbol").limit(limit)
 
 
+def discover_spot(markets: DataFrame, quote: str) -> DataFrame:
+    """All active spot markets in a quote currency, by name."""
+    return markets.where(~F.col("contract") & F.col("active") & (F.col("quote") == quote)).select("symbol").distinct().orderBy("symbol")
+
+
 def read_csv(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     """One scan over any number of files, with the schema given."""
     return spark.read.schema(OHLCV).option("header", True).csv(paths)

@@ -86,3 +86,61 @@ def trend_state(bars: DataFrame, cfg: Config | None = None) -> DataFrame:
 
     schema = "symbol string, ts timestamp, close double, " + ", ".join(f"{k} double" for k in KINDS) + ", average double"
     return bars.groupBy("symbol").applyInPandasWithState(step, schema, "active boolean, numbers array<double>", "append", "NoTimeout")
+
+
+def streaming_centers(values: DataFrame, lookback: int = 100, low: float = 5, high: float = 95, adaptive: bool = False) -> DataFrame:
+    """(symbol, ts, low, mid, high): the clustering centres of a stream of (symbol, ts, value), with the window as keyed state.
+
+    Unknown and infinite values repeat the last centres (null before the first). ``adaptive`` moves the percentiles outwards by twice what
+    the window's variation is over its slow running mean, within 1 to 20 and 80 to 99.
+    """
+
+    def step(key, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        window, usual = state.get if state.exists else ([], 0.0)
+        window, out = list(window), []
+        for r in pd.concat(list(frames)).sort_values("ts").itertuples():
+            if r.value is not None and math.isfinite(r.value):
+                window = [*window, float(r.value)][-lookback:]
+                usual, centers = _centers(window, usual, low, high, adaptive)
+            else:
+                centers = _centers(window, usual, low, high, adaptive)[1] if window else (None, None, None)
+            out.append((key[0], r.ts, *centers))
+        state.update((window, usual))
+        yield pd.DataFrame(out, columns=["symbol", "ts", "low", "mid", "high"])
+
+    return values.groupBy("symbol").applyInPandasWithState(step, "symbol string, ts timestamp, low double, mid double, high double", "window array<double>, usual double", "append", "NoTimeout")
+
+
+def _centers(window: list[float], usual: float, low: float, high: float, adaptive: bool) -> tuple[float, tuple[float, float, float]]:
+    """(running variation, centres) of a window."""
+    ordered, n = sorted(window), len(window)
+    mid = sum(window) / n
+    if adaptive and n > 1 and abs(mid) > 1e-9:
+        now = (sum((v - mid) ** 2 for v in window) / n) ** 0.5 / abs(mid)
+        usual = now if usual == 0 else 0.01 * now + 0.99 * usual
+        low, high = max(1.0, min(20.0, low - 2 * (now - usual))), max(80.0, min(99.0, high + 2 * (now - usual)))
+    at = lambda p: ordered[int((n - 1) * p / 100)]
+    return usual, ((at(low) + mid) / 2, mid, (at(high) + mid) / 2)
+
+
+def with_higher(bars: DataFrame, hours: int = 24) -> DataFrame:
+    """(symbol, ts, close, higher_close, higher_ts): each bar of a stream with the last complete candle of a longer timeframe.
+
+    The state holds the candle in the making and the last complete one; a bar of a new period completes the one before.
+    """
+    width = hours * 3600
+
+    def step(key, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        period, close, done, done_close = state.get if state.exists else (None, None, None, None)
+        out = []
+        for r in pd.concat(list(frames)).sort_values("ts").itertuples():
+            now = int(r.ts.timestamp()) // width
+            if period is not None and now > period:
+                done, done_close = period, close
+            period, close = now, float(r.close)
+            out.append((key[0], r.ts, close, done_close, None if done is None else pd.Timestamp(done * width, unit="s")))
+        state.update((period, close, done, done_close))
+        yield pd.DataFrame(out, columns=["symbol", "ts", "close", "higher_close", "higher_ts"])
+
+    return bars.groupBy("symbol").applyInPandasWithState(step, "symbol string, ts timestamp, close double, higher_close double, higher_ts timestamp", "period long, close double, done long, done_close double", "append", "NoTimeout")
+

@@ -231,7 +231,7 @@ def test_samples(spark):
 def test_engine_registry(spark, prices):
     df = make(spark, prices)
     out, categories = engine.compute(df, "boosting", {"mine": lambda d: d.withColumn("twice", F.col("close") * 2)})
-    assert categories["twice"] == "custom" and categories["doji"] == "candlestick" and out.count() == df.count()
+    assert categories["twice"] == "custom" and categories["DOJI"] == "candlestick" and out.count() == df.count()
     with pytest.raises(TypeError):
         engine.compute(df, "core", {"bad": lambda d: 1})
 
