@@ -247,3 +247,104 @@ def test_candles_ties(spark):
     ticks = spark.createDataFrame([("s", t, 1.0, 2), ("s", t, 2.0, 1), ("s", t, 3.0, 3)], "k string, ts timestamp_ntz, p double, id long")
     c = candles.build_candles(ticks, F.col("k"), F.col("ts"), F.col("p"), F.col("id"), "hour", F.count(F.lit(1))).first()
     assert (c.open, c.close, c.high, c.low, c.volume) == (2.0, 3.0, 3.0, 1.0, 3.0)
+
+
+def test_strategy_votes_count_hold(spark):
+    t = spark.createDataFrame(
+        [("a", "LONG", 1.0, 0.9), ("a", "HOLD", 1.0, 0.2), ("a", "HOLD", 1.0, 0.2), ("a", "HOLD", 1.0, 0.2), ("b", "LONG", 1.0, 0.4), ("b", "SHORT", 3.0, 0.6), ("c", "SHORT", 1.0, 0.5), ("c", "LONG", 1.0, 0.5), ("d", "HOLD", 1.0, 0.0)],
+        "symbol string, signal string, weight double, probability double",
+    )
+    votes = {how: {r.symbol: r.signal for r in models.strategy_vote(t, how).collect()} for how in ("simple", "weighted", "confidence", "threshold")}
+    assert votes["simple"] == {"a": "HOLD", "b": "LONG", "c": "LONG", "d": "HOLD"}
+    assert votes["weighted"] == {"a": "HOLD", "b": "SHORT", "c": "LONG", "d": "HOLD"}
+    assert votes["confidence"] == {"a": "LONG", "b": "SHORT", "c": "LONG", "d": "HOLD"}
+    assert votes["threshold"] == {"a": "LONG", "b": "SHORT", "c": "LONG", "d": "HOLD"}
+
+
+def test_pair_rules_one_by_one(spark):
+    good = {"long_symbol": "a", "short_symbol": "b", "spread": 1.0, "correlation": -0.5, "adf_stationary": 1, "johansen_cointegrated": 0, "half_life": 10.0, "hurst": 0.4, "sharpe": 1.0, "max_drawdown": -0.1, "quant_score": 50.0}
+    limits = {"min_spread": 0.5, "max_spread": 2.0, "min_correlation": 0.3, "max_correlation": 0.9, "require_cointegration": True, "max_half_life": 20.0, "max_hurst": 0.5, "min_sharpe": 0.5, "max_drawdown": 0.2, "min_quant_score": 40.0}
+    bad = [{"long_symbol": None}, {"spread": None}, {"spread": float("inf")}, {"spread": 0.1}, {"spread": 3.0}, {"correlation": 0.1}, {"correlation": -0.95}, {"correlation": 1.5}, {"adf_stationary": 0, "johansen_cointegrated": 1},
+           {"adf_stationary": None, "johansen_cointegrated": None}, {"half_life": 30.0}, {"hurst": 0.5}, {"sharpe": 0.1}, {"max_drawdown": -0.3}, {"quant_score": 1.0}]
+    fine = [{}, {"correlation": None}, {"adf_stationary": None, "johansen_cointegrated": 1}, {"half_life": None}, {"half_life": float("inf")}, {"hurst": None}, {"sharpe": float("nan")}, {"max_drawdown": None}, {"quant_score": None}]
+    schema = "i int, long_symbol string, short_symbol string, spread double, correlation double, adf_stationary int, johansen_cointegrated int, half_life double, hurst double, sharpe double, max_drawdown double, quant_score double"
+    table = [(i, *(good | x).values()) for i, x in enumerate([*fine, *bad])]
+    got = {r.i for r in pairs.valid(spark.createDataFrame(table, schema), **limits).collect()}
+    assert got == set(range(len(fine)))
+
+
+def test_picked_metrics(spark):
+    d = spark.createDataFrame([(1.0, 2.0, 3.0, 1.0, None, 5.0)], "half_life double, kalman_half_life double, sharpe double, kalman_sharpe double, calmar double, kalman_calmar double")
+    value = lambda name, how: d.select(pairs.picked(d, name, how)).first()[0]
+    assert [value("half_life", h) for h in ("ols", "kalman", "best", "avg")] == [1.0, 2.0, 1.0, 1.5]
+    assert [value("sharpe", h) for h in ("ols", "kalman", "best", "avg")] == [3.0, 1.0, 3.0, 2.0]
+    assert [value("calmar", h) for h in ("ols", "kalman", "best", "avg")] == [None, 5.0, 5.0, 5.0]
+    assert value("hurst", "best") is None
+
+
+def test_trend_state_equals_the_series(prices):
+    from ohlcraft.operators.trend_state import TrendState
+
+    for x in prices.values():
+        for cfg in (atc.Config(length=14), atc.Config(length=14, cutout=3, robustness="Wide")):
+            layers, final = atc.classify_series(np.array(x), cfg)
+            state = TrendState(cfg)
+            for i, close in enumerate(x):
+                if i % 5 == 0:
+                    state = TrendState.unpack(state.pack(), cfg)
+                a, b = state.update(close)
+                assert np.allclose(a, layers[:, i], equal_nan=True) and near(b, float(np.nan_to_num(final[i])))
+
+
+def test_streaming_centers_that_adapt():
+    from ohlcraft.streaming.live import _centers
+
+    rng = np.random.default_rng(2)
+    window, usual = [], 0.0
+    for v in np.concatenate([rng.normal(10, 0.1, 60), rng.normal(10, 5, 60)]):
+        window = [*window, float(v)][-40:]
+        before = usual
+        usual, (lo, mid, hi) = _centers(window, usual, 5, 95, True)
+        w = np.array(window)
+        if len(w) > 1:
+            now = w.std() / abs(w.mean())
+            assert near(usual, now if before == 0 else 0.01 * now + 0.99 * before)
+            p, q = np.clip(5 - 2 * (now - usual), 1, 20), np.clip(95 + 2 * (now - usual), 80, 99)
+            s = np.sort(w)
+            assert near(lo, (s[int((len(s) - 1) * p / 100)] + w.mean()) / 2) and near(hi, (s[int((len(s) - 1) * q / 100)] + w.mean()) / 2) and near(mid, w.mean())
+
+
+def test_models_vote_and_are_calibrated(spark):
+    from pyspark.ml.linalg import Vectors
+
+    one = spark.createDataFrame([(1, Vectors.dense([0.6, 0.4])), (2, Vectors.dense([0.5, 0.5]))], ["id", "probability"])
+    two = spark.createDataFrame([(1, Vectors.dense([0.1, 0.9])), (2, Vectors.dense([0.5, 0.5]))], ["id", "probability"])
+    got = {r.id: (r.prediction, r.p) for r in models.soft_vote([one, two], ["id"], 2).collect()}
+    assert got[1][0] == 1 and near(got[1][1], 0.65) and got[2] == (0, 0.5)
+    scored = spark.createDataFrame([(i / 100, int((i * 7) % 100 < i)) for i in range(100)], "score double, hit int")
+    model = models.calibrated(scored, "score", "hit")
+    from pyspark.ml.feature import VectorAssembler
+
+    out = [r.calibrated for r in model.transform(VectorAssembler(inputCols=["score"], outputCol="features").transform(scored)).orderBy("score").collect()]
+    assert all(a <= b for a, b in zip(out, out[1:], strict=False)) and near(sum(out), sum(r.hit for r in scored.collect()))
+
+
+def test_custom_indicators_may_name_categories(spark, prices):
+    d = make(spark, prices)
+    out, categories = engine.compute(d, "core", {"x": lambda t: (t.withColumn("x1", F.lit(1)).withColumn("x2", F.lit(2)), {"x1": "special"})})
+    assert categories["x1"] == "special" and categories["x2"] == "custom" and {"x1", "x2"} <= set(out.columns)
+    with pytest.raises(TypeError):
+        engine.compute(d, "core", {"x": lambda t: (t, "no mapping")})
+
+
+def test_targets_can_be_registered(spark, prices):
+    from ohlcraft.operators import targets
+
+    d = make(spark, prices)
+    targets.register("fixed", lambda t: (t.groupBy("symbol").agg(F.max_by("close", "ts").alias("price")), {"ten": F.lit(10.0)}))
+    got = {(r.symbol, r.direction): r.target_price for r in targets.targets(d, "fixed", "NEUTRAL").collect()}
+    assert got[("one", "UP")] == 17.0 and got[("one", "DOWN")] == -3.0
+    assert {r.label for r in targets.targets(d, "atr").collect()} == {"ATR x1", "ATR x2", "ATR x3"}
+    with pytest.raises(TypeError):
+        targets.register("no", 5)
+
