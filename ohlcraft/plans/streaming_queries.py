@@ -20,10 +20,13 @@ QUERIES, ORACLES = {}, {}
 
 
 def _work(spark) -> str:
-    """A folder that driver and executors share; local mode without a setting uses a temporary one."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
+    """A folder that driver and executors share; local mode without a setting uses a temporary one, a cluster needs the setting."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
-        found = tempfile.mkdtemp(prefix="ohlcraft-stream-") if spark.sparkContext.master.startswith("local[") else spark.conf.get("spark.sql.warehouse.dir") + "/_work"
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        found = tempfile.mkdtemp(prefix="ohlcraft-stream-")
     return f"{found.rstrip('/')}/stream-{uuid.uuid4().hex}"
 
 
