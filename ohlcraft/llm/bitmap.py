@@ -16,10 +16,10 @@ BITS_EACH, MOST = 32, 1 << 27
 _BUCKET = 1 << 15
 
 
-def bitmap_of(hashes: DataFrame, expected: int) -> np.ndarray:
+def bitmap_of(hashes: DataFrame, expected: int, each: int | None = None) -> np.ndarray:
     """A bitmap (a byte array, a power of two of bits) that has the bits of all ``h`` of the table set; MOST / 8 bytes at most."""
     bits = _BUCKET
-    while bits < min(MOST, BITS_EACH * expected):
+    while bits < min(MOST, (each or BITS_EACH) * expected):
         bits *= 2
     at = F.col("h").bitwiseAND(F.lit(bits - 1))
     # built on the executors in pieces of 4 KB, of which there are MOST / 2 ** 15 at most

@@ -34,8 +34,10 @@ WINDOW = 4
 MIN_SHARE = 0.5
 _SIGNS = bytes(c if chr(c).isalnum() or c >= 128 else 32 for c in range(256))
 _CELLS = 4 << 20
-#: Words whose hashes a worker keeps.
-_CACHE = 1_000_000
+#: Bytes of text hashed at once; words over _LONG bytes are hashed alone; the odd base of word hashes.
+_SPAN, _LONG, _BASE = 1 << 16, 4096, 0x9E3779B97F4A7C15 | 1
+#: Bits for each trigram of the items in the bitmaps (16 MB at most): a document has hundreds that may pass by chance.
+_BITS = 1 << 14
 _MIX = tuple(np.uint64(m) for m in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
 
 
@@ -44,17 +46,39 @@ def words_of(text: str) -> list[bytes]:
     return text.lower().encode("utf-8", "replace").translate(_SIGNS).split()
 
 
-class _Hashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= _CACHE:
-            self.clear()
-        self[word] = h = xxhash.xxh64_intdigest(word) >> 1
-        return h
+def _powers(base: int) -> np.ndarray:
+    out = np.full(_SPAN + 1, base, np.uint64)
+    out[0] = 1
+    return np.cumprod(out)
 
 
-def word_hashes(text: str, known: _Hashes) -> np.ndarray:
-    w = words_of(text)
-    return np.fromiter(map(known.__getitem__, w), np.int64, len(w))
+_POWERS, _INVERSE = _powers(_BASE), _powers(pow(_BASE, -1, 1 << 64))
+
+
+def word_hashes(text: str) -> np.ndarray:
+    """A hash for each of :func:`words_of`, without cutting them out.
+
+    A word's bytes are a number to an odd base, modulo 2^64, from differences of running sums; words over _LONG bytes are hashed one by one.
+    """
+    raw = text.lower().encode("utf-8", "replace").translate(_SIGNS)
+    data = np.frombuffer(raw, np.uint8)
+    inside = np.concatenate([[False], data != 32, [False]])
+    edges = np.flatnonzero(inside[1:] != inside[:-1])
+    starts, ends = edges[::2], edges[1::2]
+    out = np.empty(len(starts), np.uint64)
+    lo = 0
+    while lo < len(starts):
+        base = starts[lo]
+        hi = max(lo + 1, int(np.searchsorted(ends, base + _SPAN, "right")))
+        part = data[base : min(base + _SPAN, ends[hi - 1])].astype(np.uint64) * _POWERS[: min(_SPAN, ends[hi - 1] - base)]
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(part)])
+        a, b = starts[lo:hi] - base, np.minimum(ends[lo:hi] - base, len(part))
+        out[lo:hi] = (sums[b] - sums[a]) * _INVERSE[a]
+        lo = hi
+    for i in np.flatnonzero(ends - starts > _LONG).tolist():
+        out[i] = xxhash.xxh64_intdigest(raw[starts[i] : ends[i]])
+    out = (out ^ (out >> np.uint64(32))) * _MIX[0]
+    return ((out ^ (out >> np.uint64(29))) >> np.uint64(2)).astype(np.int64)
 
 
 def grams(x: np.ndarray, n: int = N) -> np.ndarray:
@@ -71,12 +95,11 @@ def grams(x: np.ndarray, n: int = N) -> np.ndarray:
 
 def _item_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(key, text) -> (key, words, n, gram, at): an item's words and the hashes of its trigrams (of all its words, if fewer)."""
-    known = _Hashes()
     for b in batches:
         for lo in range(0, b.num_rows, 256):
             key, words, gram, at = [], [], [], []
             for k, text in zip(b.column(0).slice(lo, 256).to_pylist(), b.column(1).slice(lo, 256).to_pylist(), strict=True):
-                x = word_hashes(text, known)
+                x = word_hashes(text)
                 if len(x):
                     g = grams(x, min(N, len(x)))
                     key.append(k)
@@ -90,7 +113,7 @@ def _item_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _count(bits: np.ndarray, sizes: list[int], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(text) -> (gram, n): in how many of the texts the grams that pass the bitmap occur, added up in parts."""
     forget_words()
-    known, seen, room = _Hashes(), [], 0
+    seen, room = [], 0
 
     def done():
         gram, n = np.unique(np.concatenate(seen), return_counts=True)
@@ -98,7 +121,7 @@ def _count(bits: np.ndarray, sizes: list[int], batches: Iterator[pa.RecordBatch]
 
     for b in batches:
         for text in b.column(0).to_pylist():
-            x = word_hashes(text, known)
+            x = word_hashes(text)
             for n in sizes:
                 g = grams(x, n)
                 seen.append(np.unique(g[probe(bits, g)]))
@@ -141,14 +164,13 @@ _PASSAGES = "row long, id {kind}, h1 long, h2 long, start int, words array<long>
 def _passages(bits: np.ndarray, sizes: list[int], reach: int, kind: pa.DataType, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(row, id, h1, h2, text) -> the stretches of words within ``reach`` of a seed, with the seeds and where they stand in the text."""
     forget_words()
-    known = _Hashes()
     longs, ints = pa.list_(pa.int64()), pa.list_(pa.int32())
     for b in batches:
         for lo in range(0, b.num_rows, 1000):
             part = b.slice(lo, 1000)
             of, start, words, gram, ats = [], [], [], [], []
             for i, text in enumerate(part.column(4).to_pylist()):
-                x = word_hashes(text, known)
+                x = word_hashes(text)
                 found, place = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
                 for n in sizes:
                     g = grams(x, n)
@@ -210,7 +232,7 @@ def _alignments(docs: DataFrame, benchmark: DataFrame, id_col: str, text_col: st
     one = cut.select("key", F.posexplode("grams").alias("at", "gram"))
     facts = cut.agg(F.coalesce(F.sum(F.size("grams")), F.lit(0)), F.coalesce(F.max(F.size("words")), F.lit(0)), F.sort_array(F.collect_set(F.least(F.lit(N), F.size("words"))))).first()
     total, longest, sizes = facts
-    bits = bitmap_of(one.select(F.col("gram").alias("h")), total)
+    bits = bitmap_of(one.select(F.col("gram").alias("h")), total, _BITS)
     counted = docs.select(text_of(text_col).alias("t")).mapInArrow(partial(_count, bits, sizes), "gram long, n long")
     counts = counted.groupBy("gram").agg(F.sum("n").alias("n"))
     # the rarest of each window of successive trigrams, the first of equally rare ones
@@ -220,7 +242,7 @@ def _alignments(docs: DataFrame, benchmark: DataFrame, id_col: str, text_col: st
     seeds = least.where((F.col("at") <= F.col("end") - (WINDOW - 1)) | (F.col("at") == 0)).select("key", F.col("s.at").alias("seed_at"), F.col("s.gram").alias("gram"))
     seeds = seeds.distinct().join(cut.select("key", F.size("words").alias("n")), "key")
     seeds, _ = materialize(seeds, "leak-seeds")
-    bits = bitmap_of(seeds.select(F.col("gram").alias("h")), total)
+    bits = bitmap_of(seeds.select(F.col("gram").alias("h")), total, _BITS)
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), F.xxhash64(F.lit(1), text_of(text_col)).alias("h1"), F.xxhash64(F.lit(2), text_of(text_col)).alias("h2"), text_of(text_col).alias("text"))
     found = rows.mapInArrow(partial(_passages, bits, sizes, 2 * longest + 8, arrow), _PASSAGES.format(kind=kind.simpleString()))
     found, _ = materialize(found, "leak-passages")
