@@ -8,7 +8,9 @@ its pointwise mutual information over the entity's information content,
     log(N n(t, e) / (n(t) n(e))) / log(N / n(e))
 
 which is 1 if the term occurs only with the entity, 0 if they are independent. Terms at or over
-REMOVE are removed, those at or over GENERALISE are cut to a stem. An entity counts from its first
+REMOVE are removed, those at or over GENERALISE give way to the longest of their beginnings that discloses less: one that
+more than n(e)^g N^(1-g) documents have can't disclose e by g or more, as n(t, e) is n(e) at most. A term without such a beginning
+is removed. An entity counts from its first
 document on; a word of the corpus counts from MIN_TERM documents on, as one met once can't be told
 from chance. All of it is DataFrame and SQL functions.
 """
@@ -126,8 +128,8 @@ def _classes(held: DataFrame) -> tuple[DataFrame, int]:
     return classes, most
 
 
-def disclosures(docs: DataFrame, text_col: str, held: DataFrame, generalise: float = GENERALISE, min_term: int = MIN_TERM) -> tuple[DataFrame, DataFrame]:
-    """((id, h, ne, x, y, term, nt), (ne, x, y, term, nt, strength)): terms that may be strong in the documents that hold
+def disclosures(docs: DataFrame, text_col: str, held: DataFrame, generalise: float = GENERALISE, min_term: int = MIN_TERM) -> tuple[DataFrame, DataFrame, DataFrame, int]:
+    """((id, h, ne, x, y, term, nt), (ne, x, y, term, nt, strength), beginnings, documents): terms that may be strong in the documents that hold
     entities, and the pairs of entity class and term of at least ``generalise``, co-occurrence being by whole document.
 
     A strength of g needs n(t) <= n(e)^g N^(1-g), as n(t, e) is n(e) at most: commoner terms drop out unpaired.
@@ -136,7 +138,8 @@ def disclosures(docs: DataFrame, text_col: str, held: DataFrame, generalise: flo
     classes, most = _classes(held)
     bound = F.lit(float(total)) ** (1 - generalise) * F.col("ne").cast("double") ** generalise * (1 + 1e-9)
     counts = docs.select(text_of(text_col).alias("__t")).select(F.explode(F.expr(_words("__t"))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("nt"))
-    rare, _ = materialize(counts.withColumn("ne", F.lit(most)).where((F.col("nt") >= min_term) & (F.col("nt") <= bound)).select("term", "nt"), "pii-counts")
+    counts, _ = materialize(counts.where(F.col("nt") >= min_term), "pii-words")
+    rare = counts.withColumn("ne", F.lit(most)).where(F.col("nt") <= bound).select("term", "nt")
     words = held.select("id", "h", F.explode("words").alias("term")).join(rare, "term").withColumnsRenamed({"id": "wid", "h": "wh"})
     pairs = classes.join(words, (F.col("h") == F.col("wh")) & F.col("id").eqNullSafe(F.col("wid"))).where(F.col("nt") <= bound)
     pairs, _ = materialize(pairs.select("id", "h", "ne", "x", "y", "term", "nt"), "pii-pairs")
@@ -144,14 +147,25 @@ def disclosures(docs: DataFrame, text_col: str, held: DataFrame, generalise: flo
     strength = F.try_divide(F.ln(n * F.col("nte") / (F.col("nt").cast("double") * F.col("ne"))), F.ln(n / F.col("ne")))
     strong = pairs.groupBy("ne", "x", "y", "term", "nt").agg(F.count(F.lit(1)).alias("nte")).withColumn("strength", strength)
     strong, _ = materialize(strong.where(F.col("strength") >= generalise).drop("nte"), "pii-strong")
-    return pairs, strong
+    return pairs, strong, _beginnings(counts, strong), total
+
+
+def _beginnings(counts: DataFrame, strong: DataFrame) -> DataFrame:
+    """(term, begins): the beginnings of each strong term, longest first, as structs of p and n, the documents that some one word with that beginning is in."""
+    cut = lambda c: F.explode(F.expr(f"transform(sequence(1, greatest(length({c}) - 1, 1)), k -> left({c}, k))")).alias("p")
+    own = strong.select("term").distinct().where("length(term) > 1").select("term", cut("term"))
+    own, _ = materialize(own, "pii-beginnings")
+    known = counts.where("length(term) > 1").select("term", "nt", cut("term")).join(own.select("p").distinct(), "p", "left_semi").groupBy("p").agg(F.max("nt").alias("n"))
+    found = own.join(known, "p").groupBy("term").agg(F.expr("array_sort(collect_list(struct(-length(p) AS k, p, n)))").alias("begins"))  # as many as the word has letters
+    found, _ = materialize(found, "pii-generalised")
+    return found
 
 
 def find_private(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", remove: float = REMOVE, generalise: float = GENERALISE, min_term: int = MIN_TERM) -> DataFrame:
     """Spans of every row: (id_col, text_col, email, ip, card, phone, terms).
 
-    The first four are arrays of (s, e, v); terms holds (s, e, v, act), act being 'remove' or
-    'generalise': every occurrence of a strong term in each document that holds the entity, however
+    The first four are arrays of (s, e, v); terms holds (s, e, v, act, to), act being 'remove' or
+    'generalise', to what stands for the term then ('' for removed ones): every occurrence of a strong term in each document that holds the entity, however
     far from it. Offsets are code points, ends exclusive. Null texts count as empty; null and
     repeated ids, and repeated rows, are returned as they come (a row counts as holding an entity
     once for each distinct pair of id and text). Other columns aren't looked at; an empty table gives an empty result.
@@ -162,30 +176,33 @@ def find_private(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     entities = "array_distinct(concat(" + ", ".join(f"transform(__{k}, x -> {_entity(k)})" for k in KINDS) + "))"
     held = some.select("id", "h", F.expr(entities).alias("entities"), F.expr(_words("__text")).alias("words"))
     held, _ = materialize(held.dropDuplicates(["id", "h"]), "pii-held")
-    pairs, strong = disclosures(docs, text_col, held, generalise, min_term)
+    pairs, strong, begins, total = disclosures(docs, text_col, held, generalise, min_term)
     # a hot pair is dealt out over lanes of documents; a strong one has n(t) near n(t, e), so that lanes are few
     lanes = F.ceil(F.col("nt") / _LANE).cast("int")
     left = pairs.withColumn("lane", F.pmod(F.xxhash64("h", "id"), lanes).cast("int"))
     right = strong.withColumn("lane", F.explode(F.sequence(F.lit(0), lanes - 1)))
-    hits = left.join(right, ["ne", "x", "y", "term", "nt", "lane"]).groupBy("id", "h", "term").agg(F.max("strength").alias("strength"))
-    act = F.when(F.col("strength") >= remove, "remove").otherwise("generalise")
-    found = hits.groupBy("id", "h").agg(F.collect_list(F.struct(F.col("term").alias("v"), act.alias("act"))).alias("own")).withColumn("n", F.ceil(F.sqrt(F.size("own"))))
+    hits = left.join(right, ["ne", "x", "y", "term", "nt", "lane"]).groupBy("id", "h", "term").agg(F.max("strength").alias("strength"), F.max("ne").alias("ne"))
+    hits = hits.join(begins, "term", "left")
+    bound = f"pow({float(total)!r}D, {1 - generalise!r}D) * pow(ne, {generalise!r}D) * {1 + 1e-9!r}D"
+    to = F.when(F.col("strength") < remove, F.expr(f"get(filter(begins, b -> b.n > {bound}), 0).p || '*'"))
+    act = F.when(to.isNull(), "remove").otherwise("generalise")
+    found = hits.groupBy("id", "h").agg(F.collect_list(F.struct(F.col("term").alias("v"), act.alias("act"), F.coalesce(to, F.lit("")).alias("to"))).alias("own")).withColumn("n", F.ceil(F.sqrt(F.size("own"))))
     # buckets by hash, so that a long text with many strong terms is not searched by their product
     found = found.select(F.col("id").alias("tid"), F.col("h").alias("th"), "n", F.expr("transform(sequence(0, n - 1), b -> filter(own, t -> pmod(xxhash64(t.v), n) = b))").alias("own"))
     found, _ = materialize(found, "pii-terms")
     out = base.join(found, (F.col("h") == F.col("th")) & F.col("id").eqNullSafe(F.col("tid")), "left")
-    marked = f"transform({_located('t', _TERM)}, w -> transform(array(lower(w.v)), v -> struct(w.s AS s, w.e AS e, v AS v, get(filter(get(own, cast(pmod(xxhash64(v), n) AS int)), o -> o.v = v), 0).act AS act))[0])"
-    terms = f"CASE WHEN own IS NOT NULL THEN filter(transform(array({_masked('__text')}), t -> {marked})[0], w -> w.act IS NOT NULL) ELSE cast(array() AS array<struct<s: int, e: int, v: string, act: string>>) END"
+    marked = f"transform({_located('t', _TERM)}, w -> transform(array(lower(w.v)), v -> struct(w.s AS s, w.e AS e, v AS v, get(filter(get(own, cast(pmod(xxhash64(v), n) AS int)), o -> o.v = v), 0) AS o))[0])"
+    terms = f"CASE WHEN own IS NOT NULL THEN transform(filter(transform(array({_masked('__text')}), t -> {marked})[0], w -> w.o IS NOT NULL), w -> struct(w.s AS s, w.e AS e, w.v AS v, w.o.act AS act, w.o.to AS to)) ELSE cast(array() AS array<struct<s: int, e: int, v: string, act: string, to: string>>) END"
     return out.select(F.col("id").alias(id_col), F.col("raw").alias(text_col), *[F.col(f"__{k}").alias(k) for k in KINDS], F.expr(terms).alias("terms"))
 
 
 def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id_col, text_col) with base spans as [KIND], removed terms gone, and generalised ones cut to three letters and '*'.
+    """(id_col, text_col) with base spans as [KIND], removed terms gone, and generalised ones as the beginning that stands for them and '*'.
 
     Where spans overlap, the one that starts first is replaced, the longer of two.
     """
     found = find_private(docs, id_col, text_col)
-    every = "concat(" + ", ".join(f"transform({k}, x -> struct(x.s AS s, -x.e AS ne, '[{k.upper()}]' AS v))" for k in KINDS) + ", transform(terms, x -> struct(x.s AS s, -x.e AS ne, CASE WHEN x.act = 'remove' THEN '' ELSE concat(left(x.v, 3), '*') END AS v)))"
+    every = "concat(" + ", ".join(f"transform({k}, x -> struct(x.s AS s, -x.e AS ne, '[{k.upper()}]' AS v))" for k in KINDS) + ", transform(terms, x -> struct(x.s AS s, -x.e AS ne, x.to AS v)))"
     found = found.withColumn("__t", text_of(text_col)).withColumn("__all", F.expr(f"array_sort({every})"))
     fold = "aggregate(__all, struct(0 AS p, cast(array() AS array<string>) AS o), (a, x) -> CASE WHEN x.s < a.p THEN a ELSE struct(-x.ne AS p, concat(a.o, array(substring(__t, a.p + 1, x.s - a.p), x.v)) AS o) END, a -> concat(array_join(a.o, ''), substring(__t, a.p + 1)))"
     return found.select(F.col(id_col), F.expr(fold).alias(text_col))
@@ -199,4 +216,4 @@ def digest(found: DataFrame, id_col: str = "doc_id") -> DataFrame:
 
     base = F.concat(*[joined(k) for k in KINDS])
     counts = [F.size(k).cast("long").alias(f"n_{k}") for k in KINDS]
-    return found.select(id_col, *counts, F.sha2(F.array_join(base, ","), 256).alias("base_sha256"), F.array_join(F.concat(base, joined("term", "terms")), ",").alias("spans"), F.size("terms").cast("long").alias("n_term"))
+    return found.select(id_col, *counts, F.sha2(F.array_join(base, ","), 256).alias("base_sha256"), F.array_join(F.concat(base, joined("term", "terms")), ",").alias("spans"), F.size("terms").cast("long").alias("n_term"), F.size(F.filter("terms", lambda t: t["act"] == "generalise")).cast("long").alias("n_generalised"))
