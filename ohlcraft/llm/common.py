@@ -16,8 +16,8 @@ from ..functions.shipping import ship as ship_package
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, from ``spark.checkpoint.dir``.
 
-    Where it is unset, local mode gets a temporary folder (one machine, one JVM); a cluster gets
-    a folder under the warehouse, never a machine-local one.
+    Where it is unset, local mode (one machine, one JVM) gets a temporary folder; on a cluster that is an error, as any
+    folder taken for granted could be a machine-local one.
     """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
@@ -25,7 +25,7 @@ def shared_dir(spark: SparkSession) -> str:
         if master.startswith("local[") or master == "local":
             found = tempfile.mkdtemp(prefix="ohlcraft-work-")
         else:
-            found = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_work"
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
@@ -43,9 +43,17 @@ def materialize(df: DataFrame, label: str) -> tuple[DataFrame, str]:
     spark = df.sparkSession
     path = work_path(spark, label)
     df.write.option("compression", "zstd").parquet(path)
+    _delete_at_exit(spark, path)
     return spark.read.schema(df.schema).parquet(path), path
 
 
+def _delete_at_exit(spark: SparkSession, path: str) -> None:
+    """Work tables serve results that are read later; they go when the application ends."""
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(p)
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Delete a written table through Hadoop's file system, whatever store it is in."""
     jvm = spark.sparkContext._jvm
@@ -123,8 +131,19 @@ def ship(spark: SparkSession) -> None:
 
 
 def forget_words() -> None:
-    """Drop this worker's tokenizer cache: workers serve other stages after those that encode."""
+    """Drop this worker's tokenizer cache, and give freed memory back: workers serve other stages after those that encode."""
+    import ctypes
+    import gc
     import sys
 
+    import pyarrow as pa
+
     if encoding := sys.modules.get(f"{__package__}.encoding"):
         encoding.encoder.cache_clear()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if sys.platform == "linux":
+        try:
+            ctypes.CDLL(None).malloc_trim(0)
+        except AttributeError:  # another C library than glibc
+            pass
