@@ -387,6 +387,77 @@ def test_toxicity(spark, empty):
     assert toxicity.keep_clean(empty, labels.limit(0)).count() == 0
 
 
+def _plain_features(text):
+    """The set of features by their definition, without caches."""
+    words = re.findall(r"[^\W\d_]+", text.lower())
+    names = {f"w {w}" for w in words} | {f"{n} {w[:n]}" for w in words for n in (3, 4, 5) if len(w) > n}
+    letters = sum(map(len, words))
+    names |= {f"= n {int(np.log2(len(text) + 1))}", f"= l {round(2 * letters / len(words)) if words else 0}", f"= s {round(20 * letters / len(text)) if text else 0}", f"= d {round(10 * len(set(words)) / len(words)) if words else 0}"}
+    return {zlib.crc32(x.encode("utf-8", "replace")) for x in names}
+
+
+def test_toxicity_scores_by_loops(spark, monkeypatch):
+    """Every probability from the chain's weights and plain feature sets: ties, repeats, very long texts and clashing names too."""
+    kept = []
+    fit = toxicity.fit
+    monkeypatch.setattr(toxicity, "fit", lambda *a, **k: kept.append(fit(*a, **k)) or kept[-1])
+    rng = random.Random(14)
+    words = ["".join(rng.choice("abcdef") for _ in range(rng.randint(2, 7))) for _ in range(120)]
+    table = []
+    for i in range(200):
+        w = [rng.choice(words) for _ in range(rng.randint(1, 40))] + (["vile", "vilely"] if i % 4 == 0 else []) + (["###"] * 9 if i % 3 == 0 else [])
+        table.append((i, " ".join(w), 0.5, "p"))
+    table += [(500, "vile " * 30_000, 0.1, "x"), (501, "x" * 200_000, 0.1, "x"), (502, None, 0.1, "x"), (None, "Vile!", 0.2, "x"), table[0], table[0]]
+    docs = spark.createDataFrame(table, "doc_id long, text string, p_toxic double, toxic string")
+    labels = spark.createDataFrame([(i, int(i % 3 != 0), int(i % 4 == 0)) for i in range(150)], "doc_id long, quality int, toxic int")
+    got = toxicity.toxicity(docs, labels).collect()
+    assert len(got) == len(table)
+    chain = kept[0]
+    for (i, text), r in zip(sorted(((str(t[0]), t[1] or "") for t in table), key=lambda e: e[0]), sorted(got, key=lambda r: str(r.doc_id)), strict=True):
+        assert str(r.doc_id) == i
+        before = []
+        for m, p in zip(chain, (r.p_low_quality, r.p_toxic), strict=True):
+            z = m.intercept + sum(m.weights.get(f, 0.0) for f in _plain_features(text)) + sum(a * b for a, b in zip(m.earlier, before, strict=True))
+            before.append(1 / (1 + np.exp(-np.clip(z, -500, 500))))
+            assert abs(before[-1] - p) < 1e-5
+        assert r.toxic == (before[-1] >= toxicity.THRESHOLD) or abs(before[-1] - toxicity.THRESHOLD) < 1e-5
+    assert chain[1].weights and chain[0].weights
+
+
+def test_toxicity_optimum_over_all_features():
+    """No feature that was left out would lower the loss; the later model learnt from out-of-fold probabilities."""
+    rng = np.random.default_rng(6)
+    n, names = 300, np.arange(900) * 7 + 3
+    present = rng.random((n, 900)) < rng.uniform(0.02, 0.4, 900)
+    y = np.stack([present[:, 850] | present[:, 3], present[:, 700] & ~present[:, 3]], axis=1).astype(float)
+    folds = np.arange(n) % 3
+    rows = [names[p] for p in present]
+    toxicity_first = toxicity.FIRST_FEATURES
+    try:
+        toxicity.FIRST_FEATURES = 5  # the others have to come in by themselves
+        chain = toxicity.train_chain(rows, y, folds)
+    finally:
+        toxicity.FIRST_FEATURES = toxicity_first
+    counts = present.sum(0)
+    some = counts >= toxicity.MIN_DOCS
+    scale = np.sqrt(n / np.maximum(counts, 1))
+    dense = np.empty((n, 0))
+    for c, m in enumerate(chain):
+        z = np.array([m.intercept + sum(m.weights.get(int(f), 0.0) for f in r) for r in rows]) + (dense @ np.array(m.earlier) if c else 0)
+        slope = np.abs((1 / (1 + np.exp(-z)) - y[:, c]) @ present) * scale / n
+        out = [j for j in range(900) if some[j] and int(names[j]) not in m.weights]
+        assert slope[out].max() <= toxicity.PENALTY * toxicity.SLACK + 1e-9 and 0 < len(m.weights) < 900
+        if c == 0:
+            p = np.zeros(n)
+            for k in range(3):
+                train = folds != k
+                one = toxicity.train_chain([r for r, t in zip(rows, train, strict=True) if t], y[train][:, :1], folds[train])[0]
+                for i in np.flatnonzero(folds == k):
+                    p[i] = 1 / (1 + np.exp(-(one.intercept + sum(one.weights.get(int(f), 0.0) for f in rows[i]))))
+            dense = p[:, None]
+    assert len(chain[1].earlier) == 1
+
+
 def test_decontamination(spark, docs, empty):
     rng = random.Random(6)
     vocabulary = ["".join(rng.choice("abcdefghijklmnop") for _ in range(5)) for _ in range(500)] + ["the", "of"] * 100
