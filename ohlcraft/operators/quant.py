@@ -43,13 +43,14 @@ def spread_metrics(spread: DataFrame, keys: list[str], per_year: int = 8760) ->
 def hurst(df: DataFrame, keys: list[str], x: str, max_lag: int = 100) -> DataFrame:
     """(keys, hurst): twice the slope of ln sqrt(std of lagged differences) on ln lag, between 0 and 2.
 
-    Lags run from 2 to min(100, n / 2) - 1; each is one difference column of the same window.
+    Lags run from 2 to min(100, n / 2) - 1; each is one difference column of the same window and one aggregate.
     """
     w = Window.partitionBy(*keys).orderBy("ts")
-    t = df.withColumn("n", F.count(x).over(Window.partitionBy(*keys)))
-    diffs = F.array(*[F.struct(F.lit(k).alias("lag"), (F.col(x) - F.lag(x, k).over(w)).alias("d")) for k in range(2, max_lag)])
-    t = t.withColumn("__d", diffs).select(*keys, "n", F.inline("__d")).where((F.col("lag") < F.least(F.lit(max_lag), F.floor(F.col("n") / 2))) & F.col("d").isNotNull())
-    s = t.groupBy(*keys, "lag").agg(F.stddev_pop("d").alias("s")).where("s > 0")
+    lags = range(2, max_lag)
+    t = df.select(*keys, F.count(x).over(Window.partitionBy(*keys)).alias("n"), *[(F.col(x) - F.lag(x, k).over(w)).alias(f"__d{k}") for k in lags])
+    one = t.groupBy(*keys).agg(F.max("n").alias("n"), *[F.stddev_pop(f"__d{k}").alias(f"__s{k}") for k in lags])  # a row a key
+    rows = F.explode(F.array(*[F.struct(F.lit(k).alias("lag"), F.col(f"__s{k}").alias("s")) for k in lags])).alias("r")
+    s = one.select(*keys, "n", rows).select(*keys, "n", "r.lag", "r.s").where((F.col("lag") < F.least(F.lit(max_lag), F.floor(F.col("n") / 2))) & (F.col("s") > 0))
     g = s.groupBy(*keys).agg((2 * F.regr_slope(F.log(F.sqrt("s")), F.log("lag"))).alias("h"), F.count(F.lit(1)).alias("k"))
     return g.where("k >= 2").select(*keys, F.greatest(F.lit(0.0), F.least(F.lit(2.0), F.col("h"))).alias("hurst"))
 

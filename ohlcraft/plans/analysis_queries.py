@@ -380,6 +380,7 @@ add(
       "g AS (SELECT symbol, count(*) AS k, floor(count_if(pnl > 0) / count(*) * count(*)) AS w FROM tr GROUP BY symbol), z AS (SELECT symbol, 2.0::DOUBLE + w AS a, 2.0::DOUBLE + k - w AS b FROM g)", recursive=True),
 )
 _FEAT = lambda d: labels.forest_features(labels.directional(d))
+# selectors fit a model before they can name its features: these two queries run a job when they are built and return a few names
 add("feature_f_test", lambda d: d.sparkSession.createDataFrame([(c,) for c in models.select_by_f_test(_FEAT(d), _COLS)], "feature string"))
 add("feature_importance", lambda d: d.sparkSession.createDataFrame([(c,) for c in models.select_by_forest(_FEAT(d), _COLS)], "feature string"))
 add("feature_mutual_information", lambda d: models.mutual_information(_FEAT(d), _COLS))

@@ -75,8 +75,7 @@ def _layer_one_sql(kind: str, base: str = o.HOURLY, ctes=None) -> str:
 
 def _layer(kind):
     def run(spark, sf_dir):
-        df = atc.layer_one(atc.prepare(candles.hourly(spark, sf_dir), CFG), kind, CFG)
-        return df.select("symbol", "ts", (F.col(kind) + 0.0).alias("layer_one"))
+        return atc.classify(candles.hourly(spark, sf_dir), CFG).select("symbol", "ts", (F.col(kind) + 0.0).alias("layer_one"))
 
     return run
 
