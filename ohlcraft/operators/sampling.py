@@ -80,9 +80,11 @@ METHODS = {"random": random_sample, "volume_weighted": volume_weighted, "stratif
 
 
 def sample(df: DataFrame, method: str, percent: float, seed: int = 42) -> DataFrame:
-    """All symbols if percent isn't inside (0, 100); else the method's sample."""
+    """All symbols if percent isn't inside (0, 100); else the method's sample, a random one where there are no volumes to go by."""
     if not 0 < percent < 100:
         return df
+    if method != "random" and "volume" not in df.columns:
+        return random_sample(df, percent, seed)
     return systematic(df, percent) if method == "systematic" else METHODS[method](df, percent, seed)
 
 

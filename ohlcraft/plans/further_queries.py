@@ -6,7 +6,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from ..functions.windows import r6
-from ..operators import atc, backtest, labels, models, oscillator, pairs, spc, targets, voting
+from ..operators import atc, backtest, labels, models, oscillator, pairs, sampling, spc, targets, voting
 from ..operators import indicators as ind
 from ..sources import candles, fetch
 from ..streaming import live
@@ -15,6 +15,7 @@ from .analysis_queries import _BT, _N, _SIG, _TRADES, _VS, _clustered, _conf, _s
 from .indicator_queries import ORACLES as INDICATORS
 from .indicator_queries import guarded
 from .more_oracles import _SCORED, unrounded
+from .relational_queries import ORACLES as RELATIONAL
 from .signal_queries import CFG, SQL, _classify_sql
 from .streaming_queries import _work, finished
 
@@ -188,6 +189,34 @@ QUERIES["spot_symbols"] = _spot
 ORACLES["spot_symbols"] = "SELECT DISTINCT upper('s' || s_suppkey) AS symbol FROM supplier WHERE s_nationkey % 3 != 0 AND s_suppkey % 7 != 0 AND s_suppkey % 5 = 0"
 
 
+def _symbol_lists(spark, sf_dir):
+    """Three lists, one a format, with repeats, spaces and remarks."""
+    n = candles.table(spark, sf_dir, "nation").select(F.concat(F.lit("  "), F.col("n_name"), F.lit(" ")).alias("symbol"), "n_nationkey")
+    at = _work(spark)
+    n.where("n_nationkey < 10").select("symbol").unionByName(n.where("n_nationkey < 3").select("symbol")).write.option("header", True).csv(f"{at}/csv")
+    n.where("n_nationkey BETWEEN 8 AND 15").select(F.concat("symbol", F.lit("# a remark")).alias("value")).unionByName(spark.sql("SELECT '# only a remark' AS value")).write.text(f"{at}/txt")
+    n.where("n_nationkey > 15").select("symbol").write.json(f"{at}/json")
+    lists = [candles.read_symbols(spark, f"{at}/{fmt}", fmt).withColumn("format", F.lit(fmt)) for fmt in ("csv", "txt", "json")]
+    return lists[0].unionByName(lists[1]).unionByName(lists[2])
+
+
+QUERIES["symbol_lists"] = _symbol_lists
+ORACLES["symbol_lists"] = "SELECT n_name AS symbol, 'csv' AS format FROM nation WHERE n_nationkey < 10 UNION ALL SELECT n_name, 'txt' FROM nation WHERE n_nationkey BETWEEN 8 AND 15 UNION ALL SELECT n_name, 'json' FROM nation WHERE n_nationkey > 15"
+
+
+def _many_files(d):
+    """Candles in several folders of several files each, read in one scan."""
+    at = _work(d.sparkSession)
+    for k in range(3):
+        candles.write(d.where(F.dayofmonth("ts") % 3 == k).repartition(2), f"{at}/part{k}", "csv")
+    return candles.read_csv(d.sparkSession, [f"{at}/part{k}" for k in range(3)]).groupBy("symbol").agg(F.count(F.lit(1)).alias("n"), F.min("ts").alias("first"), F.max("ts").alias("last"), F.sum("close").alias("total"))
+
+
+add("multi_file_scan", _many_files, q(f"SELECT symbol, count(*)::BIGINT AS n, min(ts) AS first, max(ts) AS last, {R('sum(close)')} AS total FROM c GROUP BY symbol"))
+QUERIES["sample_without_volumes"] = lambda spark, sf_dir: sampling.sample(candles.daily(spark, sf_dir).select("symbol").distinct(), "stratified", 20, 7)
+ORACLES["sample_without_volumes"] = RELATIONAL["sample_random"]
+
+
 # --- streams
 def _stream(spark, sf_dir, make, value):
     c = candles.hourly(spark, sf_dir).select("symbol", F.col("ts").cast("timestamp").alias("ts"), F.col("close").alias(value))

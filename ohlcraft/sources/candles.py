@@ -78,6 +78,17 @@ def read_json(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     return spark.read.schema(OHLCV).json(paths)
 
 
+def read_symbols(spark: SparkSession, path: str, fmt: str, column: str = "symbol") -> DataFrame:
+    """(symbol), distinct and trimmed, from lists of symbols: csv (with a header), txt (one a line, # for remarks) or json (objects, one a line)."""
+    if fmt == "txt":
+        raw = spark.read.text(path).select(F.regexp_replace("value", "#.*", "").alias("symbol"))
+    elif fmt == "csv":
+        raw = spark.read.option("header", True).csv(path).select(F.col(column).alias("symbol"))
+    else:
+        raw = spark.read.schema(f"`{column}` string").json(path).select(F.col(column).alias("symbol"))
+    return raw.select(F.trim("symbol").alias("symbol")).where("symbol != ''").distinct()
+
+
 def write(df: DataFrame, path: str, fmt: str = "parquet") -> None:
     """Results as Parquet, CSV (with a header), JSON or ORC."""
     w = df.write.mode("overwrite")
