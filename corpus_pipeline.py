@@ -58,5 +58,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs
 
 
-#: Tokenising isn't SQL; tests hold the stages to columns and row counts only, not to a brute-force version.
+#: Tokenising and the toxicity model are not SQL; tests/llm/test_pipeline.py holds run() against a brute-force version.
 ORACLE_SQL = None
