@@ -155,7 +155,9 @@ def _beginnings(counts: DataFrame, strong: DataFrame) -> DataFrame:
     cut = lambda c: F.explode(F.expr(f"transform(sequence(1, greatest(length({c}) - 1, 1)), k -> left({c}, k))")).alias("p")
     own = strong.select("term").distinct().where("length(term) > 1").select("term", cut("term"))
     own, _ = materialize(own, "pii-beginnings")
-    known = counts.where("length(term) > 1").select("term", "nt", cut("term")).join(own.select("p").distinct(), "p", "left_semi").groupBy("p").agg(F.max("nt").alias("n"))
+    # first the maxima, with map-side combine, as short beginnings are those of very many words
+    known = counts.where("length(term) > 1").select("nt", cut("term")).groupBy("p").agg(F.max("nt").alias("n")).join(own.select("p").distinct(), "p", "left_semi")
+    known, _ = materialize(known, "pii-known")
     found = own.join(known, "p").groupBy("term").agg(F.expr("array_sort(collect_list(struct(-length(p) AS k, p, n)))").alias("begins"))  # as many as the word has letters
     found, _ = materialize(found, "pii-generalised")
     return found
@@ -171,7 +173,10 @@ def find_private(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     once for each distinct pair of id and text). Other columns aren't looked at; an empty table gives an empty result.
     """
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("raw"), F.xxhash64(F.lit(1), text_of(text_col)).alias("h"))
-    base = base_spans(rows, "raw")
+    # texts without any sign of an entity have no spans, and aren't shuffled
+    signs = " OR ".join(f"({need.format(t='__text')})" for need in _NEEDS.values())
+    rows = rows.withColumn("__text", text_of("raw"))
+    base = base_spans(rows.where(signs).drop("__text"), "raw")
     some = base.where(" OR ".join(f"size(__{k}) > 0" for k in KINDS))
     entities = "array_distinct(concat(" + ", ".join(f"transform(__{k}, x -> {_entity(k)})" for k in KINDS) + "))"
     held = some.select("id", "h", F.expr(entities).alias("entities"), F.expr(_words("__text")).alias("words"))
@@ -193,7 +198,9 @@ def find_private(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     out = base.join(found, (F.col("h") == F.col("th")) & F.col("id").eqNullSafe(F.col("tid")), "left")
     marked = f"transform({_located('t', _TERM)}, w -> transform(array(lower(w.v)), v -> struct(w.s AS s, w.e AS e, v AS v, get(filter(get(own, cast(pmod(xxhash64(v), n) AS int)), o -> o.v = v), 0) AS o))[0])"
     terms = f"CASE WHEN own IS NOT NULL THEN transform(filter(transform(array({_masked('__text')}), t -> {marked})[0], w -> w.o IS NOT NULL), w -> struct(w.s AS s, w.e AS e, w.v AS v, w.o.act AS act, w.o.to AS to)) ELSE cast(array() AS array<struct<s: int, e: int, v: string, act: string, to: string>>) END"
-    return out.select(F.col("id").alias(id_col), F.col("raw").alias(text_col), *[F.col(f"__{k}").alias(k) for k in KINDS], F.expr(terms).alias("terms"))
+    out = out.select("id", "raw", *[F.col(f"__{k}").alias(k) for k in KINDS], F.expr(terms).alias("terms"))
+    none = rows.where(f"NOT ({signs})").select("id", "raw", *[F.expr(f"cast(array() AS {out.schema[k].dataType.simpleString()})").alias(k) for k in (*KINDS, "terms")])
+    return out.unionByName(none).withColumnsRenamed({"id": id_col, "raw": text_col})
 
 
 def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
