@@ -36,8 +36,8 @@ _SIGNS = bytes(c if chr(c).isalnum() or c >= 128 else 32 for c in range(256))
 _CELLS = 4 << 20
 #: Bytes of text hashed at once; words over _LONG bytes are hashed alone; the odd base of word hashes.
 _SPAN, _LONG, _BASE = 1 << 16, 4096, 0x9E3779B97F4A7C15 | 1
-#: Bits for each trigram of the items in the bitmaps (16 MB at most): a document has hundreds that may pass by chance.
-_BITS = 1 << 14
+#: Bits for each trigram of the items in the bitmaps (16 MB at most): a document has hundreds that may pass by chance, and each worker keeps the bitmaps.
+_BITS = 1 << 12
 _MIX = tuple(np.uint64(m) for m in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
 
 
