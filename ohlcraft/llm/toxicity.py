@@ -38,6 +38,8 @@ FOLDS = 3
 THRESHOLD = 0.2
 _WORD = re.compile(r"[^\W\d_]+")
 _CACHE = 200_000
+#: Entries of the matrix worked on at once.
+_SPAN = 1 << 20
 
 
 def _hash(feature: str) -> int:
@@ -97,14 +99,20 @@ class _Sparse:
 
     def dot(self, w: np.ndarray) -> np.ndarray:
         w = w * self.scale
-        return np.bincount(self.row, w[self.idx], self.rows) + self.dense @ w[self.n : -1] + w[-1]
+        out = self.dense @ w[self.n : -1] + w[-1]
+        for lo in range(0, len(self.idx), _SPAN):
+            out += np.bincount(self.row[lo : lo + _SPAN], w[self.idx[lo : lo + _SPAN]], self.rows)
+        return out
 
     def raw(self, w: np.ndarray) -> np.ndarray:
         """Scores of weights that are for columns as they come."""
         return self.dot(w / self.scale)
 
     def tdot(self, r: np.ndarray) -> np.ndarray:
-        return np.concatenate([np.bincount(self.idx, r[self.row], self.n), self.dense.T @ r, [r.sum()]]) * self.scale
+        own = np.zeros(self.n)
+        for lo in range(0, len(self.idx), _SPAN):
+            own += np.bincount(self.idx[lo : lo + _SPAN], r[self.row[lo : lo + _SPAN]], self.n)
+        return np.concatenate([own, self.dense.T @ r, [r.sum()]]) * self.scale
 
     def part(self, columns: np.ndarray) -> _Sparse:
         """The same rows with these columns only."""
